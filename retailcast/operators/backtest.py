@@ -22,18 +22,24 @@ HORIZON = "one_week_ahead"
 # --- fold plan ----------------------------------------------------------------------------------
 
 
+def week_counts(rows: DataFrame) -> DataFrame:
+    """Rows per week, kept in memory: a few hundred rows that stand in for ``rows`` when folds are
+    planned and sized."""
+    return rows.where(F.col("date").isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("n")).persist()
+
+
 def fold_plan(
-    rows: DataFrame,
+    weeks: DataFrame,
     initial_train_weeks: int = INITIAL_TRAIN_WEEKS,
     test_weeks: int = TEST_WEEKS,
     strict: bool = True,
 ) -> DataFrame:
-    """Expanding-window folds over the weeks of ``rows``.
+    """Expanding-window folds over the dates of ``weeks`` (see ``week_counts``).
 
     ``strict`` wants the weeks after the first training period to fill whole folds; otherwise that
     period takes in the weeks left over, so that every later week is tested.
     """
-    weeks = rows.where(F.col("date").isNotNull()).select("date").distinct()
+    weeks = weeks.select("date").distinct()
     # One number per call comes to the driver.
     remaining = weeks.count() - initial_train_weeks
     if remaining <= 0:
@@ -95,15 +101,14 @@ def with_fold(df: DataFrame, plan: DataFrame) -> DataFrame:
     return df.join(F.broadcast(tests), "date")
 
 
-def split_sizes(rows: DataFrame, plan: DataFrame, test_weeks: int = TEST_WEEKS) -> DataFrame:
-    """Training and test rows and weeks of each fold.
+def split_sizes(weeks: DataFrame, plan: DataFrame, test_weeks: int = TEST_WEEKS) -> DataFrame:
+    """Training and test rows and weeks of each fold, from the rows per week.
 
-    Rows are counted per week first, so only weeks meet folds; every fold trains on all weeks
-    before its test period, so a running sum over the weeks gives its training part.
+    Every fold trains on all weeks before its test period, so a running sum over the weeks gives
+    its training part.
     """
-    weekly = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    running = weekly.withColumns(
+    running = weeks.withColumns(
         {
             "rows_before": F.coalesce(F.sum("n").over(before), F.lit(0)),
             "weeks_before": F.count("n").over(before),
@@ -123,8 +128,8 @@ def split_sizes(rows: DataFrame, plan: DataFrame, test_weeks: int = TEST_WEEKS)
     )
 
 
-def require_complete_folds(rows: DataFrame, plan: DataFrame, test_weeks: int = TEST_WEEKS) -> None:
-    bad = [r["fold"] for r in split_sizes(rows, plan, test_weeks).where("not complete").collect()]
+def require_complete_folds(weeks: DataFrame, plan: DataFrame, test_weeks: int = TEST_WEEKS) -> None:
+    bad = [r["fold"] for r in split_sizes(weeks, plan, test_weeks).where("not complete").collect()]
     if bad:
         raise ValueError(f"folds {bad} do not have {test_weeks} test weeks")
 
@@ -194,7 +199,7 @@ def fold_measures(weekly: DataFrame) -> DataFrame:
 
 
 def fold_results(
-    rows: DataFrame,
+    weeks: DataFrame,
     scored: DataFrame,
     baseline: DataFrame,
     plan: DataFrame,
@@ -205,11 +210,11 @@ def fold_results(
 ) -> DataFrame:
     """One row per fold and model: bounds, sizes, series measures and company measures.
 
-    ``rows`` are the rows with complete features that training and testing draw from; ``scored``
-    holds the test rows of all folds and models with their forecasts.
+    ``weeks`` counts the rows that training and testing draw from; ``scored`` holds the test
+    rows of all folds and models with their forecasts.
     """
     weekly = weekly_sums(scored, actual).unionByName(baseline, allowMissingColumns=True)
-    sizes = split_sizes(rows, plan, test_weeks).select("fold", "n_train_rows")
+    sizes = split_sizes(weeks, plan, test_weeks).select("fold", "n_train_rows")
     bounds = plan.select("fold", "train_start", "train_end", "test_start", "test_end", "n_train_weeks")
     is_baseline = F.col("model") == BASELINE
     # Both right sides have one row per fold.

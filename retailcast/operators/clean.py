@@ -87,15 +87,29 @@ def unify_holiday(df: DataFrame) -> DataFrame:
     return df.withColumn("is_holiday", F.col(pair[0])).drop(*pair) if pair else df
 
 
-def join_panel(sales: DataFrame, features: DataFrame, stores: DataFrame) -> DataFrame:
-    """The panel from three cleaned tables, one row per sales row."""
-    joined = unify_holiday(checks.joined_raw(sales, features, stores))
-    return joined.withColumn("is_summer", is_summer(F.col("month")))
-
-
-def panel(sales: DataFrame, features: DataFrame, stores: DataFrame) -> DataFrame:
-    """Clean the raw tables and join them; one lazy plan without guards."""
-    return join_panel(clean_sales(sales), clean_features(features), clean_stores(stores))
+def panel(
+    sales: DataFrame, features: DataFrame, stores: DataFrame, columns: list[str] | None = None
+) -> DataFrame:
+    """Clean the raw tables and join them: one lazy plan without guards, one row per sales row.
+
+    With ``columns`` the panel holds the sales columns and those of the other tables that are
+    named; a table that gives none of them is neither cleaned nor joined. A many-to-one left join
+    adds columns and never rows, but the optimizer cannot know that the right keys are unique.
+    """
+    out = clean_sales(sales)
+    if columns is not None:
+        held = set(out.columns)
+        features = features.select(*_picked(features, FEATURES_KEY, columns, held))
+        stores = stores.select(*_picked(stores, STORES_KEY, columns, held))
+    if len(features.columns) > len(FEATURES_KEY):
+        out = unify_holiday(checks.join_on_store_week(out, clean_features(features)))
+    if len(stores.columns) > len(STORES_KEY):
+        out = checks.join_on_store(out, clean_stores(stores))
+    return out.withColumn("is_summer", is_summer(F.col("month")))
+
+
+def _picked(df: DataFrame, key: list[str], columns: list[str], held: set[str]) -> list[str]:
+    return [*key, *[c for c in df.columns if c in columns and c not in key and c not in held]]
 
 
 def require_joinable(sales: DataFrame, features: DataFrame, stores: DataFrame) -> None:

@@ -8,7 +8,7 @@ from retailcast.functions import accuracy as acc
 from retailcast.operators import features, metrics
 from retailcast.queries.registry import TEST_YEAR, query, rounded, sales_panel
 from retailcast.queries.tables_sql import measures
-from retailcast.schema import SERIES_KEY
+from retailcast.schema import SALES_KEY, SERIES_KEY
 
 _E = "(predicted - actual)"
 
@@ -17,14 +17,14 @@ def company_tests(spark, folder):
     return features.seasonal_test_rows(features.company_forecasts(sales_panel(spark, folder)), TEST_YEAR)
 
 
-def series_forecasts(spark, folder, keep=("store_id", "department", "date", "weekly_sales")):
+def series_forecasts(sales, names=features.NAIVE_FORECASTS):
     """Naive forecasts of every series and week, in long form."""
-    wide = features.naive_forecasts(sales_panel(spark, folder), "weekly_sales", SERIES_KEY)
-    return metrics.long_forecasts(wide, features.NAIVE_FORECASTS, [*keep, "year", "month"])
+    wide = features.naive_forecasts(sales, "weekly_sales", SERIES_KEY)
+    return metrics.long_forecasts(wide, names, [*SALES_KEY, "weekly_sales", "year", "month"])
 
 
 def series_tests(spark, folder):
-    return features.seasonal_test_rows(series_forecasts(spark, folder), TEST_YEAR)
+    return features.seasonal_test_rows(series_forecasts(sales_panel(spark, folder)), TEST_YEAR)
 
 
 def round_measures(df):
@@ -107,11 +107,11 @@ def _by_sql(key: str) -> str:
 
 @query("m9_error_by_store", _by_sql("store_id"))
 def m9_error_by_store(spark, folder):
-    long = series_forecasts(spark, folder)
+    long = series_forecasts(sales_panel(spark, folder))
     return round_measures(metrics.metrics(long, "weekly_sales", "predicted", ["store_id", "model"]))
 
 
 @query("m9_error_by_department", _by_sql("department"))
 def m9_error_by_department(spark, folder):
-    long = series_forecasts(spark, folder)
+    long = series_forecasts(sales_panel(spark, folder))
     return round_measures(metrics.metrics(long, "weekly_sales", "predicted", ["department", "model"]))

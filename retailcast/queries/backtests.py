@@ -9,32 +9,33 @@ from pyspark.sql import functions as F
 
 from retailcast.operators import backtest, features, metrics
 from retailcast.queries.accuracy import company_tests, round_measures, series_forecasts
-from retailcast.queries.registry import featured_sales, query, rounded, sales_panel
+from retailcast.queries.registry import query, rounded, sales_panel, stored_sales
 from retailcast.queries.tables_sql import measures
 
 
-def complete_rows(spark, folder) -> DataFrame:
-    return features.drop_incomplete(featured_sales(spark, folder))
+# The four-week mean is the baseline; summed over the series it would tie with itself.
+CANDIDATES = {c: n for c, n in features.NAIVE_FORECASTS.items() if c != "pred_rolling_4w"}
 
 
-def plan(spark, folder) -> DataFrame:
+def complete_weeks(sales: DataFrame) -> DataFrame:
+    return backtest.week_counts(features.drop_incomplete(features.series_features(sales)))
+
+
+def plan(weeks: DataFrame) -> DataFrame:
     # Weeks that do not fill a fold lengthen the first training period, so all later ones are tested.
-    return backtest.fold_plan(complete_rows(spark, folder), strict=False)
+    return backtest.fold_plan(weeks, strict=False)
 
 
-def fold_scores(spark, folder) -> DataFrame:
+def fold_scores(sales: DataFrame, folds: DataFrame) -> DataFrame:
     """Every series' naive forecasts in the test weeks of all folds."""
-    return backtest.with_fold(series_forecasts(spark, folder), plan(spark, folder))
+    return backtest.with_fold(series_forecasts(sales, CANDIDATES), folds)
 
 
-def results(spark, folder) -> DataFrame:
-    return backtest.fold_results(
-        complete_rows(spark, folder),
-        fold_scores(spark, folder),
-        backtest.baseline_predictions(sales_panel(spark, folder), plan(spark, folder)),
-        plan(spark, folder),
-        feature_count=1,
-    )
+def results(sales: DataFrame) -> DataFrame:
+    weeks = complete_weeks(sales)
+    folds = plan(weeks)
+    baseline = backtest.baseline_predictions(sales, folds)
+    return backtest.fold_results(weeks, fold_scores(sales, folds), baseline, folds, feature_count=1)
 
 
 _COMPANY = ["company_mape", "company_wape", "company_forecast_bias"]
@@ -111,7 +112,7 @@ def k4_sensitivity(spark, folder):
 
 @query("k5_fold_plan", "SELECT * FROM plan")
 def k5_fold_plan(spark, folder):
-    return plan(spark, folder)
+    return plan(complete_weeks(sales_panel(spark, folder)))
 
 
 @query(
@@ -125,7 +126,8 @@ def k5_fold_plan(spark, folder):
          FROM plan p CROSS JOIN complete c GROUP BY p.fold)""",
 )
 def k6_split_sizes(spark, folder):
-    return backtest.split_sizes(complete_rows(spark, folder), plan(spark, folder))
+    weeks = complete_weeks(sales_panel(spark, folder))
+    return backtest.split_sizes(weeks, plan(weeks))
 
 
 @query(
@@ -137,11 +139,13 @@ def k6_split_sizes(spark, folder):
             round(avg(abs((predicted - weekly_sales) / nullif(weekly_sales, 0))) * 100, 4) AS granular_mape,
             round(sum(abs(predicted - weekly_sales)) / sum(abs(weekly_sales)) * 100, 4) AS granular_wape,
             round(sum(predicted - weekly_sales) / sum(abs(weekly_sales)) * 100, 4) AS granular_forecast_bias
-          FROM series_long JOIN tested USING (date) WHERE predicted IS NOT NULL GROUP BY ALL) g
+          FROM candidates JOIN tested USING (date) WHERE predicted IS NOT NULL GROUP BY ALL) g
         ON g.fold = c.fold AND g.model = c.model""",
 )
 def k7_fold_measures(spark, folder):
-    out = backtest.fold_measures(backtest.weekly_sums(fold_scores(spark, folder)))
+    sales = stored_sales(spark, folder)
+    scored = fold_scores(sales, plan(complete_weeks(sales)))
+    out = backtest.fold_measures(backtest.weekly_sums(scored))
     out = rounded(out, "company_mae", "company_rmse", digits=2)
     return rounded(out, *_COMPANY, "granular_mape", "granular_wape", "granular_forecast_bias")
 
@@ -152,7 +156,8 @@ def k7_fold_measures(spark, folder):
                {_rounds(_COMPANY)}, n_test_weeks FROM fold_company WHERE model = 'Rolling 4-Week Baseline'""",
 )
 def k8_baseline_folds(spark, folder):
-    weekly = backtest.baseline_predictions(sales_panel(spark, folder), plan(spark, folder))
+    sales = stored_sales(spark, folder)
+    weekly = backtest.baseline_predictions(sales, plan(complete_weeks(sales)))
     out = metrics.metrics(weekly, "actual_total_sales", "predicted_total_sales", ["fold", "model"], "n_test_weeks")
     out = out.withColumnsRenamed({n: f"company_{n}" for n in ("mae", "rmse", "mape", "wape", "forecast_bias")})
     return rounded(rounded(out, "company_mae", "company_rmse", digits=2), *_COMPANY)
@@ -164,9 +169,10 @@ def k8_baseline_folds(spark, folder):
        FROM fold_weekly""",
 )
 def k9_weekly_predictions(spark, folder):
+    sales = stored_sales(spark, folder)
+    folds = plan(complete_weeks(sales))
     weekly = backtest.weekly_predictions(
-        fold_scores(spark, folder),
-        backtest.baseline_predictions(sales_panel(spark, folder), plan(spark, folder)),
+        fold_scores(sales, folds), backtest.baseline_predictions(sales, folds)
     )
     return rounded(weekly, "predicted_total_sales", digits=2)
 
@@ -181,11 +187,11 @@ def k9_weekly_predictions(spark, folder):
                CASE WHEN c.model = 'Rolling 4-Week Baseline' THEN 'baseline' ELSE 'operational_conservative' END AS scenario
         FROM fold_company c JOIN plan p ON p.fold = c.fold LEFT JOIN (
           SELECT fold, model, count(*) AS n_test_rows, sum(abs(predicted - weekly_sales)) / sum(abs(weekly_sales)) * 100 AS wape
-          FROM series_long JOIN tested USING (date) WHERE predicted IS NOT NULL GROUP BY ALL) g
+          FROM candidates JOIN tested USING (date) WHERE predicted IS NOT NULL GROUP BY ALL) g
         ON g.fold = c.fold AND g.model = c.model""",
 )
 def k10_fold_results(spark, folder):
-    out = results(spark, folder).drop("company_mae", "company_rmse", "granular_mape", "granular_forecast_bias")
+    out = results(stored_sales(spark, folder)).drop("company_mae", "company_rmse", "granular_mape", "granular_forecast_bias")
     return rounded(out, *_COMPANY, "granular_wape")
 
 
@@ -194,21 +200,21 @@ def k10_fold_results(spark, folder):
     "SELECT fold, winning_model, round(winning_company_wape, 4) AS winning_company_wape FROM winners",
 )
 def k11_fold_winners(spark, folder):
-    return rounded(backtest.fold_winners(results(spark, folder)), "winning_company_wape")
+    return rounded(backtest.fold_winners(results(stored_sales(spark, folder))), "winning_company_wape")
 
 
 @query("k12_cross_fold_summary", f"SELECT model, folds, {_rounds(_STATS)} FROM summary")
 def k12_cross_fold_summary(spark, folder):
-    return rounded(backtest.cross_fold_summary(results(spark, folder)), *_STATS)
+    return rounded(backtest.cross_fold_summary(results(stored_sales(spark, folder))), *_STATS)
 
 
 @query("k13_fold_wins", "SELECT model, folds, fold_wins FROM summary")
 def k13_fold_wins(spark, folder):
-    table = results(spark, folder)
+    table = results(stored_sales(spark, folder))
     summary = backtest.cross_fold_summary(table)
     return backtest.with_fold_wins(summary, backtest.fold_winners(table)).select("model", "folds", "fold_wins")
 
 
 @query("k14_ranking", f"SELECT rank, model, folds, {_rounds(_STATS)}, fold_wins FROM summary")
 def k14_ranking(spark, folder):
-    return rounded(backtest.backtest_summary(results(spark, folder)), *_STATS)
+    return rounded(backtest.backtest_summary(results(stored_sales(spark, folder))), *_STATS)

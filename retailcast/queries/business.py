@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailcast.functions.columns import MONTH_NAMES
-from retailcast.operators import backtest, kpi, rollups
+from retailcast.operators import backtest, checks, clean, kpi, rollups
 from retailcast.queries import backtests
-from retailcast.queries.describing import _summer
-from retailcast.queries.registry import query, rounded
+from retailcast.queries.describing import summer
+from retailcast.queries.registry import query, rounded, stored_sales
+from retailcast.sources import orders_panel
 
 _GROWTH = """yearly AS (SELECT year, CAST(sum(weekly_sales) AS DOUBLE) AS total, count(DISTINCT date) AS weeks
       FROM summer GROUP BY year),
@@ -36,8 +37,8 @@ _REDUCTION = """reduction AS (SELECT b.mean_company_wape AS rolling_baseline_mea
       LEFT JOIN (SELECT * FROM summary WHERE lower(model) LIKE '%rolling 4-week%' ORDER BY rank LIMIT 1) b ON true)"""
 
 
-def summary(spark, folder) -> DataFrame:
-    return backtest.backtest_summary(backtests.results(spark, folder))
+def summary(sales: DataFrame) -> DataFrame:
+    return backtest.backtest_summary(backtests.results(sales))
 
 
 @query(
@@ -46,7 +47,7 @@ def summary(spark, folder) -> DataFrame:
         first_year_weeks, last_year_weeks, round(growth_per_week_pct, 4) AS growth_per_week_pct FROM growth""",
 )
 def p1_growth(spark, folder):
-    return rounded(kpi.growth(_summer(spark, folder)), "summer_sales_growth_pct", "growth_per_week_pct")
+    return rounded(kpi.growth(summer(spark, folder)), "summer_sales_growth_pct", "growth_per_week_pct")
 
 
 @query(
@@ -55,7 +56,7 @@ def p1_growth(spark, folder):
         round(best_summer_month_avg_week, 4) AS best_summer_month_avg_week FROM best_month""",
 )
 def p2_best_month(spark, folder):
-    return rounded(kpi.best_month(_summer(spark, folder), MONTH_NAMES), "best_summer_month_avg_week")
+    return rounded(kpi.best_month(summer(spark, folder), MONTH_NAMES), "best_summer_month_avg_week")
 
 
 @query(
@@ -65,17 +66,17 @@ def p2_best_month(spark, folder):
                 avg(weekly_sales) FILTER (WHERE is_holiday = 0) AS o FROM summer)""",
 )
 def p3_holiday_lift(spark, folder):
-    return rounded(kpi.holiday_lift(rollups.sales_by_holiday(_summer(spark, folder))), "holiday_lift_pct")
+    return rounded(kpi.holiday_lift(rollups.sales_by_holiday(summer(spark, folder))), "holiday_lift_pct")
 
 
 @query("p4_top_store_type", f"WITH {_top('store_type')} SELECT * FROM top_store_type")
 def p4_top_store_type(spark, folder):
-    return kpi.top_group(rollups.total_by(_summer(spark, folder), "store_type"), "store_type")
+    return kpi.top_group(rollups.total_by(summer(spark, folder, "store_type"), "store_type"), "store_type")
 
 
 @query("p5_top_region", f"WITH {_top('region')} SELECT * FROM top_region")
 def p5_top_region(spark, folder):
-    return kpi.top_group(rollups.total_by(_summer(spark, folder), "region"), "region")
+    return kpi.top_group(rollups.total_by(summer(spark, folder, "region"), "region"), "region")
 
 
 @query(
@@ -83,7 +84,7 @@ def p5_top_region(spark, folder):
     f"SELECT model AS selected_model, {_STATS}, fold_wins, folds AS total_folds FROM summary WHERE rank = 1",
 )
 def p6_selected_model(spark, folder):
-    return rounded(kpi.selected_model(summary(spark, folder)), *backtests._STATS)
+    return rounded(kpi.selected_model(summary(stored_sales(spark, folder))), *backtests._STATS)
 
 
 @query(
@@ -93,7 +94,7 @@ def p6_selected_model(spark, folder):
 )
 def p7_wape_reduction(spark, folder):
     return rounded(
-        kpi.wape_reduction(summary(spark, folder)), "rolling_baseline_mean_wape", "wape_reduction_over_baseline_pct"
+        kpi.wape_reduction(summary(stored_sales(spark, folder))), "rolling_baseline_mean_wape", "wape_reduction_over_baseline_pct"
     )
 
 
@@ -104,7 +105,7 @@ def p7_wape_reduction(spark, folder):
        FROM summary s WHERE rank = 1""",
 )
 def p8_winning_folds(spark, folder):
-    table = backtests.results(spark, folder)
+    table = backtests.results(stored_sales(spark, folder))
     won = kpi.winning_folds(backtest.backtest_summary(table), backtest.fold_winners(table))
     return won.withColumn("folds_won", F.array_join("folds_won", ","))
 
@@ -132,12 +133,14 @@ def _kpi_sql() -> str:
 
 @query("p9_kpi_table", _kpi_sql())
 def p9_kpi_table(spark, folder):
-    summer, table = _summer(spark, folder), summary(spark, folder)
+    sales = stored_sales(spark, folder)
+    table = summary(sales)
+    months = rollups.summer(checks.join_on_store(sales, clean.clean_stores(orders_panel.stores(spark, folder))))
     figures = [
-        kpi.growth(summer),
-        kpi.best_month(summer, MONTH_NAMES),
-        kpi.top_group(rollups.total_by(summer, "store_type"), "store_type"),
-        kpi.top_group(rollups.total_by(summer, "region"), "region"),
+        kpi.growth(months),
+        kpi.best_month(months, MONTH_NAMES),
+        kpi.top_group(rollups.total_by(months, "store_type"), "store_type"),
+        kpi.top_group(rollups.total_by(months, "region"), "region"),
         kpi.selected_model(table),
         kpi.wape_reduction(table),
     ]

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from retailcast.operators import rollups
 from retailcast.queries.registry import panel, query, rounded
-from retailcast.schema import SALES_KEY
+from retailcast.schema import MARKDOWNS, SALES_KEY
 
 
-def _summer(spark, folder):
-    return rollups.summer(rollups.with_markdown_total(panel(spark, folder)))
+def summer(spark, folder, *columns):
+    """Summer rows of the panel, with the named columns of features and stores."""
+    needed = columns or ("is_holiday",)
+    return rollups.summer(panel(spark, folder, *needed))
+
+
+def _summer_with_markdowns(spark, folder):
+    return rollups.with_markdown_total(summer(spark, folder, *MARKDOWNS))
 
 
 @query(
     "d1_summer",
     "SELECT store_id, department, date, weekly_sales, round(total_markdown, 4) AS total_markdown FROM summer",
 )
-def d1_summer(spark, folder):
-    df = _summer(spark, folder).select(*SALES_KEY, "weekly_sales", "total_markdown")
+def d1summer(spark, folder):
+    df = _summer_with_markdowns(spark, folder).select(*SALES_KEY, "weekly_sales", "total_markdown")
     return rounded(df, "total_markdown")
 
 
@@ -28,12 +34,12 @@ def d1_summer(spark, folder):
               count(DISTINCT store_id) AS n_stores, count(DISTINCT department) AS n_departments FROM summer""",
 )
 def d2_summer_profile(spark, folder):
-    return rollups.subset_profile(_summer(spark, folder))
+    return rollups.subset_profile(summer(spark, folder))
 
 
 @query("d3_sales_by_year", "SELECT year, CAST(sum(weekly_sales) AS BIGINT) AS total_summer_sales FROM summer GROUP BY year")
 def d3_sales_by_year(spark, folder):
-    return rollups.sales_by_year(_summer(spark, folder))
+    return rollups.sales_by_year(summer(spark, folder))
 
 
 @query(
@@ -43,12 +49,12 @@ def d3_sales_by_year(spark, folder):
        FROM summer GROUP BY month""",
 )
 def d4_sales_by_month(spark, folder):
-    return rollups.sales_by_month(_summer(spark, folder))
+    return rollups.sales_by_month(summer(spark, folder))
 
 
 @query("d5_sales_by_week", "SELECT date, CAST(sum(weekly_sales) AS BIGINT) AS total_weekly_sales FROM summer GROUP BY date")
 def d5_sales_by_week(spark, folder):
-    return rollups.sales_by_week(_summer(spark, folder))
+    return rollups.sales_by_week(summer(spark, folder))
 
 
 @query(
@@ -58,7 +64,7 @@ def d5_sales_by_week(spark, folder):
        FROM summer GROUP BY is_holiday""",
 )
 def d6_sales_by_holiday(spark, folder):
-    return rounded(rollups.sales_by_holiday(_summer(spark, folder)), "avg_weekly_sales")
+    return rounded(rollups.sales_by_holiday(summer(spark, folder)), "avg_weekly_sales")
 
 
 @query(
@@ -68,7 +74,7 @@ def d6_sales_by_holiday(spark, folder):
        FROM summer GROUP BY ALL""",
 )
 def d7_sales_by_markdown(spark, folder):
-    return rounded(rollups.sales_by_markdown(_summer(spark, folder)), "avg_weekly_sales")
+    return rounded(rollups.sales_by_markdown(_summer_with_markdowns(spark, folder)), "avg_weekly_sales")
 
 
 def _totals(key: str) -> str:
@@ -77,27 +83,27 @@ def _totals(key: str) -> str:
 
 @query("d8_sales_by_store_type", _totals("store_type"))
 def d8_sales_by_store_type(spark, folder):
-    return rollups.ranked_totals(_summer(spark, folder), "store_type")
+    return rollups.ranked_totals(summer(spark, folder, "store_type"), "store_type")
 
 
 @query("d9_sales_by_region", _totals("region"))
 def d9_sales_by_region(spark, folder):
-    return rollups.ranked_totals(_summer(spark, folder), "region")
+    return rollups.ranked_totals(summer(spark, folder, "region"), "region")
 
 
 @query("d10_sales_by_department", _totals("department"))
 def d10_sales_by_department(spark, folder):
-    return rollups.ranked_totals(_summer(spark, folder), "department")
+    return rollups.ranked_totals(summer(spark, folder), "department")
 
 
 @query("d11_top_departments", _totals("department") + " ORDER BY total_sales DESC, department LIMIT 5")
 def d11_top_departments(spark, folder):
-    return rollups.ranked_totals(_summer(spark, folder), "department", 5)
+    return rollups.ranked_totals(summer(spark, folder), "department", 5)
 
 
 @query("d11_top_stores", _totals("store_id") + " ORDER BY total_sales DESC, store_id LIMIT 10")
 def d11_top_stores(spark, folder):
-    return rollups.ranked_totals(_summer(spark, folder), "store_id", 10)
+    return rollups.ranked_totals(summer(spark, folder), "store_id", 10)
 
 
 @query(
@@ -105,9 +111,9 @@ def d11_top_stores(spark, folder):
     "SELECT temperature, round(avg(weekly_sales), 4) AS avg_weekly_sales FROM summer GROUP BY temperature",
 )
 def d12_sales_by_temperature(spark, folder):
-    return rounded(rollups.sales_by_temperature(_summer(spark, folder)), "avg_weekly_sales")
+    return rounded(rollups.sales_by_temperature(summer(spark, folder, "temperature")), "avg_weekly_sales")
 
 
 @query("d13_temperature_points", "SELECT temperature, weekly_sales FROM summer")
 def d13_temperature_points(spark, folder):
-    return rollups.temperature_points(_summer(spark, folder))
+    return rollups.temperature_points(summer(spark, folder, "temperature"))

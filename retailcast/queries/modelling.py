@@ -152,8 +152,9 @@ def k4_sensitivity_models(spark, folder):
 @query("k7_model_backtest")
 def k7_model_backtest(spark, folder):
     rows = model_rows(spark, folder)
+    weeks = backtest.week_counts(rows)
     # Two long folds over all weeks.
-    plan = backtest.fold_plan(rows, initial_train_weeks=200, test_weeks=70, strict=False)
+    plan = backtest.fold_plan(weeks, initial_train_weeks=200, test_weeks=70, strict=False)
     numeric, categorical = features.scenario_features(features.OPERATIONAL, rows.columns)
     features.require_feature_count(numeric + categorical)
     scored = models.backtest_scores(
@@ -161,5 +162,5 @@ def k7_model_backtest(spark, folder):
     )
     baseline = backtest.baseline_predictions(sales_panel(spark, folder), plan)
     return backtest.fold_results(
-        rows, scored, baseline, plan, len(numeric + categorical), test_weeks=70
+        weeks, scored, baseline, plan, len(numeric + categorical), test_weeks=70
     )

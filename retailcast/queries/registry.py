@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from retailcast.operators import clean, features
 from retailcast.queries.tables_sql import with_tables
+from retailcast.session import materialize
 from retailcast.sources import orders_panel
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,8 +65,9 @@ def faulty(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Data
     )
 
 
-def panel(spark: SparkSession, folder: str) -> DataFrame:
-    return clean.panel(*raw(spark, folder))
+def panel(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The panel, with the named columns of features and stores if any are named."""
+    return clean.panel(*raw(spark, folder), columns=list(columns) or None)
 
 
 def sales_panel(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,5 +75,10 @@ def sales_panel(spark: SparkSession, folder: str) -> DataFrame:
     return clean.clean_sales(orders_panel.sales(spark, folder))
 
 
+def stored_sales(spark: SparkSession, folder: str) -> DataFrame:
+    """The panel's sales side, written once for a query that reads it several times."""
+    return materialize(sales_panel(spark, folder), "sales-panel")
+
+
 def featured_sales(spark: SparkSession, folder: str) -> DataFrame:
     return features.series_features(sales_panel(spark, folder))

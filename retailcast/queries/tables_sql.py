@@ -139,6 +139,7 @@ _DEFINITIONS = {
           SELECT *, 'Rolling 4-Week Average Baseline', pred_rolling_4w FROM company_naive
           UNION ALL
           SELECT *, 'Previous Year Same Week Baseline', CAST(pred_prev_year_same_week AS DOUBLE) FROM company_naive)""",
+    "candidates": "SELECT * FROM series_long WHERE model <> 'Rolling 4-Week Average Baseline'",
     "featured": """
         SELECT *, lag(weekly_sales, 1) OVER o AS lag_1, lag(weekly_sales, 4) OVER o AS lag_4,
                lag(weekly_sales, 8) OVER o AS lag_8,
@@ -167,7 +168,7 @@ _DEFINITIONS = {
     "fold_weekly": """
         SELECT fold, model, date, CAST(sum(weekly_sales) AS DOUBLE) AS actual_total_sales,
                sum(predicted) AS predicted_total_sales
-        FROM series_long JOIN tested USING (date) WHERE predicted IS NOT NULL GROUP BY ALL
+        FROM candidates JOIN tested USING (date) WHERE predicted IS NOT NULL GROUP BY ALL
         UNION ALL
         SELECT fold, 'Rolling 4-Week Baseline', date, CAST(total_weekly_sales AS DOUBLE), pred_rolling_4w
         FROM company_naive JOIN tested USING (date) WHERE pred_rolling_4w IS NOT NULL""",

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(
-    app_name: str = "retailcast", master: str | None = None, shuffle_partitions: int | None = None
+    app_name: str = "retailcast",
+    master: str | None = None,
+    shuffle_partitions: int | None = None,
+    settings: dict[str, str] | None = None,
 ) -> SparkSession:
     """A session with adaptive execution on; master and partition count are left to the cluster
     unless given."""
@@ -23,6 +26,8 @@ def build_session(
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for name, value in (settings or {}).items():
+        builder = builder.config(name, value)
     return builder.getOrCreate()
 
 
