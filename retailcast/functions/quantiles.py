@@ -18,12 +18,16 @@ MARGIN = 4.0
 
 def _bracket(value: Column, probability: float) -> Column:
     step = MARGIN / ACCURACY
-    low, high = probability - step, probability + step
-    edges = [
-        F.percentile_approx(value, F.lit(low), ACCURACY) if low > 0 else F.min(value),
-        F.percentile_approx(value, F.lit(high), ACCURACY) if high < 1 else F.max(value),
-    ]
-    return F.struct(edges[0].alias("low"), edges[1].alias("high"))
+    # So few values can all be ranked; beyond that, a step is worth several ranks.
+    few = F.count(value) <= ACCURACY
+
+    def edge(at: float, outermost: Column) -> Column:
+        if not 0 < at < 1:
+            return outermost
+        return F.when(few, outermost).otherwise(F.percentile_approx(value, F.lit(at), ACCURACY))
+
+    low, high = edge(probability - step, F.min(value)), edge(probability + step, F.max(value))
+    return F.struct(low.alias("low"), high.alias("high"))
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:

@@ -129,7 +129,7 @@ def require_joinable(sales: DataFrame, features: DataFrame, stores: DataFrame) -
 
 def checked_panel(sales: DataFrame, features: DataFrame, stores: DataFrame) -> DataFrame:
     """The panel, after all guards have passed."""
-    require_joinable(drop_missing_target(sales), features, stores)
+    require_joinable(sales, features, stores)
     return panel(sales, features, stores)
 
 

@@ -12,11 +12,7 @@ from retailcast.functions.columns import nan_to_null, normalise_columns
 
 
 def _format_of(path: str) -> str:
-    name = path.rstrip("/").lower()
-    for suffix in ("parquet", "orc", "json"):
-        if name.endswith("." + suffix):
-            return suffix
-    return "csv"
+    return "parquet" if path.rstrip("/").lower().endswith(".parquet") else "csv"
 
 
 def _typed(df: DataFrame, schema: T.StructType, on_bad: str) -> DataFrame:

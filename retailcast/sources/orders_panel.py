@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Department numbers, holiday weeks (ISO) and their names.
 DEPARTMENTS = {"ECONOMY": 1, "LARGE": 2, "MEDIUM": 3, "PROMO": 4, "SMALL": 5, "STANDARD": 6}
@@ -18,8 +19,15 @@ HOLIDAYS = {1: "New Year", 27: "Independence Day", 36: "Labor Day", 47: "Black F
 _MONDAY = "1970-01-05"
 
 
+# Schemas of files read before, so that reading one again opens no footer on the driver.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _week_number(day: Column) -> Column:
