@@ -16,95 +16,29 @@ ACCURACY = 10_000
 MARGIN = 4.0
 
 
-def _bracket(value: Column, probability: float) -> Column:
-    step = MARGIN / ACCURACY
-    # So few values can all be ranked; beyond that, a step is worth several ranks.
-    few = F.count(value) <= ACCURACY
-
-    def edge(at: float, outermost: Column) -> Column:
-        if not 0 < at < 1:
-            return outermost
-        return F.when(few, outermost).otherwise(F.percentile_approx(value, F.lit(at), ACCURACY))
-
-    low, high = edge(probability - step, F.min(value)), edge(probability + step, F.max(value))
-    return F.struct(low.alias("low"), high.alias("high"))
-
-
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
     """One row per (column, probability) with its exact, linearly interpolated quantile.
 
-    NULLs are skipped; a column without values gives no row.
+    NULLs are skipped; a column without values gives no row. The data is read twice.
     """
     data = df.select([F.col(c).cast("double").alias(c) for c in columns])
-    cells = [(c, p) for c in columns for p in probabilities]
-    names = [f"b{i}" for i in range(len(cells))]
-    brackets = data.agg(*[_bracket(F.col(c), p).alias(n) for n, (c, p) in zip(names, cells)])
-    # One scalar subquery carries all brackets into the next passes.
-    bounds = brackets.select(F.struct(*names).alias("bounds")).scalar()
-    marked = data.withColumn("bounds", bounds)
-
-    below = marked.agg(
-        *[
-            F.struct(
-                F.count(c).alias("n"),
-                F.count_if(F.col(c) < F.col("bounds")[n]["low"]).alias("below"),
-            ).alias(n)
-            for n, (c, _) in zip(names, cells)
-        ]
-    ).select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(n).alias("cell"),
-                        F.lit(c).alias("column"),
-                        F.lit(p).alias("probability"),
-                        F.col(n)["n"].alias("n"),
-                        F.col(n)["below"].alias("below"),
-                    )
-                    for n, (c, p) in zip(names, cells)
-                ]
-            )
-        ).alias("s")
-    ).select("s.*")
-
-    inside = (
-        marked.select(
-            F.explode(
-                F.array_compact(
-                    F.array(
-                        *[
-                            F.when(
-                                F.col(c).between(F.col("bounds")[n]["low"], F.col("bounds")[n]["high"]),
-                                F.struct(F.lit(n).alias("cell"), F.col(c).alias("value")),
-                            )
-                            for n, (c, _) in zip(names, cells)
-                        ]
-                    )
-                )
-            ).alias("s")
-        )
-        .select("s.*")
-        # A value that fills a third of the table is one row from here on.
-        .groupBy("cell", "value")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
+    # One long column keeps the expressions small, however many columns there are.
+    long = data.unpivot([], columns, "column", "value").where(F.col("value").isNotNull())
+    inside = _inside_brackets(long, _brackets(long, probabilities))
 
-    order = Window.partitionBy("cell").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ranked = inside.withColumn("upto", F.sum("copies").over(order))
+    upto = Window.partitionBy("column", "probability").orderBy(F.asc_nulls_first("value"))
+    position = F.sum("copies").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rank = F.col("probability") * (F.col("n") - 1)
     first, second = F.floor(rank), F.ceil(rank)
-    position = F.col("below") + F.col("upto")
-    at = lambda r: F.min(F.when(position > r, F.col("value")))
+    at = lambda r: F.min_by("value", F.when(F.col("position") > r, F.col("position")))
     found = (
-        ranked.join(F.broadcast(below), "cell")
-        .groupBy("column", "probability", "n", "below")
+        inside.withColumn("position", position)
+        .groupBy("column", "probability", "n")
         .agg(at(first).alias("lo"), at(second).alias("hi"))
     )
-    # A rank outside its bracket would mean a broken sketch guarantee: stop, never guess.
-    sure = (F.col("below") <= first) & F.col("hi").isNotNull()
+    # No value at a rank means it lies outside its bracket, against the sketch's guarantee: stop,
+    # never guess.
+    sure = F.col("lo").isNotNull() & F.col("hi").isNotNull()
     return found.select(
         "column",
         "probability",
@@ -114,6 +48,50 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     )
 
 
+def _brackets(long: DataFrame, probabilities: list[float]) -> DataFrame:
+    """(column, probability, n, low, high): values that enclose each wanted rank."""
+    step = MARGIN / ACCURACY
+    edges = [max(p - step, 0.0) for p in probabilities] + [min(p + step, 1.0) for p in probabilities]
+    sketched = long.groupBy("column").agg(
+        F.count("value").alias("n"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.percentile_approx("value", edges, ACCURACY).alias("edges"),
+    )
+    # So few values can all be ranked; beyond that, a step is worth several ranks.
+    few = F.col("n") <= ACCURACY
+
+    def edge(position: int, outermost: str) -> Column:
+        inner = 0 < edges[position] < 1
+        return F.when(few | F.lit(not inner), F.col(outermost)).otherwise(F.col("edges")[position])
+
+    cells = [
+        F.struct(
+            F.lit(p).alias("probability"),
+            edge(i, "min").alias("low"),
+            edge(len(probabilities) + i, "max").alias("high"),
+        )
+        for i, p in enumerate(probabilities)
+    ]
+    return sketched.select("column", "n", F.explode(F.array(*cells)).alias("c")).select("column", "n", "c.*")
+
+
+def _inside_brackets(long: DataFrame, brackets: DataFrame) -> DataFrame:
+    """How often each value inside a bracket occurs; all values below it are one NULL row.
+
+    Counts combine before the shuffle: neither the values below nor a value that fills a third of
+    the column moves more than once per task.
+    """
+    value = F.when(F.col("value") >= F.col("low"), F.col("value"))
+    return (
+        # One row per column and probability.
+        long.join(F.broadcast(brackets), "column")
+        .where(F.col("value") <= F.col("high"))
+        .groupBy("column", "probability", "n", value.alias("value"))
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+
+
 def exact_median(df: DataFrame, column: str) -> Column:
     """The median of ``column`` over the whole table, as a scalar for use in expressions."""
     # max() only turns "no row" into NULL for a column without values.

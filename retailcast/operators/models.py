@@ -93,20 +93,13 @@ def numeric_medians(train: DataFrame, numeric: list[str]) -> DataFrame:
 def category_modes(train: DataFrame, categorical: list[str]) -> DataFrame:
     """(feature, value): the most frequent value of each categorical feature; of equals, the
     smallest (numbers by size, texts by order)."""
-    cells = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.col(c).cast("string").alias("value"),
-            F.col(c).try_cast("double").alias("number"),
-        )
-        for c in categorical
-    ]
+    texts = train.select([F.col(c).cast("string").alias(c) for c in categorical])
     counts = (
-        train.select(F.explode(F.array(*cells)).alias("s"))
-        .select("s.*")
+        texts.unpivot([], categorical, "feature", "value")
         .where(F.col("value").isNotNull())
-        .groupBy("feature", "value", "number")
+        .groupBy("feature", "value")
         .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("number", F.col("value").try_cast("double"))
     )
     return counts.groupBy("feature").agg(
         F.min_by("value", F.struct(-F.col("n"), F.col("number"), F.col("value"))).alias("value")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from retailcast import schema
 from retailcast.operators import checks, clean
-from retailcast.queries.registry import faulty, panel, query, raw
+from retailcast.queries.registry import faulty, query, raw, stored
 from retailcast.sources import orders_panel
 
 
@@ -207,12 +207,12 @@ def _relationship_sql(p: str) -> str:
     _relationship_sql("") + " SELECT * FROM checked",
 )
 def v12_relationship_checks(spark, folder):
-    return checks.relationship_checks(*raw(spark, folder))
+    return checks.relationship_checks(*stored(raw(spark, folder)))
 
 
 @query("v12_relationship_checks_faulty", _relationship_sql("bad_") + " SELECT * FROM checked")
 def v12_relationship_checks_faulty(spark, folder):
-    return checks.relationship_checks(*faulty(spark, folder))
+    return checks.relationship_checks(*stored(faulty(spark, folder)))
 
 
 @query(
@@ -222,7 +222,7 @@ def v12_relationship_checks_faulty(spark, folder):
           CASE WHEN bool_and(passed) THEN 'PASS' ELSE 'FOLLOW-UP' END AS verdict FROM checked""",
 )
 def v12_relationship_verdict(spark, folder):
-    return checks.verdict(checks.relationship_checks(*faulty(spark, folder)))
+    return checks.verdict(checks.relationship_checks(*stored(faulty(spark, folder))))
 
 
 _CLEANED_FAULTY = "cleaned AS (SELECT * FROM bad_sales WHERE weekly_sales IS NOT NULL)"
@@ -300,7 +300,8 @@ def _audit_sql(raw_table: str, cleaned: str) -> str:
 
 @query("v18_audit_checks", _audit_sql("sales", "panel"))
 def v18_audit_checks(spark, folder):
-    return checks.audit_checks(orders_panel.sales(spark, folder), panel(spark, folder))
+    sales, features, stores = stored(raw(spark, folder))
+    return checks.audit_checks(sales, clean.panel(sales, features, stores))
 
 
 @query(
@@ -310,5 +311,5 @@ def v18_audit_checks(spark, folder):
                CASE WHEN bool_and(passed) THEN 'PASS' ELSE 'FOLLOW-UP' END AS verdict FROM checked""",
 )
 def v18_audit_verdict(spark, folder):
-    sales, features, stores = faulty(spark, folder)
+    sales, features, stores = stored(faulty(spark, folder))
     return checks.verdict(checks.audit_checks(sales, clean.panel(sales, features, stores)))

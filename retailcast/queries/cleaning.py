@@ -8,6 +8,7 @@ from retailcast import schema
 from retailcast.functions import columns as fx
 from retailcast.operators import checks, clean, rollups
 from retailcast.queries.registry import panel, query, rounded
+from retailcast.session import materialize
 from retailcast.sources import orders_panel
 
 _KEYS = "store_id, department, date"
@@ -46,7 +47,7 @@ def c4_fill_markdowns(spark, folder):
     f"SELECT store_id, date, {', '.join(f'round({c}, 4) AS {c}' for c in schema.ECONOMY)} FROM clean_features",
 )
 def c5_impute_by_store(spark, folder):
-    filled = clean.impute_by_store(orders_panel.features(spark, folder))
+    filled = clean.impute_by_store(materialize(orders_panel.features(spark, folder), "features"))
     return rounded(filled.select(*schema.FEATURES_KEY, *schema.ECONOMY), *schema.ECONOMY)
 
 

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailcast.operators import clean, features
+from retailcast import schema
+from retailcast.operators import clean
+from retailcast.operators import features as ft
 from retailcast.queries.tables_sql import with_tables
 from retailcast.session import materialize
 from retailcast.sources import orders_panel
@@ -67,7 +69,19 @@ def faulty(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Data
 
 def panel(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """The panel, with the named columns of features and stores if any are named."""
-    return clean.panel(*raw(spark, folder), columns=list(columns) or None)
+    features, used = orders_panel.features(spark, folder), list(columns) or None
+    if used is None or set(used) & (set(schema.FEATURES.names) - set(schema.SALES.names)):
+        # Imputing reads the features several times, and here they come from a join.
+        features = materialize(features, "features")
+    return clean.panel(
+        orders_panel.sales(spark, folder), features, orders_panel.stores(spark, folder), columns=used
+    )
+
+
+def stored(tables: tuple[DataFrame, DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The two derived tables written, for queries that read them several times."""
+    sales, features, stores = tables
+    return materialize(sales, "sales"), materialize(features, "features"), stores
 
 
 def sales_panel(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,4 +95,4 @@ def stored_sales(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def featured_sales(spark: SparkSession, folder: str) -> DataFrame:
-    return features.series_features(sales_panel(spark, folder))
+    return ft.series_features(sales_panel(spark, folder))

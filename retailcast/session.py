@@ -24,6 +24,9 @@ def build_session(
     )
     if master:
         builder = builder.master(master)
+    if master and master.startswith("local"):
+        # All executor work happens in the driver's JVM, whose default heap is one gigabyte.
+        builder = builder.config("spark.driver.memory", "12g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for name, value in (settings or {}).items():
