@@ -154,8 +154,9 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
     A category not seen in training becomes an all-zero block. Only fill values and category
     lists reach the driver.
     """
-    medians = {r["feature"]: r["value"] for r in numeric_medians(train, numeric).collect()}
-    modes = {r["feature"]: r["value"] for r in category_modes(train, categorical).collect()}
+    known = lambda table: {r["feature"]: r["value"] for r in table.collect()}
+    medians = known(numeric_medians(train, numeric)) if numeric else {}
+    modes = known(category_modes(train, categorical)) if categorical else {}
     filled = _filled(train, numeric, categorical, medians, modes).select(*_aliased(numeric, categorical))
     stages, blocks = [], []
     if categorical:

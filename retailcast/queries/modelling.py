@@ -15,6 +15,7 @@ from retailcast.queries.registry import (
     rounded,
     sales_panel,
 )
+from retailcast.queries.tables_sql import measures
 from retailcast.schema import SERIES_KEY
 
 SIZES = models.Sizes(forest_trees=10, forest_depth=6, boosting_rounds=5, boosting_depth=4, boosting_rate=0.3)
@@ -61,6 +62,23 @@ def l2_linear_regression(spark, folder):
     return _forecast(spark, folder, models.LINEAR)
 
 
+@query(
+    "l2_linear_regression_lag",
+    f"""WITH fit AS (SELECT regr_slope(weekly_sales, lag_1) AS b, regr_intercept(weekly_sales, lag_1) AS a
+          FROM complete WHERE date < DATE '2001-06-01'),
+        scored AS (SELECT CAST(weekly_sales AS DOUBLE) AS actual, a + b * lag_1 AS predicted FROM complete, fit
+          WHERE date BETWEEN DATE '2001-06-01' AND DATE '2001-08-31')
+        SELECT 'Linear Regression' AS model, {measures("actual", "predicted")}, count(*) AS n_test_rows,
+               'store_department_week' AS evaluation_level FROM scored""",
+)
+def l2_linear_regression_lag(spark, folder):
+    # One feature, so that the fit has a closed form.
+    rows = models.model_rows(features.series_features(sales_panel(spark, folder)))
+    train, test = features.time_split(rows, TEST_START, TEST_END)
+    scored = models.fit_and_score(train, test, ["lag_1"], [], _only(models.LINEAR))
+    return round_measures(metrics.series_evaluation(scored))
+
+
 @query("l3_random_forest")
 def l3_random_forest(spark, folder):
     return _forecast(spark, folder, models.FOREST)
@@ -92,12 +110,56 @@ def l7_feature_importance(spark, folder):
     return models.feature_importance(fitted[models.BOOSTED], assembled, 15)
 
 
+def _company_arima_sql(name: str, grid: list[tuple[float, int]], season: int) -> str:
+    """The grid fit and the one-week-ahead forecasts as recursive SQL over the company series."""
+    forecast = "y.v1 + r.phi * (y.v1 - y.v2) + r.theta * r.err"
+    if season:
+        forecast = f"{forecast} + r.big * ((y.s0 - y.s1) - r.phi * (y.s1 - y.s2))"
+
+    def run(table: str, points: str, last: str) -> str:
+        return f"""{table} AS (
+            SELECT CAST({season + 2} AS BIGINT) AS t, phi, theta, big, CAST(0 AS DOUBLE) AS err,
+                   CAST(0 AS DOUBLE) AS sse, CAST(NULL AS DOUBLE) AS predicted FROM {points}
+            UNION ALL
+            SELECT y.t, r.phi, r.theta, r.big, y.v - ({forecast}), r.sse + (y.v - ({forecast})) * (y.v - ({forecast})),
+                   {forecast}
+            FROM {table} r JOIN y ON y.t = r.t + 1 WHERE y.t <= {last})"""
+
+    n_train = "(SELECT count(*) FROM y WHERE date < DATE '2001-06-01')"
+    parts = [
+        f"""y AS (SELECT date, CAST(total_weekly_sales AS DOUBLE) AS v, row_number() OVER o AS t,
+              lag(CAST(total_weekly_sales AS DOUBLE), 1) OVER o AS v1, lag(CAST(total_weekly_sales AS DOUBLE), 2) OVER o AS v2,
+              lag(CAST(total_weekly_sales AS DOUBLE), {season}) OVER o AS s0,
+              lag(CAST(total_weekly_sales AS DOUBLE), {season + 1}) OVER o AS s1,
+              lag(CAST(total_weekly_sales AS DOUBLE), {season + 2}) OVER o AS s2
+              FROM company WHERE date <= DATE '2001-08-31' WINDOW o AS (ORDER BY date))""",
+        "best0 AS (SELECT CAST(0 AS DOUBLE) AS phi, CAST(0 AS DOUBLE) AS theta, CAST(0 AS DOUBLE) AS big)",
+    ]
+    for level, (step, side) in enumerate(grid, start=1):
+        point = lambda c, i: f"least(greatest(round({c} + {i} * CAST({step} AS DOUBLE), 6), -0.99), 0.99)"  # noqa: E731, B023
+        ticks = lambda a: f"range({-side}, {side + 1}) {a}({a})"  # noqa: E731, B023
+        big = f", {ticks('k')}" if season else ""
+        parts.append(
+            f"""grid{level} AS (SELECT {point("phi", "i")} AS phi, {point("theta", "j")} AS theta,
+                {point("big", "k") if season else "big"} AS big FROM best{level - 1}, {ticks("i")}, {ticks("j")}{big})"""
+        )
+        parts.append(run(f"run{level}", f"grid{level}", n_train))
+        parts.append(
+            f"""best{level} AS (SELECT phi, theta, big FROM run{level} WHERE t = {n_train}
+                ORDER BY sse, phi, theta, big LIMIT 1)"""
+        )
+    parts.append(run("final", f"best{len(grid)}", "(SELECT count(*) FROM y)"))
+    return f"""WITH RECURSIVE {", ".join(parts)}
+        SELECT y.date, y.v AS actual, '{name}' AS model, round(predicted, 2) AS predicted
+        FROM final JOIN y USING (t) WHERE y.date >= DATE '2001-06-01'"""
+
+
 @query("l8_arima_series")
 def l8_arima_series(spark, folder):
     return arima.forecast(sales_panel(spark, folder), "weekly_sales", SERIES_KEY, TEST_START, TEST_END)
 
 
-@query("l8_arima_company")
+@query("l8_arima_company", _company_arima_sql(arima.ARIMA, arima.ARIMA_GRID, 0))
 def l8_arima_company(spark, folder):
     series = features.company_series(sales_panel(spark, folder))
     return rounded(arima.company_forecast(series, TEST_START, TEST_END), "predicted", digits=2)
@@ -108,7 +170,7 @@ def l9_sarima_series(spark, folder):
     return arima.forecast(sales_panel(spark, folder), "weekly_sales", SERIES_KEY, TEST_START, TEST_END, seasonal=True)
 
 
-@query("l9_sarima_company")
+@query("l9_sarima_company", _company_arima_sql(arima.SARIMA, arima.SARIMA_GRID, arima.SEASON))
 def l9_sarima_company(spark, folder):
     series = features.company_series(sales_panel(spark, folder))
     return rounded(arima.company_forecast(series, TEST_START, TEST_END, seasonal=True), "predicted", digits=2)

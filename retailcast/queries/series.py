@@ -189,7 +189,9 @@ def t13_feature_availability(spark, folder):
        GROUP BY p.store_id, p.department""",
 )
 def t14_next_week(spark, folder):
-    rows = features.next_week_rows(panel(spark, folder)).select(
+    # Of the other tables, only the stores give columns to the coming week.
+    known = panel(spark, folder, "store_type", "store_size", "region")
+    rows = features.next_week_rows(known).select(
         *SALES_KEY, "year", "month", "week_of_year", "region", *features.ENGINEERED
     )
     return rounded(rounded(rows, "rolling_mean_4", "rolling_mean_8"), "rolling_std_4", digits=2)

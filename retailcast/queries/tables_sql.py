@@ -212,6 +212,8 @@ def with_tables(sql: str) -> str:
     if not needed:
         return sql
     tables = ",\n".join(f"{n} AS ({_DEFINITIONS[n]})" for n in needed)
+    if sql.lstrip().upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {tables},\n{sql.lstrip()[len('WITH RECURSIVE ') :]}"
     if sql.lstrip().upper().startswith("WITH "):
         return f"WITH {tables},\n{sql.lstrip()[5:]}"
     return f"WITH {tables}\n{sql}"
