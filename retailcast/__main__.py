@@ -6,7 +6,7 @@ import argparse
 import datetime as dt
 
 from retailcast.plans.stages import STAGES, Job
-from retailcast.session import build_session
+from retailcast.session import build_session, clear_scratch
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -17,6 +17,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--processed", required=True)
     parser.add_argument("--outputs", required=True)
     parser.add_argument("--test", nargs=2, required=True, type=dt.date.fromisoformat, metavar=("FROM", "TO"))
+    parser.add_argument("--fits-at-once", type=int, default=1, help="folds or scenarios fitted side by side")
     parser.add_argument("--master")
     given = parser.parse_args(arguments)
     job = Job(
@@ -26,9 +27,13 @@ def main(arguments: list[str] | None = None) -> None:
         given.outputs,
         *given.test,
         raw_format=given.raw_format,
+        fits_at_once=given.fits_at_once,
     )
-    for name in STAGES if "all" in given.stages else given.stages:
-        STAGES[name](job)
+    try:
+        for name in STAGES if "all" in given.stages else given.stages:
+            STAGES[name](job)
+    finally:
+        clear_scratch(job.spark)
 
 
 if __name__ == "__main__":

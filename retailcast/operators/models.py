@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 
 from retailcast.functions.quantiles import exact_quantiles
 from retailcast.operators import features as ft
+from retailcast.operators.backtest import Fold, fold_split
 from retailcast.operators.metrics import SERIES_LEVEL, evaluate, series_evaluation, summed_evaluation
 from retailcast.schema import SALES_KEY
 from retailcast.session import materialize
@@ -152,7 +157,8 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
     """Learn fill values and categories from the training rows alone.
 
     A category not seen in training becomes an all-zero block. Only fill values and category
-    lists reach the driver.
+    lists reach the driver: the models treat stores as categories, so their number is the width
+    of the features and must stay in the thousands.
     """
     known = lambda table: {r["feature"]: r["value"] for r in table.collect()}
     medians = known(numeric_medians(train, numeric)) if numeric else {}
@@ -233,23 +239,30 @@ def model_rows(featured: DataFrame) -> DataFrame:
     return materialize(ft.drop_incomplete(featured).select(*columns), "model-rows")
 
 
+def _fit_all(fit: Callable, cases: list, at_once: int) -> DataFrame:
+    """Rows of ``fit`` for every case. Each fit is a series of Spark jobs; on a cluster that one of
+    them cannot fill, some may run side by side."""
+    with ThreadPool(max(1, min(at_once, len(cases)))) as pool:
+        parts = pool.map(inheritable_thread_target(SparkSession.active())(fit), cases)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def scenario_grid(
-    train: DataFrame, test: DataFrame, sizes: Sizes = Sizes(), scenarios: tuple[str, ...] = (ft.FULL, ft.OPERATIONAL)
+    train: DataFrame,
+    test: DataFrame,
+    sizes: Sizes = Sizes(),
+    scenarios: tuple[str, ...] = (ft.FULL, ft.OPERATIONAL),
+    at_once: int = 1,
 ) -> DataFrame:
     """Long forecasts of every model in every scenario, with the scenario's feature count."""
-    parts = []
-    for scenario in scenarios:
+
+    def fit(scenario: str) -> DataFrame:
         numeric, categorical = ft.scenario_features(scenario, train.columns)
         scored = fit_and_score(train, test, numeric, categorical, sizes)
-        parts.append(
-            scored.withColumn("scenario", F.lit(scenario)).withColumn(
-                "feature_count", F.lit(len(numeric) + len(categorical)).cast("long")
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        count = F.lit(len(numeric) + len(categorical)).cast("long")
+        return scored.withColumns({"scenario": F.lit(scenario), "feature_count": count})
+
+    return _fit_all(fit, list(scenarios), at_once)
 
 
 def scenario_comparison(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -266,15 +279,18 @@ def model_comparison(scored: DataFrame) -> DataFrame:
 
 
 def backtest_scores(
-    rows: DataFrame, folds: list, numeric: list[str], categorical: list[str], sizes: Sizes = Sizes()
+    rows: DataFrame,
+    folds: list[Fold],
+    numeric: list[str],
+    categorical: list[str],
+    sizes: Sizes = Sizes(),
+    at_once: int = 1,
 ) -> DataFrame:
     """Test-row forecasts of every fold and model; each fold learns from the weeks before it."""
-    parts = []
-    for fold in folds:
-        train, test = ft.time_split(rows, fold.test_start, fold.test_end)
+
+    def fit(fold: Fold) -> DataFrame:
+        train, test = fold_split(rows, fold)
         scored = fit_and_score(train, test, numeric, categorical, sizes)
-        parts.append(scored.withColumn("fold", F.lit(fold.number)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        return scored.withColumn("fold", F.lit(fold.number))
+
+    return _fit_all(fit, folds, at_once)

@@ -53,6 +53,7 @@ class Job:
     sizes: models.Sizes = field(default_factory=models.Sizes)
     initial_train_weeks: int = backtest.INITIAL_TRAIN_WEEKS
     test_weeks: int = backtest.TEST_WEEKS
+    fits_at_once: int = 1
 
     def raw_paths(self) -> dict[str, str]:
         return {name: f"{self.raw}/{name}.{self.raw_format}" for name in schema.RAW_SCHEMAS}
@@ -210,7 +211,7 @@ def sensitivity(job: Job) -> None:
     """All models with and without the features that may be unknown at forecast time."""
     train, test = features.time_split(_model_rows(job), job.test_start, job.test_end)
     features.require_nonempty(train, test)
-    scored = models.scenario_grid(train, test, job.sizes).persist()
+    scored = models.scenario_grid(train, test, job.sizes, at_once=job.fits_at_once).persist()
     granular, company = models.scenario_comparison(scored)
     job.write("feature_availability_granular_comparison", granular)
     job.write("feature_availability_aggregate_comparison", company)
@@ -227,7 +228,9 @@ def rolling_origin(job: Job) -> None:
     plan = backtest.fold_plan(weeks, job.initial_train_weeks, job.test_weeks).persist()
     backtest.require_complete_folds(weeks, plan, job.test_weeks)
     trees = models.Sizes(**{**job.sizes.__dict__, "models": (models.FOREST, models.BOOSTED)})
-    scored = models.backtest_scores(rows, backtest.folds(plan), numeric, categorical, trees)
+    scored = models.backtest_scores(
+        rows, backtest.folds(plan), numeric, categorical, trees, job.fits_at_once
+    )
     scored = materialize(scored, "fold-scores")
     base = backtest.baseline_predictions(job.panel(), plan)
     results = backtest.fold_results(

@@ -54,8 +54,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/retailcast/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/retailcast/{uuid.uuid4().hex}/{label}"
+    return f"{_application_dir(spark)}/{uuid.uuid4().hex}/{label}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; frames read from it end here."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

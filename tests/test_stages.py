@@ -30,6 +30,7 @@ def job(spark, tmp_path_factory):
         sizes=sizes,
         initial_train_weeks=209,
         test_weeks=70,
+        fits_at_once=2,
     )
 
 
