@@ -35,7 +35,9 @@ def results(sales: DataFrame) -> DataFrame:
     weeks = complete_weeks(sales)
     folds = plan(weeks)
     baseline = backtest.baseline_predictions(sales, folds)
-    return backtest.fold_results(weeks, fold_scores(sales, folds), baseline, folds, feature_count=1)
+    table = backtest.fold_results(weeks, fold_scores(sales, folds), baseline, folds, feature_count=1)
+    # One row per fold and model, read by winners, summary and ranking.
+    return table.persist()
 
 
 _COMPANY = ["company_mape", "company_wape", "company_forecast_bias"]
