@@ -1,27 +1,51 @@
-"""From raw documents to a training mix: each stage works on what the one before it kept."""
+"""From raw documents to batches for training: each stage works on what the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from retailcast.llm.exact_dedup import drop_copies
+from retailcast.llm.jaccard_join import drop_near_duplicates
 from retailcast.llm.mixing import mixed_documents
+from retailcast.llm.packing import pack
+from retailcast.llm.quality import good_documents
 from retailcast.session import materialize
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble rejects go; it is fitted on the labels of those given."""
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the smallest id stays."""
     return drop_copies(docs)
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that similar texts connect, the one with the smallest id stays."""
+    return drop_near_duplicates(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; documents taken more than once stand more than once."""
     return mixed_documents(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("source mix", source_mix)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences with their texts, in batches of equal padded length."""
+    return pack(docs, with_text=True)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_dedup),
+    ("jaccard join", jaccard_join),
+    ("source mix", source_mix),
+    ("packing", packing),
+]
 
-# The stages draw keys, fit models and join by random paths, which SQL cannot say.
+# The stages fit a model, draw keys and join by random paths, which SQL cannot say.
 ORACLE_SQL = None
 
 

@@ -30,3 +30,14 @@ def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def join_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with one row per ``key``, where ``size`` says how many rows a key has.
+
+    Keys with over a thousandth of all ``total`` rows, of which there are fewer than a thousand, are
+    sent to every task; the rest is joined through a shuffle in which no key is large.
+    """
+    hot = F.broadcast(groups.where(F.col(size) * HOT_KEYS > total))
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups, key)
+    return rows.join(hot, key).unionByName(rest)

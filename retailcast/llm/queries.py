@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from retailcast.llm.exact_dedup import exact_dedup
+from retailcast.llm.jaccard_join import near_duplicates
 from retailcast.llm.licences import licence_report
 from retailcast.llm.mixing import mix
+from retailcast.llm.packing import pack
 from retailcast.llm.pii import pii_report
+from retailcast.llm.quality import quality_scores
+from retailcast.llm.revisits import resolve_revisits
+from retailcast.llm.topk import top_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +40,53 @@ def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(_table(spark, folder, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def archive_records(pages: DataFrame) -> DataFrame:
+    """A full response for every page, and two revisits: one after it, whose validators agree, differ
+    or are absent in turn, and one at an earlier time, for which another capture of the same page may
+    stand, or none."""
+    time = (F.col("page_id") * 7919) % 1_000_003
+    tag, digest = F.md5("html"), F.sha2("html", 256)
+    none = F.lit(None).cast("string")
+    stored = F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("date"), time.cast("string"), F.lit("etag"), tag, F.lit("server"), F.lit("origin"))
+
+    def fresh(at):
+        return F.create_map(F.lit("Cache-Control"), F.concat(F.lit("max-age="), F.col("page_id") % 100), F.lit("Date"), at.cast("string"), F.lit("Server"), F.lit("cache"))
+
+    def record(number, kind, at, etag, body, headers):
+        return pages.select(
+            (F.col("page_id") * 4 + number).alias("record_id"), F.lit(kind).alias("kind"), "url", at.alias("time"), etag.alias("etag"),
+            none.alias("last_modified"), body.alias("digest"), headers.alias("headers"),
+        )
+
+    later, sooner, turn = time + 1 + F.col("page_id") % 1000, time - 500, F.col("page_id") % 4
+    etag = F.when(turn == 0, tag).when(turn == 1, F.lit("stale"))
+    responses = record(0, "response", time, tag, digest, stored)
+    revisits = record(1, "revisit", later, etag, F.when(turn == 2, digest), fresh(later))
+    return responses.unionByName(revisits).unionByName(record(2, "revisit", sooner, tag, none, fresh(sooner)))
+
+
+def op6_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    resolved = resolve_revisits(archive_records(_table(spark, folder, "pages")))
+    pairs = F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return resolved.withColumn("headers", F.array_join(F.array_sort(pairs), ";"))
+
+
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "documents"))
+
+
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(_table(spark, folder, "documents"))
+
+
+def op10_top_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return top_rows(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 OP1_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -43,11 +96,71 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM n WINDOW w AS (PARTITION BY text_sha256)
 """
 
+# Response and revisits as in archive_records; the canonical form of a URL as in revisits.canonical_url.
+OP6_SQL = r"""
+WITH bare AS (
+  SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', '', 'g'), '^(?i:https?)://', '', 'g') AS b FROM pages
+), parts AS (
+  SELECT page_id, html,
+         regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^(www|m)\.', '', 'g') AS host,
+         regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '(\.html)?/*$', '', 'g') AS path,
+         regexp_replace(regexp_replace(regexp_extract(b, '\?(.*)$', 1), '(^|&)(utm_[^=&]*|ref|fbclid|gclid)(=[^&]*)?', '', 'g'), '^&', '', 'g') AS query
+  FROM bare
+), captured AS (
+  SELECT page_id, (page_id * 7919) % 1000003 AS time, md5(html) AS tag, sha256(html) AS digest,
+         host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical
+  FROM parts
+), revisit AS (
+  SELECT page_id * 4 + 1 AS revisit_id, canonical, time + 1 + page_id % 1000 AS time, page_id % 100 AS age,
+         CASE page_id % 4 WHEN 0 THEN tag WHEN 1 THEN 'stale' END AS etag, CASE page_id % 4 WHEN 2 THEN digest END AS digest
+  FROM captured
+  UNION ALL
+  SELECT page_id * 4 + 2, canonical, time - 500, page_id % 100, tag, NULL FROM captured
+), response AS (
+  SELECT page_id * 4 AS response_id, canonical, time, tag, digest FROM captured
+  QUALIFY row_number() OVER (PARTITION BY canonical, time ORDER BY page_id DESC) = 1
+), met AS (
+  SELECT v.*, r.response_id, r.time AS response_time, r.tag AS r_tag,
+         CASE WHEN v.digest IS NOT NULL AND r.response_id IS NOT NULL THEN 'digest'
+              WHEN v.etag IS NOT NULL AND r.response_id IS NOT NULL THEN 'etag' END AS validator,
+         CASE WHEN v.digest IS NOT NULL THEN v.digest = r.digest ELSE v.etag = r.tag END AS agrees
+  FROM revisit v ASOF LEFT JOIN response r ON v.canonical = r.canonical AND v.time > r.time
+), judged AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'missing' WHEN validator IS NULL THEN 'unchecked' WHEN agrees THEN 'resolved' ELSE 'mismatch' END AS status FROM met
+)
+SELECT revisit_id, canonical, response_id, response_time, status, validator,
+       'Cache-Control=max-age=' || age || ';Date=' || time ||
+       CASE WHEN status IN ('resolved', 'unchecked') THEN ';content-type=text/html;etag=' || r_tag || ';server=origin' ELSE ';Server=cache' END AS headers
+FROM judged
+"""
+
+OP10_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
 
 def queries() -> dict[str, Query]:
-    own = (op1_exact_dedup, op2_licence_scan, op3_personal_data, op4_source_mix)
+    own = (
+        op1_exact_dedup,
+        op2_licence_scan,
+        op3_personal_data,
+        op4_source_mix,
+        op5_quality_rules,
+        op6_revisits,
+        op7_jaccard_join,
+        op8_packing,
+        op10_top_rows,
+    )
     return {q.__name__: q for q in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_revisits": OP6_SQL, "op10_top_rows": OP10_SQL}
