@@ -12,6 +12,7 @@ from retailcast.llm.jaccard_join import near_duplicates
 from retailcast.llm.licences import licence_report
 from retailcast.llm.mixing import mix
 from retailcast.llm.packing import pack
+from retailcast.llm.passages import repeated_passages
 from retailcast.llm.pii import pii_report
 from retailcast.llm.quality import quality_scores
 from retailcast.llm.revisits import resolve_revisits
@@ -83,6 +84,10 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(_table(spark, folder, "documents"))
+
+
 def op10_top_rows(spark: SparkSession, folder: str) -> DataFrame:
     return top_rows(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -157,6 +162,7 @@ def queries() -> dict[str, Query]:
         op6_revisits,
         op7_jaccard_join,
         op8_packing,
+        op9_repeated_passages,
         op10_top_rows,
     )
     return {q.__name__: q for q in own}
