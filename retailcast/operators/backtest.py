@@ -37,7 +37,8 @@ def fold_plan(
     """Expanding-window folds over the dates of ``weeks`` (see ``week_counts``).
 
     ``strict`` wants the weeks after the first training period to fill whole folds; otherwise that
-    period takes in the weeks left over, so that every later week is tested.
+    period takes in the weeks left over, so that every later week is tested. Either way, a plan
+    without a fold is an error.
     """
     weeks = weeks.select("date").distinct()
     # One number per call comes to the driver.
@@ -46,6 +47,8 @@ def fold_plan(
         raise ValueError("the initial training period leaves no week to test")
     if strict and remaining % test_weeks:
         raise ValueError(f"{remaining} remaining weeks do not divide into folds of {test_weeks}")
+    if remaining < test_weeks:
+        raise ValueError(f"{remaining} remaining weeks do not make a fold of {test_weeks}")
     initial_train_weeks += remaining % test_weeks
     # The window runs over distinct weeks, a few hundred rows at any scale.
     numbered = weeks.withColumn("n", F.row_number().over(Window.orderBy("date")))
@@ -92,8 +95,8 @@ def fold_split(rows: DataFrame, fold: Fold) -> tuple[DataFrame, DataFrame]:
 def with_fold(df: DataFrame, plan: DataFrame) -> DataFrame:
     """Add the fold whose test period holds the row's date; other rows are left out.
 
-    Test periods do not overlap, so this is an equality join on the plan's test weeks. The plan
-    has one row per week at most, hence the broadcast.
+    Test periods do not overlap, so this is an equality join on the days of the plan's test periods,
+    a few thousand rows for decades of weeks, hence the broadcast.
     """
     tests = plan.select(
         "fold", F.explode(F.sequence("test_start", "test_end", F.expr("interval 1 day"))).alias("date")

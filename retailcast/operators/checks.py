@@ -26,7 +26,7 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def require_unique_key(df: DataFrame, key: list[str], name: str) -> None:
-    """Stop on repeated or missing keys, showing up to ten of them; rows are never dropped."""
+    """Stop on repeated keys, showing up to ten of them; rows are never dropped."""
     bad = duplicate_keys(df, key)
     sample = bad.orderBy(*key).limit(10).collect()
     if sample:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml import Model
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailcast.functions.quantiles import exact_quantiles
@@ -22,6 +23,8 @@ from retailcast.schema import SALES_KEY
 from retailcast.session import materialize
 
 TARGET = "weekly_sales"
+# The category whose number of levels grows with the data.
+WIDE = "store_id"
 
 # Model names and sizes of the default grid.
 LINEAR = "Linear Regression"
@@ -37,6 +40,8 @@ class Sizes:
     forest_trees: int = 100
     forest_depth: int = 12
     forest_min_leaf: int = 5
+    # Each tree sees a bootstrap sample of the rows; without it, all rows.
+    forest_bootstrap: bool = True
     boosting_rounds: int = 300
     boosting_depth: int = 6
     boosting_rate: float = 0.05
@@ -47,9 +52,13 @@ class Sizes:
 
 
 def linear_regression() -> LinearRegression:
-    # Ordinary least squares. Above 4096 features the solver turns from one pass over the data
-    # to an iterative fit, so wide one-hot blocks stay possible.
-    return LinearRegression(featuresCol="features", labelCol="label", solver="auto")
+    """Least squares over deviations from store means, by one pass and the normal equations.
+
+    The number of features does not depend on the number of stores, so there is one solver for all
+    sizes. The ridge keeps collinear columns (a total beside its parts, whole sets of levels) solvable;
+    the label has unit scale, and the ridge is far below the precision of any result.
+    """
+    return LinearRegression(featuresCol="within", labelCol="within_label", solver="normal", regParam=1e-12)
 
 
 def random_forest(sizes: Sizes = Sizes()) -> RandomForestRegressor:
@@ -60,6 +69,8 @@ def random_forest(sizes: Sizes = Sizes()) -> RandomForestRegressor:
         maxDepth=sizes.forest_depth,
         minInstancesPerNode=sizes.forest_min_leaf,
         featureSubsetStrategy="all",
+        bootstrap=sizes.forest_bootstrap,
+        maxMemoryInMB=1024,
         seed=SEED,
     )
 
@@ -111,26 +122,6 @@ def category_modes(train: DataFrame, categorical: list[str]) -> DataFrame:
     )
 
 
-@dataclass
-class Preprocessor:
-    """What training data taught: fill values, category lists and their one-hot encoding."""
-
-    numeric: list[str]
-    categorical: list[str]
-    medians: dict[str, float]
-    modes: dict[str, str]
-    encoder: PipelineModel
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Key, target and the assembled ``features``."""
-        filled = _filled(df, self.numeric, self.categorical, self.medians, self.modes)
-        keep = [c for c in [*SALES_KEY, TARGET] if c in df.columns]
-        named = filled.select(*keep, *_aliased(self.numeric, self.categorical))
-        out = self.encoder.transform(named)
-        label = [F.col(TARGET).cast("double").alias("label")] if TARGET in keep else []
-        return out.select(*keep, *label, "features")
-
-
 def _number(name: str) -> str:
     return f"num__{name}"
 
@@ -139,13 +130,9 @@ def _category(name: str) -> str:
     return f"cat__{name}"
 
 
-def _aliased(numeric: list[str], categorical: list[str]) -> list:
+def _filled(df, numeric, categorical, medians, modes) -> DataFrame:
     # Prefixed names keep features that are also keys (store, department) apart from the keys,
     # and name the model's inputs.
-    return [F.col(f"`{_number(c)}`") for c in numeric] + [F.col(f"`{_category(c)}`") for c in categorical]
-
-
-def _filled(df, numeric, categorical, medians, modes) -> DataFrame:
     number = {
         _number(c): F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c, 0.0))) for c in numeric
     }
@@ -153,30 +140,95 @@ def _filled(df, numeric, categorical, medians, modes) -> DataFrame:
     return df.withColumns({**number, **text})
 
 
+@dataclass
+class Preprocessor:
+    """What training data taught: fill values, levels of short categories, and a mean of the target
+    and of every input for each store.
+
+    Short categories are one-hot. Stores are not, as their number grows with the data: the trees get
+    the mean target of a row's store in training, and the linear model works on deviations from store
+    means, which gives the predictions that one column per store would give. A store not seen in
+    training has the overall means, a level not seen an all-zero block.
+    """
+
+    numeric: list[str]
+    categorical: list[str]
+    medians: dict[str, float]
+    modes: dict[str, str]
+    levels: dict[str, list[str]]
+    overall: dict[str, float]
+    scale: float
+    means: DataFrame | None
+
+    @property
+    def inputs(self) -> dict[str, Column]:
+        columns = {_number(c): F.col(_number(c)) for c in self.numeric}
+        for category, levels in self.levels.items():
+            for i, level in enumerate(levels):
+                name = f"hot__{category}_{re.sub(r'[^0-9A-Za-z_]', '_', level)}"
+                name = f"{name}_{i}" if name in columns else name
+                columns[name] = (F.col(_category(category)) == level).cast("double")
+        return columns
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Key, target, and the assembled ``features`` (for trees) and ``within`` (for least squares),
+        with ``base`` and ``scale`` that turn the latter's predictions back."""
+        keep = [c for c in [*SALES_KEY, TARGET] if c in df.columns]
+        label = {"label": F.col(TARGET).cast("double")} if TARGET in keep else {}
+        inputs = list(self.inputs)
+        rows = _filled(df, self.numeric, self.categorical, self.medians, self.modes)
+        rows = rows.select(*keep, *self._wide(), *[c.alias(n) for n, c in (self.inputs | label).items()])
+        if self.means is not None:
+            rows = rows.join(self.means, _category(WIDE), "left")
+        # Without stores there are no columns of means, only overall ones.
+        own = (lambda n: F.col(_mean(n))) if self.means is not None else (lambda n: F.lit(None).cast("double"))
+        mean = {n: F.coalesce(own(n), F.lit(self.overall[n])) for n in [*inputs, "label"]}
+        # What is constant within a store differs from its mean by rounding only.
+        off = lambda n: F.when(F.abs(F.col(n) - mean[n]) > 1e-9 * F.abs(mean[n]), F.col(n) - mean[n]).otherwise(0.0)
+        within = {_within(n): off(n) for n in inputs}
+        within |= {"base": mean["label"], "scale": F.lit(self.scale), f"stat__{WIDE}": mean["label"]}
+        if label:
+            within["within_label"] = (F.col("label") - mean["label"]) / self.scale
+        rows = rows.withColumns(within)
+        trees = inputs + ([f"stat__{WIDE}"] if self.means is not None else [])
+        for columns, output in ((trees, "features"), ([_within(n) for n in inputs], "within")):
+            rows = VectorAssembler(inputCols=columns, outputCol=output).transform(rows)
+        return rows.select(*keep, *label, *(["within_label"] if label else []), "features", "within", "base", "scale")
+
+    def _wide(self) -> list[str]:
+        return [_category(WIDE)] if WIDE in self.categorical else []
+
+
+def _mean(name: str) -> str:
+    return f"mean__{name}"
+
+
+def _within(name: str) -> str:
+    return f"within__{name}"
+
+
 def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str]) -> Preprocessor:
-    """Learn fill values and categories from the training rows alone.
+    """Learn fill values, levels and means from the training rows alone.
 
-    A category not seen in training becomes an all-zero block. Only fill values and category
-    lists reach the driver: the models treat stores as categories, so their number is the width
-    of the features and must stay in the thousands.
+    Fill values, the levels of short categories and one mean per input reach the driver; the means per
+    store stay a table.
     """
     known = lambda table: {r["feature"]: r["value"] for r in table.collect()}
     medians = known(numeric_medians(train, numeric)) if numeric else {}
     modes = known(category_modes(train, categorical)) if categorical else {}
-    filled = _filled(train, numeric, categorical, medians, modes).select(*_aliased(numeric, categorical))
-    stages, blocks = [], []
-    if categorical:
-        texts = [_category(c) for c in categorical]
-        indexed = [f"index__{c}" for c in categorical]
-        blocks = [f"hot__{c}" for c in categorical]
-        indexer = StringIndexer(
-            inputCols=texts, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"
-        )
-        # The extra "unknown" index is the last one, and the dropped one.
-        stages += [indexer, OneHotEncoder(inputCols=indexed, outputCols=blocks, dropLast=True)]
-    inputs = [_number(c) for c in numeric] + blocks
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    return Preprocessor(numeric, categorical, medians, modes, Pipeline(stages=stages).fit(filled))
+    filled = _filled(train, numeric, categorical, medians, modes)
+    short = [c for c in categorical if c != WIDE]
+    sets = filled.agg(F.lit(0), *[F.sort_array(F.collect_set(_category(c))).alias(c) for c in short]).first()
+    made = Preprocessor(numeric, categorical, medians, modes, {c: sets[c] for c in short}, {}, 1.0, None)
+    columns = made.inputs | {"label": F.col(TARGET).cast("double")}
+    rows = filled.where(F.col(TARGET).isNotNull()).select(*made._wide(), *[c.alias(n) for n, c in columns.items()])
+    averages = [F.avg(n).alias(_mean(n)) for n in columns]
+    whole = rows.agg(*averages, F.stddev_pop("label").alias("scale")).first()
+    made.overall = {n: whole[_mean(n)] or 0.0 for n in columns}
+    made.scale = whole["scale"] or 1.0
+    if WIDE in categorical:
+        made.means = materialize(rows.groupBy(_category(WIDE)).agg(*averages), "store-means")
+    return made
 
 
 # --- training and scoring -----------------------------------------------------------------------
@@ -184,7 +236,8 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
 
 def train_models(train: DataFrame, sizes: Sizes = Sizes()) -> dict[str, Model]:
     """Fit each model on assembled rows; each fit is a distributed job."""
-    assembled = train.select("label", "features").where(F.col("label").isNotNull()).persist()
+    columns = ["label", "features", "within", "within_label"]
+    assembled = train.select(*columns).where(F.col("label").isNotNull()).persist()
     try:
         return {name: estimator.fit(assembled) for name, estimator in estimators(sizes).items()}
     finally:
@@ -201,7 +254,8 @@ def score(models: dict[str, Model], test: DataFrame) -> DataFrame:
     for i, (name, model) in enumerate(models.items()):
         columns[f"p{i}"] = name
         out = model.setPredictionCol(f"p{i}").transform(out)
-    options = [F.struct(F.lit(n).alias("model"), F.col(c).alias("predicted")) for c, n in columns.items()]
+    value = lambda c, n: F.col("base") + F.col(c) * F.col("scale") if n == LINEAR else F.col(c)
+    options = [F.struct(F.lit(n).alias("model"), value(c, n).alias("predicted")) for c, n in columns.items()]
     keep = [c for c in [*SALES_KEY, TARGET] if c in test.columns]
     return out.select(*keep, F.explode(F.array(*options)).alias("s")).select(
         *keep, "s.model", "s.predicted"

@@ -80,8 +80,10 @@ class Job:
         return f"{self.outputs}/{name}"
 
     def write(self, name: str, df: DataFrame) -> None:
-        # Results are short tables; one file each keeps their order for a reader.
-        write_table(df.coalesce(1), self.out(name))
+        # Results are short tables. The shuffle to one file comes after their last stage, which keeps
+        # its tasks; an ordered frame is sorted by a range shuffle, so its parts are gathered in order.
+        ordered = df.withColumn("__place", F.monotonically_increasing_id()).repartition(1)
+        write_table(ordered.sortWithinPartitions("__place").drop("__place"), self.out(name))
 
     def read(self, name: str) -> DataFrame:
         return read_table(self.spark, self.out(name))

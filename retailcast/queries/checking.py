@@ -137,9 +137,18 @@ def v9_unmatched_rows(spark, folder):
 
 @query(
     "v10_row_preservation",
-    "SELECT count(*) AS n_before, count(*) AS n_after, true AS preserved FROM sales",
+    # Features of one store stand twice, so its sales rows double.
+    """SELECT *, n_before = n_after AS preserved FROM (SELECT count(*) AS n_before,
+         CAST(sum(CASE WHEN store_id = 3 THEN 2 ELSE 1 END) AS BIGINT) AS n_after FROM sales)""",
 )
 def v10_row_preservation(spark, folder):
+    sales, features, stores = raw(spark, folder)
+    twice = features.unionByName(features.where("store_id = 3"))
+    return checks.row_preservation(sales, checks.joined_raw(sales, twice, stores))
+
+
+@query("v10_row_preservation_clean", "SELECT count(*) AS n_before, count(*) AS n_after, true AS preserved FROM sales")
+def v10_row_preservation_clean(spark, folder):
     sales, features, stores = raw(spark, folder)
     return checks.row_preservation(sales, checks.joined_raw(sales, features, stores))
 
@@ -151,8 +160,15 @@ _JOINED = """joined AS (SELECT s.store_id, s.department, s.date, s.weekly_sales,
 _TRACKED = [
     "weekly_sales",
     "is_holiday_sales",
-    *schema.ECONOMY,
-    *schema.MARKDOWNS,
+    "temperature",
+    "fuel_price",
+    "cpi",
+    "unemployment",
+    "markdown_1",
+    "markdown_2",
+    "markdown_3",
+    "markdown_4",
+    "markdown_5",
     "season",
     "is_holiday_features",
     "store_type",
@@ -287,7 +303,7 @@ def v17_calendar_fields(spark, folder):
     return checks.calendar_mismatches(stored)
 
 
-def _audit_sql(raw_table: str, cleaned: str) -> str:
+def _audit_sql(raw_table: str, cleaned: str, summer: str = "0") -> str:
     return f"""SELECT *, observed = expected AS passed FROM (
         SELECT 'row_count' AS check_name, CAST((SELECT count(*) FROM {cleaned}) AS DOUBLE) AS observed,
                CAST((SELECT count(*) FROM {raw_table}) AS DOUBLE) AS expected
@@ -295,7 +311,7 @@ def _audit_sql(raw_table: str, cleaned: str) -> str:
                <> (SELECT sum(weekly_sales) FROM {cleaned}) AS INTEGER), 0
         UNION ALL SELECT 'rows_in_duplicate_keys', (SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n
                FROM {cleaned} GROUP BY store_id, department, date HAVING count(*) > 1)), 0
-        UNION ALL SELECT 'summer_flag_mismatches', 0, 0)"""
+        UNION ALL SELECT 'summer_flag_mismatches', (SELECT {summer}), 0)"""
 
 
 @query("v18_audit_checks", _audit_sql("sales", "panel"))
@@ -304,6 +320,17 @@ def v18_audit_checks(spark, folder):
     return checks.audit_checks(sales, clean.panel(sales, features, stores))
 
 
+@query(
+    "v18_audit_checks_shifted",
+    _audit_sql("sales", "panel", "count(*) FROM panel WHERE (month(date) IN (6, 7, 8)) <> (month(date + 7) IN (6, 7, 8))"),
+)
+def v18_audit_checks_shifted(spark, folder):
+    # The stored summer flags are those of the following week.
+    sales, features, stores = stored(raw(spark, folder))
+    later = F.month(F.date_add("date", 7)).isin(6, 7, 8).cast("int")
+    return checks.audit_checks(sales, clean.panel(sales, features, stores).withColumn("is_summer", later))
+
+
 @query(
     "v18_audit_verdict",
     f"""WITH {_CLEANED_FAULTY}, checked AS ({_audit_sql("bad_sales", "cleaned")})

@@ -68,22 +68,14 @@ def c7_fill_store_size(spark, folder):
 @query(
     "c8_join_features",
     f"""SELECT s.store_id, s.department, s.date, s.weekly_sales, s.is_holiday AS is_holiday_sales,
-               f.is_holiday AS is_holiday_features, f.temperature, f.markdown_1, f.holiday_name
+               f.is_holiday AS is_holiday_features, f.* EXCLUDE (store_id, date, is_holiday)
         FROM bad_sales s LEFT JOIN bad_features f ON f.store_id = s.store_id AND f.date = s.date""",
 )
 def c8_join_features(spark, folder):
     joined = checks.join_on_store_week(
         orders_panel.faulty_sales(spark, folder), orders_panel.faulty_features(spark, folder)
     )
-    return joined.select(
-        *schema.SALES_KEY,
-        "weekly_sales",
-        "is_holiday_sales",
-        "is_holiday_features",
-        "temperature",
-        "markdown_1",
-        "holiday_name",
-    )
+    return joined
 
 
 @query(
@@ -100,6 +92,7 @@ def c9_join_stores(spark, folder):
 
 @query(
     "c10_unify_holiday",
+    # Where both tables have the column, the sales' flag counts; the features' flags differ on planted rows.
     "SELECT s.store_id, s.department, s.date, s.is_holiday FROM bad_sales s",
 )
 def c10_unify_holiday(spark, folder):
@@ -109,26 +102,9 @@ def c10_unify_holiday(spark, folder):
     return clean.unify_holiday(joined).select(*schema.SALES_KEY, "is_holiday")
 
 
-_PANEL = [
-    "weekly_sales",
-    "is_negative_sales",
-    "year",
-    "month",
-    "week_of_year",
-    "fuel_price",
-    "markdown_5",
-    "holiday_name",
-    "season",
-    "store_type",
-    "region",
-    "is_holiday",
-    "is_summer",
-]
-
-
-@query("c11_summer_panel", f"SELECT {_KEYS}, {', '.join(_PANEL)} FROM panel")
+@query("c11_summer_panel", "SELECT * EXCLUDE (total_markdown) FROM panel")
 def c11_summer_panel(spark, folder):
-    return panel(spark, folder).select(*schema.SALES_KEY, *_PANEL)
+    return panel(spark, folder)
 
 
 @query(

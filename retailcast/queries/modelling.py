@@ -1,5 +1,9 @@
-"""Queries: models fitted as Spark jobs. Tree models are smaller here than by default, to keep a
-query short; they read all rows."""
+"""Queries: models fitted as Spark jobs.
+
+Tree models are smaller here than by default, to keep a query short; they read all rows, and every
+comparison holds all three models. The forecasts of both scenarios are made once per session and
+folder and written; the queries that compare them read that table. Fits with closed forms have SQL.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 
 from retailcast.operators import arima, backtest, features, metrics, models, rollups
 from retailcast.queries.accuracy import company_tests, round_measures
+from retailcast.queries.backtests import plan as backtest_plan
 from retailcast.queries.registry import (
     TEST_END,
     TEST_START,
@@ -17,6 +22,7 @@ from retailcast.queries.registry import (
 )
 from retailcast.queries.tables_sql import measures
 from retailcast.schema import SERIES_KEY
+from retailcast.session import materialize
 
 SIZES = models.Sizes(forest_trees=10, forest_depth=6, boosting_rounds=5, boosting_depth=4, boosting_rate=0.3)
 
@@ -34,10 +40,30 @@ def split(spark, folder):
     return features.time_split(model_rows(spark, folder), TEST_START, TEST_END)
 
 
-def _forecast(spark, folder, *names: str):
+def scenario_forecasts(spark, folder):
+    """Forecasts of all models in both scenarios, fitted once per session and folder."""
+    setting = f"retailcast.forecasts.{folder}"
+    path = spark.conf.get(setting, None)
+    if path:
+        return spark.read.parquet(path)
     train, test = split(spark, folder)
-    numeric, categorical = features.scenario_features(features.OPERATIONAL, train.columns)
-    return models.fit_and_score(train, test, numeric, categorical, _only(*names))
+    scored = materialize(models.scenario_grid(train, test, SIZES), "scenario-forecasts")
+    spark.conf.set(setting, scored.inputFiles()[0].rsplit("/", 1)[0])
+    return scored
+
+
+def _forecast(spark, folder, *names: str):
+    wanted = F.col("model").isin(*names) if names else F.lit(True)
+    rows = scenario_forecasts(spark, folder).where((F.col("scenario") == features.OPERATIONAL) & wanted)
+    return rows.drop("scenario", "feature_count")
+
+
+def _lag_or_month(spark, folder, feature: str, sizes: models.Sizes):
+    """Measures of a model of one feature, whose fit has a closed form."""
+    rows = models.model_rows(features.series_features(sales_panel(spark, folder)))
+    train, test = features.time_split(rows, TEST_START, TEST_END)
+    scored = models.fit_and_score(train, test, [feature], [], sizes)
+    return round_measures(metrics.series_evaluation(scored))
 
 
 @query(
@@ -46,13 +72,19 @@ def _forecast(spark, folder, *names: str):
        SELECT 'lag_1' AS feature, CAST(round(median(lag_1), 4) AS VARCHAR) AS value FROM train
        UNION ALL SELECT 'rolling_mean_8', CAST(round(median(rolling_mean_8), 4) AS VARCHAR) FROM train
        UNION ALL SELECT 'week_of_year', CAST(round(median(week_of_year), 4) AS VARCHAR) FROM train
+       UNION ALL SELECT 'month', CAST(round(median(month), 4) AS VARCHAR) FROM train
+       UNION ALL SELECT 'year', CAST(round(median(year), 4) AS VARCHAR) FROM train
+       UNION ALL SELECT 'lag_4', CAST(round(median(lag_4), 4) AS VARCHAR) FROM train
+       UNION ALL SELECT 'lag_8', CAST(round(median(lag_8), 4) AS VARCHAR) FROM train
+       UNION ALL SELECT 'rolling_mean_4', CAST(round(median(rolling_mean_4), 4) AS VARCHAR) FROM train
+       UNION ALL SELECT 'rolling_std_4', CAST(round(median(rolling_std_4), 4) AS VARCHAR) FROM train
        UNION ALL (SELECT 'store_id', CAST(store_id AS VARCHAR) FROM train GROUP BY store_id ORDER BY count(*) DESC, store_id LIMIT 1)
        UNION ALL (SELECT 'department', CAST(department AS VARCHAR) FROM train GROUP BY department ORDER BY count(*) DESC, department LIMIT 1)""",
 )
 def l1_fill_values(spark, folder):
     complete = features.drop_incomplete(features.series_features(sales_panel(spark, folder)))
     train, _ = features.time_split(complete, TEST_START, TEST_END)
-    medians = models.numeric_medians(train, ["lag_1", "rolling_mean_8", "week_of_year"])
+    medians = models.numeric_medians(train, [*features.ENGINEERED, "year", "month", "week_of_year"])
     modes = models.category_modes(train, ["store_id", "department"])
     return rounded(medians, "value").withColumn("value", F.col("value").cast("string")).unionByName(modes)
 
@@ -72,11 +104,53 @@ def l2_linear_regression(spark, folder):
                'store_department_week' AS evaluation_level FROM scored""",
 )
 def l2_linear_regression_lag(spark, folder):
-    # One feature, so that the fit has a closed form.
-    rows = models.model_rows(features.series_features(sales_panel(spark, folder)))
-    train, test = features.time_split(rows, TEST_START, TEST_END)
-    scored = models.fit_and_score(train, test, ["lag_1"], [], _only(models.LINEAR))
-    return round_measures(metrics.series_evaluation(scored))
+    return _lag_or_month(spark, folder, "lag_1", _only(models.LINEAR))
+
+
+def _stump(name: str, rows: str, target: str) -> str:
+    """The month that splits ``rows`` best, and the mean target on either side."""
+    return f"""{name}_cut AS (
+          SELECT m, sum(y) FILTER (WHERE month <= m) / sum(n) FILTER (WHERE month <= m) AS lo,
+                 sum(y) FILTER (WHERE month > m) / sum(n) FILTER (WHERE month > m) AS hi,
+                 sum(y) FILTER (WHERE month <= m) ^ 2 / sum(n) FILTER (WHERE month <= m)
+                   + sum(y) FILTER (WHERE month > m) ^ 2 / sum(n) FILTER (WHERE month > m) AS gain
+          FROM (SELECT month, sum({target}) AS y, CAST(count(*) AS DOUBLE) AS n FROM {rows} GROUP BY month), range(1, 12) t(m) GROUP BY m),
+        {name} AS (SELECT * FROM {name}_cut ORDER BY gain DESC, m LIMIT 1)"""
+
+
+_TRAIN = "train AS (SELECT month, CAST(weekly_sales AS DOUBLE) AS y FROM complete WHERE date < DATE '2001-06-01')"
+_TEST = "FROM complete, {tables} WHERE date BETWEEN DATE '2001-06-01' AND DATE '2001-08-31'"
+_SIDE = "(CASE WHEN month <= {t}.m THEN {t}.lo ELSE {t}.hi END)"
+
+
+@query(
+    "l3_forest_stump",
+    f"""WITH {_TRAIN}, {_stump("one", "train", "y")}, scored AS (SELECT CAST(weekly_sales AS DOUBLE) AS actual,
+          {_SIDE.format(t="one")} AS predicted {_TEST.format(tables="one")})
+        SELECT 'Random Forest' AS model, {measures("actual", "predicted")}, count(*) AS n_test_rows,
+               'store_department_week' AS evaluation_level FROM scored""",
+)
+def l3_forest_stump(spark, folder):
+    # One tree of one split over all rows.
+    sizes = models.Sizes(forest_trees=1, forest_depth=1, forest_bootstrap=False, models=(models.FOREST,))
+    return _lag_or_month(spark, folder, "month", sizes)
+
+
+@query(
+    "l4_two_stumps",
+    f"""WITH {_TRAIN}, {_stump("one", "train", "y")},
+          rest AS (SELECT month, 2 * (y - {_SIDE.format(t="one")}) AS r FROM train, one), {_stump("two", "rest", "r")},
+          scored AS (SELECT CAST(weekly_sales AS DOUBLE) AS actual,
+            {_SIDE.format(t="one")} + 0.5 * {_SIDE.format(t="two")} AS predicted {_TEST.format(tables="one, two")})
+        SELECT 'Boosted Trees' AS model, {measures("actual", "predicted")}, count(*) AS n_test_rows,
+               'store_department_week' AS evaluation_level FROM scored""",
+)
+def l4_two_stumps(spark, folder):
+    # Two rounds of one split each; the second is fitted to twice the rest.
+    sizes = models.Sizes(
+        boosting_rounds=2, boosting_depth=1, boosting_rate=0.5, row_sample=1.0, column_sample=1.0, models=(models.BOOSTED,)
+    )
+    return _lag_or_month(spark, folder, "month", sizes)
 
 
 @query("l3_random_forest")
@@ -91,14 +165,13 @@ def l4_boosted_trees(spark, folder):
 
 @query("l5_model_comparison")
 def l5_model_comparison(spark, folder):
-    return round_measures(models.model_comparison(_forecast(spark, folder, models.LINEAR, models.FOREST)))
+    return round_measures(models.model_comparison(_forecast(spark, folder)))
 
 
 @query("l6_prediction_table")
 def l6_prediction_table(spark, folder):
-    scored = _forecast(spark, folder, models.LINEAR, models.FOREST)
-    columns = {"pred_linear_regression": models.LINEAR, "pred_random_forest": models.FOREST}
-    return metrics.prediction_table(scored, columns)
+    columns = {f"pred_{m.lower().replace(' ', '_')}": m for m in SIZES.models}
+    return metrics.prediction_table(_forecast(spark, folder), columns)
 
 
 @query("l7_feature_importance")
@@ -190,33 +263,47 @@ def k1_baseline_arima_comparison(spark, folder):
 
 @query("k2_final_comparison")
 def k2_final_comparison(spark, folder):
-    scored = _forecast(spark, folder, models.LINEAR, models.FOREST)
-    company = metrics.summed_evaluation(scored, models.TARGET)
+    company = metrics.summed_evaluation(_forecast(spark, folder), models.TARGET)
     company = company.withColumn("model", F.concat("model", F.lit(" Aggregate")))
     return round_measures(metrics.by_mape(_statistical_comparison(spark, folder).unionByName(company)))
 
 
 @query("k3_scenario_grid")
 def k3_scenario_grid(spark, folder):
-    train, test = split(spark, folder)
-    scored = models.scenario_grid(train, test, _only(models.LINEAR, models.FOREST))
-    granular, company = models.scenario_comparison(scored)
+    granular, company = models.scenario_comparison(scenario_forecasts(spark, folder))
     return round_measures(granular.unionByName(company, allowMissingColumns=True))
 
 
 @query("k4_sensitivity_models")
 def k4_sensitivity_models(spark, folder):
-    train, test = split(spark, folder)
-    _, company = models.scenario_comparison(models.scenario_grid(train, test, _only(models.LINEAR)))
+    _, company = models.scenario_comparison(scenario_forecasts(spark, folder))
     return backtest.sensitivity(company)
 
 
+@query(
+    "k7_lag_backtest",
+    f"""WITH fit AS (SELECT p.fold, p.test_start, p.test_end, regr_slope(c.weekly_sales, c.lag_1) AS b,
+                            regr_intercept(c.weekly_sales, c.lag_1) AS a
+          FROM plan p JOIN complete c ON c.date < p.test_start GROUP BY ALL),
+        scored AS (SELECT fold, CAST(weekly_sales AS DOUBLE) AS actual, a + b * lag_1 AS predicted
+          FROM fit JOIN complete ON date BETWEEN test_start AND test_end)
+        SELECT fold, 'Linear Regression' AS model, {measures("actual", "predicted")}, count(*) AS n_test_rows
+        FROM scored GROUP BY fold""",
+)
+def k7_lag_backtest(spark, folder):
+    # The fit of one feature has a closed form in each of the 20 folds.
+    rows = models.model_rows(features.series_features(sales_panel(spark, folder)))
+    folds = backtest.folds(backtest_plan(backtest.week_counts(rows)))
+    scored = models.backtest_scores(rows, folds, ["lag_1"], [], _only(models.LINEAR))
+    return round_measures(metrics.metrics(scored, models.TARGET, "predicted", ["fold", "model"], "n_test_rows"))
+
+
 @query("k7_model_backtest")
 def k7_model_backtest(spark, folder):
     rows = model_rows(spark, folder)
     weeks = backtest.week_counts(rows)
     # Two long folds over all weeks.
-    plan = backtest.fold_plan(weeks, initial_train_weeks=200, test_weeks=70, strict=False)
+    plan = backtest.fold_plan(weeks, initial_train_weeks=209, test_weeks=70)
     numeric, categorical = features.scenario_features(features.OPERATIONAL, rows.columns)
     features.require_feature_count(numeric + categorical)
     scored = models.backtest_scores(

@@ -111,6 +111,13 @@ def t10_test_summer(spark, folder):
     return features.seasonal_test_rows(series, TEST_YEAR)
 
 
+# Fixed values, written out here so that the SQL does not take them from the code it checks.
+_NUMERIC = [
+    "year", "month", "week_of_year", "store_size", "temperature", "fuel_price", "cpi", "unemployment",
+    "markdown_1", "markdown_2", "markdown_3", "markdown_4", "markdown_5", "total_markdown", "is_holiday",
+    "lag_1", "lag_4", "lag_8", "rolling_mean_4", "rolling_mean_8", "rolling_std_4",
+]
+_CATEGORICAL = ["store_id", "department", "store_type", "region", "holiday_name", "season"]
 _HIDDEN = ["temperature", "fuel_price", "cpi", "unemployment"]
 
 
@@ -122,8 +129,7 @@ def _feature_counts_sql() -> str:
         FROM featured s
         LEFT JOIN features f ON f.store_id = s.store_id AND f.date = s.date
         LEFT JOIN stores t ON t.store_id = s.store_id"""
-    every = [(f, "numeric") for f in features.NUMERIC_FEATURES]
-    every += [(f, "categorical") for f in features.CATEGORICAL_FEATURES]
+    every = [(f, "numeric") for f in _NUMERIC] + [(f, "categorical") for f in _CATEGORICAL]
     counts = " UNION ALL ".join(
         f"SELECT '{f}' AS feature, '{kind}' AS kind, count({f}) AS n_rows FROM r" for f, kind in every
     )
@@ -180,6 +186,9 @@ def t13_feature_availability(spark, folder):
        SELECT p.store_id, p.department, any_value(c.date) AS date, CAST(any_value(year(c.date)) AS INTEGER) AS year,
               CAST(any_value(month(c.date)) AS INTEGER) AS month,
               CAST(any_value(weekofyear(c.date)) AS INTEGER) AS week_of_year, any_value(t.region) AS region,
+              any_value(t.store_type) AS store_type, any_value(t.store_size) AS store_size,
+              CASE WHEN any_value(month(c.date)) IN (12, 1, 2) THEN 'Winter' WHEN any_value(month(c.date)) IN (3, 4, 5) THEN 'Spring'
+                   WHEN any_value(month(c.date)) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END AS season,
               max(CASE WHEN age = 1 THEN weekly_sales END) AS lag_1, max(CASE WHEN age = 4 THEN weekly_sales END) AS lag_4,
               max(CASE WHEN age = 8 THEN weekly_sales END) AS lag_8,
               round(avg(CASE WHEN age <= 4 THEN weekly_sales END), 4) AS rolling_mean_4,
@@ -192,6 +201,6 @@ def t14_next_week(spark, folder):
     # Of the other tables, only the stores give columns to the coming week.
     known = panel(spark, folder, "store_type", "store_size", "region")
     rows = features.next_week_rows(known).select(
-        *SALES_KEY, "year", "month", "week_of_year", "region", *features.ENGINEERED
+        *SALES_KEY, "year", "month", "week_of_year", "region", "store_type", "store_size", "season", *features.ENGINEERED
     )
     return rounded(rounded(rows, "rolling_mean_4", "rolling_mean_8"), "rolling_std_4", digits=2)

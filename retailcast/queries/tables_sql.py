@@ -158,7 +158,7 @@ _DEFINITIONS = {
         FROM (SELECT DISTINCT date FROM complete)""",
     "tested": """
         SELECT date, CAST((n - first_n - 1) // 14 + 1 AS INTEGER) AS fold, n FROM
-          (SELECT *, 64 + (weeks - 64) % 14 AS first_n FROM numbered) WHERE n > first_n""",
+          (SELECT *, 69 AS first_n FROM numbered) WHERE n > first_n""",
     "plan": """
         SELECT fold, (SELECT min(date) FROM numbered) AS train_start,
                (SELECT max(m.date) FROM numbered m WHERE m.n < min(t.n)) AS train_end,

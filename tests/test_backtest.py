@@ -35,6 +35,8 @@ def test_plan_must_divide(spark):
         backtest.fold_plan(weeks(spark, 149))
     with pytest.raises(ValueError, match="no week"):
         backtest.fold_plan(weeks(spark, 64))
+    with pytest.raises(ValueError, match="do not make a fold"):
+        backtest.fold_plan(weeks(spark, 70), strict=False)
     plan = backtest.fold_plan(weeks(spark, 149), strict=False).collect()
     assert len(plan) == 6 and plan[0]["n_train_weeks"] == 65
     assert plan[-1]["test_end"] == START + dt.timedelta(weeks=148)

@@ -79,9 +79,17 @@ def test_fill_values_come_from_training(spark):
     assert fitted.modes == {"store_id": "2", "color": "blue"}
     later = spark.createDataFrame([(99, 1, START, 1.0, None, 5.0, "green"), (10, 1, START, 1.0, 3.0, 5.0, None)], schema)
     unseen, filled = [r["features"].toArray().tolist() for r in fitted.transform(later).collect()]
-    # a, b, stores 1, 10 and 2, colors blue and red
-    assert unseen == [1.75, 5.0, 0, 0, 0, 0, 0]
-    assert filled == [3.0, 5.0, 0, 1, 0, 1, 0]
+    # a, b, colors blue and red, the mean target of the store
+    assert unseen == [1.75, 5.0, 0, 0, 1.0]
+    assert filled == [3.0, 5.0, 1, 0, 1.0]
+
+
+def test_width_does_not_follow_the_stores(spark):
+    raw = [(s, 1, START, float(s), 1.0 * (s % 7), 0.5, "red") for s in range(300)]
+    schema = "store_id long, department int, date date, weekly_sales double, a double, b double, color string"
+    train = spark.createDataFrame(raw, schema)
+    out = models.fit_preprocessor(train, NUMERIC, CATEGORICAL).transform(train).first()
+    assert (out["features"].size, out["within"].size) == (4, 3)
 
 
 def test_importance_names(data):
@@ -91,7 +99,7 @@ def test_importance_names(data):
     model = models.train_models(assembled, sizes)[models.BOOSTED]
     got = models.feature_importance(model, assembled).collect()
     names = {r["feature"] for r in got}
-    assert {"num__a", "num__b", "cat__store_id_1", "cat__color_red"} <= names and len(names) == 7
+    assert names == {"num__a", "num__b", "stat__store_id", "cat__color_blue", "cat__color_red"}
     assert sum(r["importance"] for r in got) == pytest.approx(1)
     assert [r["importance"] for r in got] == sorted((r["importance"] for r in got), reverse=True)
 
