@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retailcast.session import materialize
+
 # What the contracts call white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,3 +43,15 @@ def join_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     hot = F.broadcast(groups.where(F.col(size) * HOT_KEYS > total))
     rest = rows.join(hot.select(key), key, "left_anti").join(groups, key)
     return rows.join(hot, key).unionByName(rest)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """As ``materialize``, and the shuffle files of the job go as soon as the table is written, so that
+    the steps of an operator do not need their disk at the same time."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        conf.set(name, before)

@@ -11,9 +11,10 @@ have equal anchors. Consecutive windows with one anchor make a stretch. Three st
    are smaller than their successors are sorted directly, all others are induced from them bucket by
    bucket. Neighbours with a common prefix of 50 bytes are equal windows.
 
-Anchors that very many documents hold would meet in one task. Those are known from a bounded sample;
-each block of documents reduces their windows to one for each different string before they meet.
-Which anchors count as such never changes a result.
+Anchors that very many documents hold would meet in one task. Those are known from a bounded sample.
+Tasks reduce their stretches, and then their windows, to one document for each different one (all
+later documents of the task lose them at once), and the windows meet by their own hashes. Which
+anchors count as such never changes a result.
 """
 
 from __future__ import annotations
@@ -27,9 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailcast.llm.common import partitions, text_or_empty
+from retailcast.llm.common import partitions, text_or_empty, written
 from retailcast.llm.words import BASE, INVERSE, buffers, mixed, powers
-from retailcast.session import materialize
 
 WINDOW = 50
 GRAM = 20
@@ -142,17 +142,49 @@ _ENTRY = np.dtype([("anchor", "<u4"), ("more", "<u2"), ("hash", "<u8")])
 _OWNER = np.dtype([("doc", "<i8"), ("count", "<u4")])
 
 
+def _expanded(found: Stretches, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all windows of the stretches ``which``, and the stretch of each."""
+    counts = found.windows[which]
+    starts = np.repeat(found.start[which] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(int(counts.sum()))
+    return starts, np.repeat(which, counts)
+
+
+def _later(doc: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Whether a smaller document stands beside the same hash."""
+    order = np.lexsort((doc, whole))
+    new = np.r_[True, whole[order][1:] != whole[order][:-1]] if len(order) else np.zeros(0, dtype=bool)
+    least = np.empty_like(doc)
+    least[order] = doc[order][new][np.cumsum(new) - 1] if len(order) else doc
+    return doc > least
+
+
+def _frequent_windows(found: Stretches, doc: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents and hashes of the windows of frequent anchors, and what is already removed."""
+    gone = _later(doc[often], found.hash[often])
+    told = _records(_STATUS, doc[often][gone], found.hash[often][gone], REMOVED)
+    starts, stretch = _expanded(found, often[~gone])
+    return doc[stretch], _window_hashes(found.data, starts), told
+
+
 def _sent_stretches(buckets: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            kept, windows, told = [], [], []
             for a, b in buffers(texts):
                 found = stretches(texts[a:b])
-                rare = ~_is_in(found.anchor, frequent.value)
-                kept.append((docs[a + found.text[rare]], found.anchor[rare], found.hash[rare]))
+                doc, often = docs[a + found.text], _is_in(found.anchor, frequent.value)
+                kept.append((doc[~often], found.anchor[~often], found.hash[~often]))
+                *own, known = _frequent_windows(found, doc, np.flatnonzero(often))
+                windows.append(own)
+                told.append(known)
             if not kept:
                 continue
+            doc, whole = (np.concatenate(c) for c in zip(*windows))
+            gone = _later(doc, whole)
+            told.append(_records(_STATUS, doc[gone], whole[gone], REMOVED))
+            # A window meets its like by its own hash, as if it were its anchor.
+            kept.append((doc[~gone], mixed(whole[~gone]), whole[~gone]))
             doc, anchor, whole = (np.concatenate(c) for c in zip(*kept))
             bucket = (anchor % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((doc, bucket))
@@ -163,10 +195,12 @@ def _sent_stretches(buckets: int, frequent):
                 entry["anchor"], entry["hash"] = anchor[a:b] >> np.uint64(32), whole[a:b]
                 entry["more"] = (anchor[a:b] >> np.uint64(16)) & np.uint64(0xFFFF)
                 owner, count = np.unique(doc[a:b], return_counts=True)
-                owners = np.empty(len(owner), dtype=_OWNER)
-                owners["doc"], owners["count"] = owner, count
-                rows.append((int(bucket[a]), owners.tobytes(), entry.tobytes()))
-            yield _payloads(rows, ("bucket", "owners", "entries"))
+                rows.append((int(bucket[a]), _records(_OWNER, owner, count).tobytes(), entry.tobytes(), None))
+            known = np.unique(np.concatenate(told))
+            at = np.mod(known["doc"], buckets)
+            order = np.argsort(at, kind="stable")
+            rows += [(int(at[order[a]]), None, None, known[order[a:b]].tobytes()) for a, b in _cuts(at[order])]
+            yield _payloads(rows, ("bucket", "owners", "entries", "told"))
 
     return run
 
@@ -177,7 +211,7 @@ def _payloads(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
 
 
 def _joined(table: pa.Table, column: str, dtype: np.dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype=dtype)
+    return np.frombuffer(b"".join(table.column(column).drop_null().to_pylist()), dtype=dtype)
 
 
 _STATUS = np.dtype([("doc", "<i8"), ("hash", "<u8"), ("status", "u1")])
@@ -189,6 +223,8 @@ def _judged(blocks: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         owners, entries = _joined(table, "owners", _OWNER), _joined(table, "entries", _ENTRY)
         doc = np.repeat(owners["doc"], owners["count"])
+        if not len(doc):
+            return _by_block(np.unique(_joined(table, "told", _STATUS)), blocks)
         anchor = (entries["anchor"].astype(np.uint64) << np.uint64(16)) | entries["more"]
         order = np.lexsort((doc, entries["hash"], anchor))
         doc, anchor, whole = doc[order], anchor[order], entries["hash"][order]
@@ -202,8 +238,8 @@ def _judged(blocks: int):
         several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
         status = np.where(doc != first_doc, REMOVED, np.where((kinds > 1)[of_anchor] & several[of_anchor], OPEN, 0)).astype(np.uint8)
         told = status > 0
-        out = np.unique(_records(_STATUS, doc[told], whole[told], status[told]))
-        return _by_block(out, blocks)
+        out = _records(_STATUS, doc[told], whole[told], status[told])
+        return _by_block(np.unique(np.concatenate([out, _joined(table, "told", _STATUS)])), blocks)
 
     return run
 
@@ -211,7 +247,7 @@ def _judged(blocks: int):
 def _records(dtype: np.dtype, *columns: np.ndarray) -> np.ndarray:
     out = np.empty(len(columns[0]), dtype=dtype)
     for name, values in zip(dtype.names, columns):
-        out[name] = values
+        out[name] = values  # a scalar stands for all rows
     return out
 
 
@@ -316,7 +352,6 @@ def _apply(buckets: int, frequent, with_kept: bool):
         docs, texts = left.column("doc_id").to_numpy(), left.column("text").to_pylist()
         told = _Told(_joined(right, "told", _STATUS), "status")
         block = _Block(len(texts))
-        common: list[tuple[np.ndarray, ...]] = []
         for a, b in buffers(texts):
             found = stretches(texts[a:b])
             row = a + found.text
@@ -335,43 +370,17 @@ def _apply(buckets: int, frequent, with_kept: bool):
                 _, unique = np.unique(_pair_key(docs[row[first]], found.hash[first]), return_index=True)
                 first = first[unique]
                 block.give(found.data, docs[row[first]], found.hash[first], found.anchor[first], found.start[first], found.windows[first] + WINDOW - 1)
-            if often.any():
-                counts = found.windows[often]
-                starts = np.repeat(found.start[often] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(int(counts.sum()))
-                rows = np.repeat(row[often], counts)
-                hashes = _window_hashes(found.data, starts)
-                order = np.lexsort((docs[rows], hashes))
-                common.append((hashes[order], docs[rows][order], rows[order], (starts - found.edges[rows - a])[order]))
-        _reduce_common(block, common, texts, docs)
+            starts, stretch = _expanded(found, np.flatnonzero(often & (status != REMOVED)))
+            gone = told.of(docs[row[stretch]], _window_hashes(found.data, starts)) == REMOVED
+            place, own = (starts - found.edges[found.text[stretch]])[gone], row[stretch][gone]
+            for i, j in _cuts(own):
+                runs = _in_runs(place[i:j])
+                block.remove(own[i], runs["start"], runs["end"])
         return _table(_finished(block, docs, texts, with_kept) + _given(block, buckets), _PART)
 
     return run
 
 
-def _reduce_common(block: _Block, common: list[tuple[np.ndarray, ...]], texts: list[bytes], docs: np.ndarray) -> None:
-    """Windows of frequent anchors: the block's first document with a window waits for other blocks,
-    all later ones lose it."""
-    if not common:
-        return
-    hashes, doc, row, start = (np.concatenate(c) for c in zip(*common))
-    order = np.lexsort((doc, hashes))
-    hashes, doc, row, start = hashes[order], doc[order], row[order], start[order]
-    new = np.r_[True, hashes[1:] != hashes[:-1]]
-    least = doc[new][np.cumsum(new) - 1]
-    by_row = np.argsort(row, kind="stable")
-    for i, j in _cuts(row[by_row]):
-        own = by_row[i:j]
-        gone = doc[own] > least[own]
-        runs = _in_runs(start[own][gone])
-        block.remove(row[own[0]], runs["start"], runs["end"])
-        if not gone.all():
-            block.wait(row[own[0]], hashes[own][~gone], start[own][~gone])
-    firsts = np.flatnonzero(new)
-    data = np.frombuffer(b"".join(texts[r][s : s + WINDOW] for r, s in zip(row[firsts].tolist(), start[firsts].tolist())), dtype=np.uint8)
-    size = np.full(len(firsts), WINDOW, dtype=np.int64)
-    block.give(data, doc[firsts], hashes[firsts], hashes[firsts], np.arange(len(firsts)) * WINDOW, size)
-
-
 def _finished(block: _Block, docs: np.ndarray, texts: list[bytes], with_kept: bool) -> list[dict]:
     rows = []
     for i, text in enumerate(texts):
@@ -567,12 +576,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = narrow.where("doc_id IS NOT NULL")
     frequent = spark.sparkContext.broadcast(frequent_anchors(named, named.count()))
     buckets = blocks = _prime_from(max(7, partitions(docs)))
-    sent = named.mapInArrow(_sent_stretches(buckets, frequent), "bucket long, owners binary, entries binary")
+    sent = named.mapInArrow(_sent_stretches(buckets, frequent), "bucket long, owners binary, entries binary, told binary")
     told = sent.groupBy("bucket").applyInArrow(_judged(blocks), "block long, told binary")
-    told = materialize(told, "stretches-told")
+    told = written(told, "stretches-told")
     placed = named.withColumn("block", F.pmod("doc_id", F.lit(blocks)))
     part = placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_apply(buckets, frequent, with_kept), _ddl(_PART))
-    part = materialize(part, "passages-open")
+    part = written(part, "passages-open")
     strings = part.where("bucket IS NOT NULL").select("bucket", "strings", "bytes")
     masks = strings.groupBy("bucket").applyInArrow(_resolved(blocks), "block long, told binary")
     waiting = part.where("waiting IS NOT NULL").select("doc_id", "text", "ranges", "waiting", F.pmod("doc_id", F.lit(blocks)).alias("block"))
