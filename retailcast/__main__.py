@@ -5,9 +5,12 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 
+from retailcast.operators import backtest, models
 from retailcast.plans.stages import STAGES, Job
 from retailcast.session import build_session, clear_scratch
 
+_SIZES = ("forest_trees", "forest_depth", "forest_min_leaf", "boosting_rounds", "boosting_depth", "boosting_rate")
+
 
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="retailcast")
@@ -18,6 +21,11 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--outputs", required=True)
     parser.add_argument("--test", nargs=2, required=True, type=dt.date.fromisoformat, metavar=("FROM", "TO"))
     parser.add_argument("--fits-at-once", type=int, default=1, help="folds or scenarios fitted side by side")
+    parser.add_argument("--initial-train-weeks", type=int, default=backtest.INITIAL_TRAIN_WEEKS)
+    parser.add_argument("--test-weeks", type=int, default=backtest.TEST_WEEKS, help="weeks of a fold")
+    for name in _SIZES:
+        default = getattr(models.Sizes(), name)
+        parser.add_argument(f"--{name.replace('_', '-')}", type=type(default), default=default)
     parser.add_argument("--master")
     given = parser.parse_args(arguments)
     job = Job(
@@ -28,6 +36,9 @@ def main(arguments: list[str] | None = None) -> None:
         *given.test,
         raw_format=given.raw_format,
         fits_at_once=given.fits_at_once,
+        initial_train_weeks=given.initial_train_weeks,
+        test_weeks=given.test_weeks,
+        sizes=models.Sizes(**{name: getattr(given, name) for name in _SIZES}),
     )
     try:
         for name in STAGES if "all" in given.stages else given.stages:

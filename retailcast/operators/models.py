@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -11,7 +12,14 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (
+    GBTRegressionModel,
+    GBTRegressor,
+    LinearRegression,
+    LinearRegressionModel,
+    RandomForestRegressionModel,
+    RandomForestRegressor,
+)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -270,6 +278,37 @@ def fit_and_score(
     return score(models, prepared.transform(test))
 
 
+def forecast_rows(
+    rows: DataFrame, coming: DataFrame, numeric: list[str], categorical: list[str], sizes: Sizes = Sizes()
+) -> DataFrame:
+    """(key, model, predicted) for rows whose sales are still ahead, learnt from all ``rows``.
+
+    Features that ``coming`` lacks are left out of the fit as well.
+    """
+    known = [[c for c in names if c in coming.columns] for names in (numeric, categorical)]
+    return fit_and_score(rows, coming, *known, sizes).drop(TARGET)
+
+
+def save_forecaster(prepared: Preprocessor, models: dict[str, Model], path: str) -> None:
+    """Write what was learnt: one row of settings, the means per store, the fitted models."""
+    spark = SparkSession.active()
+    kept = {k: getattr(prepared, k) for k in ("numeric", "categorical", "medians", "modes", "levels", "overall", "scale")}
+    row = [(json.dumps(kept | {"models": list(models)}),)]
+    spark.createDataFrame(row, "settings string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+    if prepared.means is not None:
+        prepared.means.write.mode("overwrite").parquet(f"{path}/means")
+    for i, model in enumerate(models.values()):
+        model.write().overwrite().save(f"{path}/model-{i}")
+
+
+def load_forecaster(spark: SparkSession, path: str) -> tuple[Preprocessor, dict[str, Model]]:
+    kept = json.loads(spark.read.text(f"{path}/settings").first()[0])
+    names = kept.pop("models")
+    kinds = {LINEAR: LinearRegressionModel, FOREST: RandomForestRegressionModel, BOOSTED: GBTRegressionModel}
+    means = spark.read.parquet(f"{path}/means") if WIDE in kept["categorical"] else None
+    return Preprocessor(**kept, means=means), {n: kinds[n].load(f"{path}/model-{i}") for i, n in enumerate(names)}
+
+
 def feature_importance(model: Model, assembled: DataFrame, top: int | None = None) -> DataFrame:
     """(feature, importance) of a tree model, highest first; one row per model input."""
     attributes = assembled.schema["features"].metadata["ml_attr"]["attrs"]

@@ -39,6 +39,9 @@ from retailcast.sources.files import (
 )
 
 
+YEAR_FILES = 32
+
+
 @dataclass
 class Job:
     """Where the tables are, and what is tested."""
@@ -115,6 +118,13 @@ def validate(job: Job) -> None:
     job.write("relationship_verdict", checks.verdict(found))
     job.write("panel_cardinality", checks.panel_cardinality(sales))
     job.write("panel_balance", checks.panel_balance(sales))
+    # The rows behind the counts.
+    job.write("key_coverage", checks.key_coverage(sales, features_))
+    job.write("store_coverage", checks.store_coverage(sales, stores))
+    job.write("holiday_variation", checks.holiday_variation(sales))
+    job.write("holiday_mismatch", checks.holiday_mismatch(sales, features_))
+    write_table(checks.unmatched_rows(sales, features_, schema.FEATURES_KEY), job.out("sales_without_features"))
+    write_table(checks.unmatched_rows(sales, stores, schema.STORES_KEY), job.out("sales_without_store"))
     found.unpersist()
 
 
@@ -122,7 +132,8 @@ def prepare(job: Job) -> None:
     """Clean and join the raw tables; stops if a guard fails."""
     sales, features_, stores = job.raw_tables()
     panel = clean.checked_panel(sales, features_, stores)
-    # Rows of a year go to one directory; a task writes a part of it.
+    # Rows of a year go to one directory, in a bounded number of files.
+    panel = panel.repartition("year", F.pmod(F.hash("store_id"), F.lit(YEAR_FILES)))
     write_table(panel, job.panel_path, "parquet", partition_by=["year"])
 
 
@@ -133,6 +144,9 @@ def audit(job: Job) -> None:
     found = checks.audit_checks(sales, panel).persist()
     job.write("audit_checks", found)
     job.write("audit_verdict", checks.verdict(found))
+    job.write("audit_sales_signs", checks.sales_sign_counts(panel))
+    job.write("audit_negative_flag", checks.negative_flag_mismatches(panel))
+    job.write("audit_holiday_names", profile.value_counts(panel, "holiday_name"))
     job.write("audit_reconciliation", checks.reconciliation(sales, panel))
     job.write("audit_holiday_labels", checks.holiday_label_violations(panel))
     job.write("audit_calendar", checks.calendar_mismatches(panel))
@@ -153,6 +167,9 @@ def describe(job: Job) -> None:
     job.write("markdown_sales_summary", rollups.sales_by_markdown(summer))
     for key in ("store_type", "region", "department"):
         job.write(f"{key}_sales_summary", rollups.ranked_totals(summer, key))
+    job.write("top_departments", rollups.ranked_totals(summer, "department", 10))
+    job.write("sales_by_temperature", rollups.sales_by_temperature(summer))
+    write_table(rollups.subset_profile(summer), f"{job.processed}/summer_profile.parquet", "parquet")
 
 
 def baseline(job: Job) -> None:
@@ -196,6 +213,10 @@ def regression(job: Job) -> None:
     fitted = models.train_models(assembled, job.sizes)
     scored = models.score(fitted, prepared.transform(test)).persist()
     job.write("ml_model_comparison", models.model_comparison(scored))
+    for key in schema.SERIES_KEY:
+        by = metrics.metrics(scored, models.TARGET, "predicted", ["model", key])
+        job.write(f"ml_error_by_{key}", by.orderBy("model", key))
+    models.save_forecaster(prepared, fitted, job.out("regression_models"))
     columns = {"pred_" + m.lower().replace(" ", "_"): m for m in fitted}
     write_table(metrics.prediction_table(scored, columns), job.out("ml_forecast"))
     company = metrics.by_mape(metrics.summed_evaluation(scored, models.TARGET))
@@ -261,13 +282,29 @@ def business(job: Job) -> None:
         kpi.wape_reduction(summary),
     ]
     job.write("business_summary_metrics", kpi.kpi_table(figures))
+    won = kpi.winning_folds(summary, job.read("rolling_origin_fold_winners"))
+    job.write("business_winning_folds", won.withColumn("folds_won", F.array_join("folds_won", ",")))
+    job.write("business_top_departments", rollups.ranked_totals(summer, "department", 5))
     job.write("holiday_lift", kpi.holiday_lift(rollups.sales_by_holiday(summer)))
 
 
 def coming_week(job: Job) -> None:
-    """Rows of the week after the last one, as far as they are known."""
-    rows = features.next_week_rows(job.panel())
+    """Rows of the week after the last one, as far as they are known, and their forecasts.
+
+    Holidays and promotions come from the raw features, if they reach that far; the models learn from
+    all complete rows, on the features that are known ahead.
+    """
+    _, raw_features, _ = job.raw_tables()
+    panel = job.panel()
+    ahead = raw_features.where(F.col("date") > panel.agg(F.max("date")).scalar())
+    planned = rollups.with_markdown_total(clean.fill_texts(clean.fill_markdowns(ahead))).drop("season", *schema.ECONOMY)
+    rows = features.next_week_rows(panel, planned)
     write_table(rows, f"{job.processed}/coming_week.parquet", "parquet")
+    coming = read_table(job.spark, f"{job.processed}/coming_week.parquet")
+    past = _model_rows(job)
+    numeric, categorical = features.scenario_features(features.OPERATIONAL, past.columns)
+    scored = models.forecast_rows(past, coming, numeric, categorical, job.sizes)
+    job.write("coming_week_forecast", scored.orderBy("model", *schema.SALES_KEY))
 
 
 STAGES: dict[str, Callable[[Job], None]] = {

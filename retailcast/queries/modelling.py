@@ -298,6 +298,20 @@ def k7_lag_backtest(spark, folder):
     return round_measures(metrics.metrics(scored, models.TARGET, "predicted", ["fold", "model"], "n_test_rows"))
 
 
+@query(
+    "t14_next_week_forecast",
+    """WITH fit AS (SELECT regr_slope(weekly_sales, lag_1) AS b, regr_intercept(weekly_sales, lag_1) AS a FROM complete),
+        coming AS (SELECT store_id, department, max_by(weekly_sales, date) AS lag_1 FROM sales GROUP BY store_id, department)
+       SELECT store_id, department, (SELECT max(date) + 7 FROM sales) AS date, 'Linear Regression' AS model,
+              round(a + b * lag_1, 2) AS predicted FROM coming, fit""",
+)
+def t14_next_week_forecast(spark, folder):
+    sales = sales_panel(spark, folder)
+    rows = models.model_rows(features.series_features(sales))
+    scored = models.forecast_rows(rows, features.next_week_rows(sales), ["lag_1"], [], _only(models.LINEAR))
+    return rounded(scored, "predicted", digits=2)
+
+
 @query("k7_model_backtest")
 def k7_model_backtest(spark, folder):
     rows = model_rows(spark, folder)

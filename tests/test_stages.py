@@ -5,7 +5,9 @@ from pathlib import Path
 
 import pytest
 
+from retailcast.operators import features, models
 from retailcast.operators.models import Sizes
+from retailcast.plans import stages
 from retailcast.plans.stages import STAGES, Job
 from retailcast.sources import orders_panel
 from retailcast.sources.files import write_table
@@ -63,3 +65,23 @@ def test_all_stages(job):
     table = read("business_summary_metrics")
     assert len(table) == 22 and {r["metric"]: r["value"] for r in table}["total_folds"] == "2"
     assert read("boosted_feature_importance")[0]["importance"] > 0
+    coming = read("coming_week_forecast")
+    assert len(coming) == 3 * 60 and all(r["predicted"] is not None for r in coming)
+    assert len(read("ml_error_by_department")) == 3 * 6 and len(read("ml_error_by_store_id")) == 3 * 10
+    for name in ("audit_sales_signs", "audit_negative_flag", "business_winning_folds"):
+        assert len(read(name)) >= 1, name
+    for name in ("key_coverage", "store_coverage", "holiday_variation", "holiday_mismatch", "sales_without_features", "sales_without_store"):
+        assert job.read(name).count() >= 0, name
+    assert len(read("top_departments")) == 6 and len(read("business_top_departments")) == 5
+    assert len(read("audit_holiday_names")) > 1 and len(read("sales_by_temperature")) > 1
+
+
+def test_saved_models_predict_the_same(job):
+    rows = stages._model_rows(job)
+    prepared, fitted = models.load_forecaster(job.spark, job.out("regression_models"))
+    _, test = features.time_split(rows, job.test_start, job.test_end)
+    scored = models.score(fitted, prepared.transform(test)).where("model = 'Linear Regression'")
+    got = {(r["store_id"], r["department"], str(r["date"])): r["predicted"] for r in scored.collect()}
+    for r in job.read("ml_forecast").collect():
+        key = (int(r["store_id"]), int(r["department"]), str(r["date"]))
+        assert got[key] == pytest.approx(float(r["pred_linear_regression"]))
