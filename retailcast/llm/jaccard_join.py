@@ -37,7 +37,7 @@ class Settings:
     words: int = SHINGLE
     steps: int = 4
     recall: float = 0.998
-    limit: int = 1024
+    limit: int = 256
 
     @property
     def runs(self) -> int:
