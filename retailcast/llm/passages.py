@@ -37,6 +37,8 @@ REACH = WINDOW - GRAM + 1  # grams in a window
 SAMPLE_DOCS = 16_384  # bound of the sample that tells frequent anchors
 FREQUENT_DOCS = 16  # documents of the sample from which an anchor is frequent
 PIECE = 1 << 20  # bytes that one suffix array holds, unless a single anchor has more
+SENT_TEXT = 8 << 20  # bytes of text whose stretches are sent together
+MIDDLE = 15  # bytes of a window before its anchor: at least so many, or at most
 
 REMOVED, OPEN = 1, 2
 
@@ -52,6 +54,11 @@ class Stretches:
     start: np.ndarray  # first window in ``data``
     windows: np.ndarray
     edges: np.ndarray  # where each text begins in ``data``
+    # One byte of a hash of what all windows with at least (left) or at most (right) MIDDLE bytes before
+    # the anchor cover; 0 if the stretch has no such window. Two stretches of an anchor can share a
+    # window only if they agree in one of them.
+    left: np.ndarray
+    right: np.ndarray
 
 
 def _least_of_windows(keys: np.ndarray) -> np.ndarray:
@@ -68,7 +75,8 @@ def stretches(texts: list[bytes]) -> Stretches:
     edges = np.cumsum([0] + [len(t) for t in texts])
     none = np.zeros(0, dtype=np.int64)
     if len(data) < WINDOW:
-        return Stretches(data, none, none.astype(np.uint64), none.astype(np.uint64), none, none, edges)
+        unsigned, bytes_ = none.astype(np.uint64), none.astype(np.uint8)
+        return Stretches(data, none, unsigned, unsigned, none, none, edges, bytes_, bytes_)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
     back = powers(INVERSE, len(data) + 1)
@@ -83,7 +91,15 @@ def stretches(texts: list[bytes]) -> Stretches:
     stops = np.flatnonzero(inside & np.r_[begins[1:] | ~inside[1:], True]) + 1
     anchor, end = at[start], stops + WINDOW - 1
     whole = mixed((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
-    return Stretches(data, owner[start], grams[anchor], whole, start, stops - start, edges)
+
+    def side(begin: np.ndarray, size: int, there: np.ndarray) -> np.ndarray:
+        begin = np.where(there, begin, 0)
+        print_ = mixed((sums[np.minimum(begin + size, len(data))] - sums[begin]) * back[begin])
+        return np.where(there, (print_ % np.uint64(255)).astype(np.uint8) + np.uint8(1), 0).astype(np.uint8)
+
+    left = side(anchor - MIDDLE, MIDDLE + GRAM, start <= anchor - MIDDLE)
+    right = side(anchor, WINDOW - MIDDLE, stops - 1 >= anchor - MIDDLE)
+    return Stretches(data, owner[start], grams[anchor], whole, start, stops - start, edges, left, right)
 
 
 def _window_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -138,7 +154,7 @@ def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 # What is sent: documents of a batch with the number of their stretches, then the stretches in the same
 # order. Six bytes of an anchor are enough (if two anchors look alike, more is open than need be).
-_ENTRY = np.dtype([("anchor", "<u4"), ("more", "<u2"), ("hash", "<u8")])
+_ENTRY = np.dtype([("anchor", "<u4"), ("more", "<u2"), ("hash", "<u8"), ("left", "u1"), ("right", "u1")])
 _OWNER = np.dtype([("doc", "<i8"), ("count", "<u4")])
 
 
@@ -170,41 +186,43 @@ def _sent_stretches(buckets: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            kept, windows, told = [], [], []
-            for a, b in buffers(texts):
-                found = stretches(texts[a:b])
-                doc, often = docs[a + found.text], _is_in(found.anchor, frequent.value)
-                kept.append((doc[~often], found.anchor[~often], found.hash[~often]))
-                *own, known = _frequent_windows(found, doc, np.flatnonzero(often))
-                windows.append(own)
-                told.append(known)
-            if not kept:
-                continue
-            doc, whole = (np.concatenate(c) for c in zip(*windows))
-            gone = _later(doc, whole)
-            told.append(_records(_STATUS, doc[gone], whole[gone], REMOVED))
-            # A window meets its like by its own hash, as if it were its anchor.
-            kept.append((doc[~gone], mixed(whole[~gone]), whole[~gone]))
-            doc, anchor, whole = (np.concatenate(c) for c in zip(*kept))
-            bucket = (anchor % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((doc, bucket))
-            doc, anchor, whole, bucket = doc[order], anchor[order], whole[order], bucket[order]
-            rows = []
-            for a, b in _cuts(bucket):
-                entry = np.empty(b - a, dtype=_ENTRY)
-                entry["anchor"], entry["hash"] = anchor[a:b] >> np.uint64(32), whole[a:b]
-                entry["more"] = (anchor[a:b] >> np.uint64(16)) & np.uint64(0xFFFF)
-                owner, count = np.unique(doc[a:b], return_counts=True)
-                rows.append((int(bucket[a]), _records(_OWNER, owner, count).tobytes(), entry.tobytes(), None))
-            known = np.unique(np.concatenate(told))
-            at = np.mod(known["doc"], buckets)
-            order = np.argsort(at, kind="stable")
-            rows += [(int(at[order[a]]), None, None, known[order[a:b]].tobytes()) for a, b in _cuts(at[order])]
-            yield _payloads(rows, ("bucket", "owners", "entries", "told"))
+            for a, b in buffers(texts, SENT_TEXT):
+                yield _payloads(_sent(docs[a:b], texts[a:b], buckets, frequent.value), ("bucket", "owners", "entries", "told"))
 
     return run
 
 
+def _sent(docs: np.ndarray, texts: list[bytes], buckets: int, frequent: np.ndarray) -> list[tuple]:
+    kept, windows, told = [], [], []
+    for a, b in buffers(texts):
+        found = stretches(texts[a:b])
+        doc, often = docs[a + found.text], _is_in(found.anchor, frequent)
+        kept.append([c[~often] for c in (doc, found.anchor, found.hash, found.left, found.right)])
+        *own, known = _frequent_windows(found, doc, np.flatnonzero(often))
+        windows.append(own)
+        told.append(known)
+    doc, whole = (np.concatenate(c) for c in zip(*windows))
+    gone = _later(doc, whole)
+    told.append(_records(_STATUS, doc[gone], whole[gone], REMOVED))
+    # A window meets its like by its own hash, as if it were its anchor.
+    none = np.zeros(int((~gone).sum()), dtype=np.uint8)
+    kept.append([doc[~gone], mixed(whole[~gone]), whole[~gone], none, none])
+    doc, anchor, whole, left, right = (np.concatenate(c) for c in zip(*kept))
+    bucket = (anchor % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((doc, bucket))
+    doc, bucket, anchor = doc[order], bucket[order], anchor[order]
+    more = (anchor >> np.uint64(16)) & np.uint64(0xFFFF)
+    entries = _records(_ENTRY, anchor >> np.uint64(32), more, whole[order], left[order], right[order])
+    rows = []
+    for a, b in _cuts(bucket):
+        owner, count = np.unique(doc[a:b], return_counts=True)
+        rows.append((int(bucket[a]), _records(_OWNER, owner, count).tobytes(), entries[a:b].tobytes(), None))
+    known = np.unique(np.concatenate(told))
+    at = np.mod(known["doc"], buckets)
+    order = np.argsort(at, kind="stable")
+    return rows + [(int(at[order[a]]), None, None, known[order[a:b]].tobytes()) for a, b in _cuts(at[order])]
+
+
 def _payloads(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     kinds = [pa.int64()] + [pa.binary()] * (len(names) - 1)
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], list(names))
@@ -232,11 +250,16 @@ def _judged(blocks: int):
         new_whole = new_anchor | np.r_[True, whole[1:] != whole[:-1]]
         of_whole = np.cumsum(new_whole) - 1
         first_doc = doc[new_whole][of_whole]
+        status = np.where(doc != first_doc, REMOVED, 0).astype(np.uint8)
+        # Anchors with several stretches; of these, the stretches that may share a window with another.
         of_anchor = np.cumsum(new_anchor) - 1
-        starts = np.flatnonzero(new_anchor)
-        kinds = np.add.reduceat(new_whole.astype(np.int64), starts)
-        several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
-        status = np.where(doc != first_doc, REMOVED, np.where((kinds > 1)[of_anchor] & several[of_anchor], OPEN, 0)).astype(np.uint8)
+        kinds = np.add.reduceat(new_whole.astype(np.int64), np.flatnonzero(new_anchor))
+        near = np.flatnonzero((kinds > 1)[of_anchor])
+        for side in ("left", "right"):
+            value = entries[side][order[near]]
+            own = near[value > 0]
+            alike = _in_several(anchor[own], value[value > 0], whole[own], doc[own])
+            status[own[alike & (status[own] == 0)]] = OPEN
         told = status > 0
         out = _records(_STATUS, doc[told], whole[told], status[told])
         return _by_block(np.unique(np.concatenate([out, _joined(table, "told", _STATUS)])), blocks)
@@ -244,6 +267,17 @@ def _judged(blocks: int):
     return run
 
 
+def _in_several(anchor: np.ndarray, value: np.ndarray, whole: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether rows with the same anchor and value are of several stretches and several documents."""
+    out = np.zeros(len(anchor), dtype=bool)
+    if len(anchor):
+        by = np.lexsort((value, anchor))
+        starts = np.flatnonzero(np.r_[True, (anchor[by][1:] != anchor[by][:-1]) | (value[by][1:] != value[by][:-1])])
+        differ = lambda c: np.minimum.reduceat(c[by], starts) != np.maximum.reduceat(c[by], starts)
+        out[by] = np.repeat(differ(whole) & differ(doc), np.diff(np.r_[starts, len(by)]))
+    return out
+
+
 def _records(dtype: np.dtype, *columns: np.ndarray) -> np.ndarray:
     out = np.empty(len(columns[0]), dtype=dtype)
     for name, values in zip(dtype.names, columns):
@@ -575,7 +609,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     named = narrow.where("doc_id IS NOT NULL")
     frequent = spark.sparkContext.broadcast(frequent_anchors(named, named.count()))
-    buckets = blocks = _prime_from(max(7, partitions(docs)))
+    # Twice the partitions: smaller groups, which spread more evenly.
+    buckets = blocks = _prime_from(max(7, 2 * partitions(docs)))
     sent = named.mapInArrow(_sent_stretches(buckets, frequent), "bucket long, owners binary, entries binary, told binary")
     told = sent.groupBy("bucket").applyInArrow(_judged(blocks), "block long, told binary")
     told = written(told, "stretches-told")

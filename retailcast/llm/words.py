@@ -43,11 +43,11 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mixed((sums[ends] - sums[starts]) * powers(INVERSE, len(data) + 1)[starts])
 
 
-def buffers(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def buffers(texts: list[bytes], most: int = BUFFER) -> Iterator[tuple[int, int]]:
     """Ranges of texts that together fit a buffer."""
     first, size = 0, 0
     for i, text in enumerate(texts):
-        if i > first and size + len(text) > BUFFER:
+        if i > first and size + len(text) > most:
             yield first, i
             first, size = i, 0
         size += len(text) + 1
