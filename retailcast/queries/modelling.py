@@ -91,7 +91,9 @@ def l1_fill_values(spark, folder):
 
 @query("l2_linear_regression")
 def l2_linear_regression(spark, folder):
-    return _forecast(spark, folder, models.LINEAR)
+    train, test = split(spark, folder)
+    numeric, categorical = features.scenario_features(features.OPERATIONAL, train.columns)
+    return models.fit_and_score(train, test, numeric, categorical, _only(models.LINEAR))
 
 
 @query(
