@@ -318,14 +318,12 @@ def t14_next_week_forecast(spark, folder):
 def k7_model_backtest(spark, folder):
     rows = model_rows(spark, folder)
     weeks = backtest.week_counts(rows)
-    # Two long folds over all weeks.
-    plan = backtest.fold_plan(weeks, initial_train_weeks=209, test_weeks=70)
+    # The 20 folds of 14 weeks of the other backtests; every fold has all rows of its weeks.
+    plan = backtest_plan(weeks)
     numeric, categorical = features.scenario_features(features.OPERATIONAL, rows.columns)
     features.require_feature_count(numeric + categorical)
     scored = models.backtest_scores(
-        rows, backtest.folds(plan), numeric, categorical, _only(models.FOREST, models.BOOSTED)
+        rows, backtest.folds(plan), numeric, categorical, _only(models.FOREST, models.BOOSTED), at_once=4
     )
     baseline = backtest.baseline_predictions(sales_panel(spark, folder), plan)
-    return backtest.fold_results(
-        weeks, scored, baseline, plan, len(numeric + categorical), test_weeks=70
-    )
+    return backtest.fold_results(weeks, scored, baseline, plan, len(numeric + categorical))
