@@ -39,6 +39,17 @@ _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NEAR = re.compile(r"[a-z]+")
+# Characters of an account number by country, from the IBAN registry.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 
 def luhn(digits: str) -> bool:
@@ -109,10 +120,21 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for run in _IBAN.finditer(text):
-        account = run.group().replace(" ", "")
-        if 15 <= len(account) <= 34 and mod_97(account):
-            yield run.span()
+    """A proposal may take in short tokens that follow the number: it is cut to its country's length, or,
+    of unknown countries, to the longest run of whole groups that the checksum confirms. The search goes
+    on behind the number, and behind the first group of a proposal that holds none."""
+    run = _IBAN.search(text)
+    while run:
+        start, end = run.span()
+        bounds = [i for i in range(start, end) if text[i] == " "] + [end]
+        sized = [(len(text[start:i].replace(" ", "")), i) for i in reversed(bounds)]
+        known = IBAN_LENGTHS.get(text[start : start + 2])
+        if known:  # the whole proposal comes second
+            sized = [s for s in sized if s[0] == known] + sized[:1]
+        used = next((i for n, i in sized if 15 <= n <= 34 and mod_97(text[start:i].replace(" ", ""))), None)
+        if used:
+            yield start, used
+        run = _IBAN.search(text, used or start + 4)
 
 
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:

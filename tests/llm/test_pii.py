@@ -65,6 +65,18 @@ def test_added_kinds_and_context():
     assert masked("to a@b.co now", find_spans("to a@b.co now")) == "to <email> now"
 
 
+def test_account_numbers_before_short_tokens():
+    spanish, british = "ES91 2100 0418 4502 0005 1332", "GB82 WEST 1234 5698 7654 32"
+    found = lambda text: [text[a:b] for kind, a, b, _ in find_spans(text) if kind == "iban"]
+    for after in ("", ".", " BIC CAIXESBB", " EUR 20", " 2024", " TRANSFER", " EUROS", " a"):
+        assert found(f"to {spanish}{after}") == [spanish], after
+        assert found(f"to {spanish.replace(' ', '')}{after}") == [spanish.replace(" ", "")], after
+    for number in ("SE45 5000 0000 0583 9825 7466", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "PL61 1090 1014 0000 0712 1981 2874"):
+        assert found(f"{number} BIC") == [number]
+    assert found(f"{spanish} {british} AB12 CDEF GHIJ {spanish} EUR") == [spanish, british, spanish]
+    assert found("ES92 2100 0418 4502 0005 1332 EUR") == []
+
+
 def test_hostile_texts_take_linear_time():
     start = time.time()
     for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "+1" * 150_000, "1 " * 150_000, "a@b." * 75_000, "AB12 " + "ABCD " * 60_000, "+" + "1 " * 150_000):
