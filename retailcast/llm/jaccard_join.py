@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,8 @@ from retailcast.llm.common import join_by_group, text_or_empty
 from retailcast.llm.words import SHINGLE, mixed, shingle_sets
 from retailcast.session import materialize
 
+_WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -74,24 +77,32 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def _key(text: bytes) -> bytes:
+    """Digest of the word sequence."""
+    return hashlib.blake2b(b" ".join(_WORDS.findall(text.lower())), digest_size=16).digest()
+
+
+def _number(key: bytes) -> int:
+    """The number of a distinct text: the first 64 bits of its key."""
+    return int.from_bytes(key[:8], "big", signed=True)
+
+
 def _signed(settings: Settings):
-    """doc_id, key of the word sequence (null without words), sampled tokens."""
+    """doc_id, key of the word sequence (null without words), its number, sampled tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        words = re.compile(rb"[0-9a-z\x80-\xff]+")
         for batch in batches:
             texts = _bytes(batch.column(1))
             keys, tokens = [], []
             for text, shingles in zip(texts, shingle_sets(texts, settings.words)):
                 if len(shingles):
-                    keys.append(hashlib.blake2b(b" ".join(words.findall(text.lower())), digest_size=16).digest())
+                    keys.append(_key(text))
                     tokens.append(sampled_tokens(shingles, settings.tokens).tobytes())
                 else:
                     keys.append(None)
                     tokens.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "key", "tokens"])
+            numbers = pa.array([None if k is None else _number(k) for k in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), numbers, pa.array(tokens, pa.binary())], ["doc_id", "key", "rid", "tokens"])
 
     return run
 
@@ -252,12 +263,12 @@ def local_roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _verified(settings: Settings):
-    """rid, links found here, least rid of its component here."""
+    """rid and id of a text, links found here, least id of its component here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ("rid", "links", "root"), (pa.int64(), pa.int64(), pa.int64())
-        out: list[tuple[int, int, int]] = []
-        for rows in _grouped((b.select(["bucket", "run", "side", "rid", "tokens", "paths", "shingles"]) for b in batches)):
+        names, kinds = ("rid", "id", "links", "root"), (pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        out: list[tuple[int, int, int, int]] = []
+        for rows in _grouped((b.select(["bucket", "run", "side", "rid", "tokens", "paths", "shingles", "id"]) for b in batches)):
             group = _Group(rows, settings, settings.runs)
             sets = [np.frombuffer(r[5], dtype="<u8") for r in rows]  # _Group has put the rows in order
             a, b = group.candidates()
@@ -267,11 +278,12 @@ def _verified(settings: Settings):
             shared = common_counts(sets, a, b)
             linked = shared >= settings.similarity * (sizes[a] + sizes[b] - shared) - 1e-9
             a, b = a[linked], b[linked]
-            order = np.argsort(group.rid, kind="stable")
+            ids = np.array([r[6] for r in rows], dtype=np.int64)
+            order = np.argsort(ids, kind="stable")
             place = np.argsort(order, kind="stable")
-            root = group.rid[order[local_roots(len(rows), place[a], place[b])]][place]
+            root = ids[order[local_roots(len(rows), place[a], place[b])]][place]
             links = np.bincount(np.r_[a, b], minlength=len(rows))
-            out += [(int(group.rid[i]), int(links[i]), int(root[i])) for i in np.flatnonzero(links)]
+            out += [(int(group.rid[i]), int(ids[i]), int(links[i]), int(root[i])) for i in np.flatnonzero(links)]
             if len(out) >= 50_000:
                 yield _batch(out, names, kinds)
                 out = []
@@ -284,8 +296,9 @@ def _verified(settings: Settings):
 def _shingled(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.astype("<u8").tobytes() for s in shingle_sets(_bytes(batch.column(1)), settings.words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rid", "shingles"])
+            texts = _bytes(batch.column(0))
+            sets = [s.astype("<u8").tobytes() for s in shingle_sets(texts, settings.words)]
+            yield pa.RecordBatch.from_arrays([pa.array([_number(_key(t)) for t in texts], pa.int64()), pa.array(sets, pa.binary())], ["rid", "shingles"])
 
     return run
 
@@ -319,8 +332,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _links(texts: DataFrame, bodies: DataFrame, settings: Settings) -> DataFrame:
-    """rid, links, root, possibly several rows per rid. ``texts`` has rid and tokens, ``bodies`` rid
-    and text."""
+    """rid, id, links, root, possibly several rows per rid. ``texts`` has rid, id and tokens of every
+    distinct text, ``bodies`` doc_id and text; several texts may have one id."""
     ends = _paths(texts, settings)
     own = ends.groupBy("rid").agg(F.collect_list(F.struct("run", "path", "size")).alias("ends"))
     members = materialize(own.join(texts, "rid"), "path-ends")
@@ -328,15 +341,17 @@ def _links(texts: DataFrame, bodies: DataFrame, settings: Settings) -> DataFrame
     as_bytes = lambda run: F.unhex(F.lpad(F.hex(F.coalesce(F.element_at("by_run", run), F.lit(0).cast("long"))), 16, "0"))
     paths = F.concat(*[as_bytes(F.lit(r)) for r in range(settings.runs)])
     members = members.withColumn("by_run", in_run).withColumn("paths", paths).drop("by_run")
-    rows = members.select("rid", "tokens", "paths", F.explode("ends").alias("e")).select("rid", "tokens", "paths", "e.run", "e.path", "e.size")
+    rows = members.select("rid", "id", "tokens", "paths", F.explode("ends").alias("e")).select("rid", "id", "tokens", "paths", "e.run", "e.path", "e.size")
     sized = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
     blocks = _blocks(rows, settings, "tokens", "paths")
     active = sized(blocks).mapInArrow(_active(settings), "rid long, run int, side int").select("rid", "run").distinct()
     active = materialize(active, "candidates")
-    chosen = bodies.join(active.select("rid").distinct(), "rid", "left_semi")
-    sets = chosen.select("rid", "text").mapInArrow(_shingled(settings), "rid long, shingles binary")
+    ids = texts.join(active.select("rid").distinct(), "rid", "left_semi").select("id").distinct()
+    chosen = bodies.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+    # Rows of one id and text give one set.
+    sets = chosen.select("text").mapInArrow(_shingled(settings), "rid long, shingles binary").dropDuplicates(["rid"])
     again = rows.join(active, ["rid", "run"]).join(sets, "rid")
-    return sized(_blocks(again, settings, "tokens", "paths", "shingles")).mapInArrow(_verified(settings), "rid long, links long, root long")
+    return sized(_blocks(again, settings, "tokens", "paths", "shingles", "id")).mapInArrow(_verified(settings), "rid long, id long, links long, root long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -348,24 +363,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that links connect. Words are runs of ASCII digits and letters (in lower case) and non-ASCII
     characters; a text with fewer words than a shingle is one shingle. Texts without words, null ones
     among them, link to nothing and are a class each, even if they are equal. A row without an id takes
-    no part and has null classes and no links. An id on several rows stands for all their texts. An
+    no part and has null classes and no links. An id on several rows stands for all their texts:
+    each row has its own text's links, and the texts of which it is the smallest id are one class. An
     empty table gives an empty result. Other columns, whatever their names, are not read. Ids are whole
-    numbers.
+    numbers. Different texts are told apart inside by 64 bits of a digest of their words.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    signed = materialize(narrow.where("doc_id IS NOT NULL").mapInArrow(_signed(settings), "doc_id long, key binary, tokens binary"), "signed")
-    groups = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rid"), F.count(F.lit(1)).alias("copies"))
+    signed = materialize(narrow.where("doc_id IS NOT NULL").mapInArrow(_signed(settings), "doc_id long, key binary, rid long, tokens binary"), "signed")
+    groups = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("rid").alias("rid"), F.count(F.lit(1)).alias("copies"))
     groups = materialize(groups, "texts")
     total = signed.count()
-    firsts = groups.select("rid", F.col("key").alias("k"))
-    texts = signed.join(firsts, (F.col("doc_id") == F.col("rid")) & (F.col("key") == F.col("k"))).dropDuplicates(["rid", "k"]).select("rid", "tokens")
+    firsts = groups.select("id", F.col("key").alias("k"))
+    texts = signed.join(firsts, (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("k"))).dropDuplicates(["rid"]).select("rid", "id", "tokens")
     texts = materialize(texts, "tokens")
-    found = materialize(_links(texts, narrow.withColumnRenamed("doc_id", "rid"), settings), "link-counts")
-    roots = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("rid").agg(F.sum("links").alias("n_links"))
-    classes = counts.join(roots, F.col("rid") == F.col("node"), "left").select(F.col("rid").alias("r"), "n_links", "root")
-    reps = groups.join(classes, F.col("rid") == F.col("r"), "left").select(
-        "key", "copies", F.col("rid").alias("copy_of"), F.coalesce("root", "rid").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    found = materialize(_links(texts, narrow, settings), "link-counts")
+    roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    counts = found.groupBy("rid").agg(F.sum("links").alias("n_links")).withColumnRenamed("rid", "r")
+    reps = groups.join(counts, F.col("rid") == F.col("r"), "left").join(roots, F.col("id") == F.col("node"), "left").select(
+        "key", "copies", F.col("id").alias("copy_of"), F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
     reps = materialize(reps, "classes")
     columns = ["doc_id", "copy_of", "class_id", "n_links"]

@@ -88,6 +88,16 @@ def test_odd_rows(spark):
     assert near_duplicates(empty(spark)).count() == 0 and drop_near_duplicates(empty(spark)).count() == 0
 
 
+def test_one_id_on_several_texts(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(200)]
+    near, other = [edited(rng, words, 1) for _ in range(3)], [f"v{i}" for i in range(200)]
+    # Id 5 has two near copies of id 7's text, one of them twice, and a text that only id 9 comes near to.
+    texts = [near[0], near[1], near[1], near[2], " ".join(other), edited(rng, other, 1), "alone"]
+    got = plain(near_duplicates(documents(spark, *texts, ids=[5, 5, 5, 7, 5, 9, 1])))
+    assert got == sorted([(5, 5, 5, 2)] * 3 + [(7, 7, 5, 2), (5, 5, 5, 1), (9, 9, 5, 1), (1, 1, 1, 0)], key=repr)
+
+
 def test_common_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 9000, size=n).astype(np.uint64)) for n in (1, 50, 3000, 8000, 8000)]
