@@ -1,8 +1,8 @@
 """Queries: models fitted as Spark jobs.
 
 Tree models are smaller here than by default, to keep a query short; they read all rows, and every
-comparison holds all three models. The forecasts of both scenarios are made once per session and
-folder and written; the queries that compare them read that table. Fits with closed forms have SQL.
+comparison holds all three models. Every query makes the fits that it compares, and no others.
+Fits with closed forms have SQL.
 """
 
 from __future__ import annotations
@@ -40,21 +40,15 @@ def split(spark, folder):
     return features.time_split(model_rows(spark, folder), TEST_START, TEST_END)
 
 
-def scenario_forecasts(spark, folder):
-    """Forecasts of all models in both scenarios, fitted once per session and folder."""
-    setting = f"retailcast.forecasts.{folder}"
-    path = spark.conf.get(setting, None)
-    if path:
-        return spark.read.parquet(path)
+def scenario_forecasts(spark, folder, *names: str, scenarios=(features.FULL, features.OPERATIONAL)):
+    """Forecasts of the named models, or of all, in the scenarios; written, as comparisons read them several times."""
     train, test = split(spark, folder)
-    scored = materialize(models.scenario_grid(train, test, SIZES), "scenario-forecasts")
-    spark.conf.set(setting, scored.inputFiles()[0].rsplit("/", 1)[0])
-    return scored
+    sizes = _only(*names) if names else SIZES
+    return materialize(models.scenario_grid(train, test, sizes, scenarios), "scenario-forecasts")
 
 
 def _forecast(spark, folder, *names: str):
-    wanted = F.col("model").isin(*names) if names else F.lit(True)
-    rows = scenario_forecasts(spark, folder).where((F.col("scenario") == features.OPERATIONAL) & wanted)
+    rows = scenario_forecasts(spark, folder, *names, scenarios=(features.OPERATIONAL,))
     return rows.drop("scenario", "feature_count")
 
 
