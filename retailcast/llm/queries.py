@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from retailcast.llm.exact_dedup import exact_dedup
 from retailcast.llm.jaccard_join import near_duplicates
 from retailcast.llm.licences import licence_report
+from retailcast.llm.merkle import merkle_manifest
 from retailcast.llm.mixing import mix
 from retailcast.llm.packing import pack
 from retailcast.llm.passages import repeated_passages
@@ -92,6 +93,16 @@ def op10_top_rows(spark: SparkSession, folder: str) -> DataFrame:
     return top_rows(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    text = F.when(tampered, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    return merkle_manifest(docs, presented={"text": text})
+
+
 OP1_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -152,6 +163,71 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_numb
 """
 
 
+def _framed(*values: str) -> str:
+    """The digest of values, each with the number of its UTF-8 bytes; ``-`` for null."""
+    parts = [f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in values]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, byte by byte and bit by bit."""
+    bit = "CASE WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(a, b), [CAST(k AS BIGINT) FOR k IN range(8)]), lambda s, k: {bit})"
+    codes = f"[CAST(ord(c) AS BIGINT) FOR c IN string_split({text}, '')]"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda a, b: {byte}), 4294967295)"
+
+
+def _merkle_sql(levels: int) -> str:
+    """Trees of at most 8 ** ``levels`` leaves, level by level: h0 holds leaves, and a tree that has come
+    to one node keeps it. The groups' subroots are one more such tree."""
+
+    def tree(name: str, base: str) -> list[str]:
+        parts = [f"{name}0 AS ({base})"]
+        for k in range(levels):
+            parts.append(
+                f"""{name}{k + 1} AS (SELECT g, j AS i, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h,
+                    count(*) OVER (PARTITION BY g) AS n FROM (SELECT *, i // 8 AS j FROM {name}{k}) GROUP BY g, j, n)"""
+            )
+            # The run's other digests on either side of a node, none in a finished tree.
+            for side, test in (("b", "<"), ("a", ">")):
+                parts.append(
+                    f"""{name}{side}{k} AS (SELECT x.g, x.i, string_agg(y.h, '' ORDER BY y.i) AS h FROM {name}{k} x
+                        JOIN {name}{k} y ON x.g = y.g AND x.i // 8 = y.i // 8 AND y.i {test} x.i GROUP BY x.g, x.i)"""
+                )
+        return parts
+
+    text = "CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    leaf, shown = _framed("doc_id", "source", "lang", "n_chars", "text"), _framed("doc_id", "source", "lang", "n_chars", "shown")
+    parts = [
+        f"d AS (SELECT *, coalesce('+' || lang, '') AS g, {_crc32_sql('CAST(doc_id AS VARCHAR)')} AS crc FROM documents)",
+        f"l AS (SELECT *, {leaf} AS leaf, {shown} AS shown_leaf FROM (SELECT *, {text} AS shown FROM d))",
+        "p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS i FROM l)",
+        *tree("h", "SELECT g, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM p"),
+        *tree("t", f"SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS n, g AS name FROM h{levels}"),
+    ]
+    state = "SELECT p.doc_id, p.g, p.leaf, p.shown_leaf AS cur, '' AS proof, p.i, s.h AS subroot, s.i AS top FROM p JOIN t0 s ON s.name = p.g"
+    parts.append(f"f0 AS ({state})")
+    number = 0
+    for name, group, place in (("h", "f.g", "i"), ("t", "''", "top")):
+        for k in range(levels):
+            at = f"f.{place} // {8**k}"
+            parts.append(
+                f"""f{number + 1} AS (SELECT f.* REPLACE (
+                    CASE WHEN n.n = 1 THEN cur ELSE sha256(coalesce(b.h, '') || cur || coalesce(a.h, '')) END AS cur,
+                    proof || coalesce(b.h, '') || coalesce(a.h, '') AS proof)
+                    FROM f{number} f JOIN {name}{k} n ON n.g = {group} AND n.i = {at}
+                    LEFT JOIN {name}b{k} b ON b.g = {group} AND b.i = {at} LEFT JOIN {name}a{k} a ON a.g = {group} AND a.i = {at})"""
+            )
+            number += 1
+    return f"""WITH {", ".join(parts)}
+        SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = r.h AS verified
+        FROM f{number}, t{levels} r"""
+
+
+# Seven levels: up to two million documents in a language.
+OP12_SQL = _merkle_sql(7)
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_exact_dedup,
@@ -164,9 +240,10 @@ def queries() -> dict[str, Query]:
         op8_packing,
         op9_repeated_passages,
         op10_top_rows,
+        op12_merkle_manifest,
     )
     return {q.__name__: q for q in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_revisits": OP6_SQL, "op10_top_rows": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_revisits": OP6_SQL, "op10_top_rows": OP10_SQL, "op12_merkle_manifest": OP12_SQL}
