@@ -302,13 +302,13 @@ def merkle_manifest(
     top = subroots.select(F.lit("").alias("grp"), F.col("grp").alias("name"), F.lit(0).cast("long").alias("id"), F.col("root").alias("digest"), none)
     top = written(_numbered(top, "name"), "merkle-top")
     upper, root = _tiers(top.withColumn("id", F.col("i")).drop("name"))
-    whole = root.select(F.col("grp").alias("tree"), F.lower(F.hex("root")).alias("root"))  # one row
+    whole = root.select(F.lower(F.hex("root"))).first()  # one row, none of an empty table
     starts = _down(upper, root.select("grp", F.array().cast(_SUFFIX).alias("suffix")))
     given = starts.select("grp", "n", "ids", "digests", "suffix").mapInArrow(_suffix_giver(0), f"grp string, block long, suffix {_SUFFIX}")
     # One row per group: its name, subroot and the proof of the subroot.
     groups = given.select(F.col("block").alias("i"), "suffix").join(top.select("i", F.col("name").alias("grp"), "digest"), "i")
-    groups = groups.withColumn("tree", F.lit("")).join(F.broadcast(whole), "tree")
-    groups = written(groups.select("grp", "suffix", F.lower(F.hex("digest")).alias("subroot"), "root"), "merkle-groups")
+    name = F.lit(whole[0] if whole else None).cast("string").alias("root")
+    groups = written(groups.select("grp", "suffix", F.lower(F.hex("digest")).alias("subroot"), name), "merkle-groups")
     below = _down(tiers, groups.select("grp", "suffix")).select("grp", "n", "ids", "digests", "changed", "suffix")
     more = ", proof array<string>" if with_proof else ""
     rows = below.mapInArrow(_prover(with_proof), f"id long, grp string, leaf string, proof_sha256 string, folded_root string{more}")

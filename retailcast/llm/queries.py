@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retailcast.llm.divergence import source_divergence
 from retailcast.llm.exact_dedup import exact_dedup
 from retailcast.llm.jaccard_join import near_duplicates
 from retailcast.llm.licences import licence_report
+from retailcast.llm.main_text import main_texts
 from retailcast.llm.merkle import merkle_manifest
 from retailcast.llm.mixing import mix
 from retailcast.llm.packing import pack
@@ -96,6 +98,10 @@ def op10_top_rows(spark: SparkSession, folder: str) -> DataFrame:
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence(_table(spark, folder, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
@@ -103,6 +109,10 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_manifest(docs, presented={"text": text})
 
 
+def op13_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_texts(_table(spark, folder, "pages"))
+
+
 OP1_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -162,6 +172,42 @@ SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FRO
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), t AS (
+  SELECT id, lang, source, unnest(terms) AS term FROM d
+), kept AS (
+  SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30
+), sized AS (
+  SELECT l.lang, CAST(count(k.term) AS HUGEINT) AS v, coalesce(sum(k.n), 0) AS total FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN kept k USING (lang) GROUP BY l.lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), full_counts AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total,
+         1 + 1000000000 * (k.n + 5) // (s.total + 5 * s.v) AS q, s.v
+  FROM g JOIN kept k USING (lang) JOIN sized s USING (lang) LEFT JOIN c USING (lang, source, term)
+), shares AS (
+  SELECT lang, source, term, n, q, 1 + 1000000000 * (n + 5) // (total + 5 * v) AS p FROM full_counts
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER w AS INTEGER) AS rank FROM every
+WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item)
+QUALIFY part = 'pair' OR row_number() OVER w <= 50
+"""
+
 
 def _framed(*values: str) -> str:
     """The digest of values, each with the number of its UTF-8 bytes; ``-`` for null."""
@@ -240,10 +286,12 @@ def queries() -> dict[str, Query]:
         op8_packing,
         op9_repeated_passages,
         op10_top_rows,
+        op11_source_divergence,
         op12_merkle_manifest,
+        op13_main_text,
     )
     return {q.__name__: q for q in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_revisits": OP6_SQL, "op10_top_rows": OP10_SQL, "op12_merkle_manifest": OP12_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_revisits": OP6_SQL, "op10_top_rows": OP10_SQL, "op11_source_divergence": OP11_SQL, "op12_merkle_manifest": OP12_SQL}

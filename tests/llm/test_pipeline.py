@@ -32,7 +32,7 @@ def test_run_is_the_stages(spark):
 
 def test_every_operator_has_a_query():
     names = [n for n in queries() if n.startswith("op")]
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} and "pipeline" in queries()
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} and "pipeline" in queries()
 
 
 @pytest.mark.parametrize("name", sorted(own.oracle_sql()))
