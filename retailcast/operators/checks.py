@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from retailcast.functions.columns import SUMMER_MONTHS, differs
 from retailcast.operators.profile import key_counts, key_stats, null_profile
 from retailcast.schema import FEATURES_KEY, SALES_KEY, SERIES_KEY, STORES_KEY
+from retailcast.session import materialize
 
 # Texts that stand for "no holiday".
 HOLIDAY_PLACEHOLDERS = ["Non-Holiday", "No Holiday", "None", "", "nan"]
@@ -215,60 +216,95 @@ def joined_raw(sales: DataFrame, features: DataFrame, stores: DataFrame) -> Data
     return join_on_store(join_on_store_week(sales, features), stores)
 
 
-def relationship_checks(sales: DataFrame, features: DataFrame, stores: DataFrame) -> DataFrame:
-    """The nine checks that decide whether the three tables may be joined."""
-    # One full join of per-key counts answers coverage both ways and both flag checks.
+def _any_null(columns: list[str]) -> list[Column]:
+    return [F.bool_or(F.col(c).isNull()).alias(f"null_{c}") for c in columns]
+
+
+def store_weeks(sales: DataFrame, features: DataFrame, stores: DataFrame) -> DataFrame:
+    """One row per store-date of either side: how many rows of each table meet there, the holiday flags, and
+    which columns have nulls among them.
+
+    What the joins of the three tables would give follows from these counts, so they are never made: a
+    store-date has as many joined rows as the product of its sides. Each table is read once.
+    """
+    # Repeated sales keys are counted before the department is summed away.
+    keys = sales.groupBy(*SALES_KEY).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("is_holiday").alias("lo"),
+        F.max("is_holiday").alias("hi"),
+        *_any_null([c for c in sales.columns if c not in SALES_KEY]),
+    )
+    inner = [c for c in keys.columns if c.startswith("null_")]
+    left = keys.groupBy(*FEATURES_KEY).agg(
+        F.sum("n").alias("n_sales"),
+        F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("n_repeated"),
+        F.min("lo").alias("flag_min"),
+        F.max("hi").alias("flag_max"),
+        F.struct(*[F.bool_or(c).alias(c) for c in inner], *_any_null([c for c in SALES_KEY if c not in FEATURES_KEY])).alias("sales"),
+    )
     right = features.groupBy(*FEATURES_KEY).agg(
-        F.min("is_holiday").alias("flag_features"), F.count(F.lit(1)).alias("n_features")
+        F.count(F.lit(1)).alias("n_features"),
+        F.min("is_holiday").alias("flag_features"),
+        F.struct(*_any_null([c for c in features.columns if c not in FEATURES_KEY])).alias("features"),
     )
-    both = store_week_flags(sales).join(right, FEATURES_KEY, "full")
-    in_sales, in_features = F.col("n_rows").isNotNull(), F.col("n_features").isNotNull()
-    store_dates = both.agg(
+    shops = stores.groupBy(*STORES_KEY).agg(
+        F.count(F.lit(1)).alias("n_stores"),
+        F.struct(*_any_null([c for c in stores.columns if c not in STORES_KEY])).alias("stores"),
+    )
+    return left.join(right, FEATURES_KEY, "full").join(shops, STORES_KEY, "left")
+
+
+def relationship_checks(sales: DataFrame, features: DataFrame, stores: DataFrame) -> DataFrame:
+    """The nine checks that decide whether the three tables may be joined."""
+    both = materialize(store_weeks(sales, features, stores), "store-weeks")
+    in_sales, in_features, in_stores = (F.col(c).isNotNull() for c in ("n_sales", "n_features", "n_stores"))
+    times = F.coalesce("n_features", F.lit(1)) * F.coalesce("n_stores", F.lit(1))
+    joined = F.col("n_sales") * times
+    # Names as the joins would give them; the holiday's name may be missing.
+    clash = [c for c in sales.columns if c in features.columns and c not in FEATURES_KEY]
+    name = lambda c, side: f"{c}_{side}" if c in clash else c
+    nulls = [F.col(c).isNull() for c in FEATURES_KEY]
+    nulls += [F.col(f"sales.null_{c}") for c in sales.columns if c not in FEATURES_KEY and name(c, "sales") != "holiday_name"]
+    nulls += [~in_features | F.col(f"features.null_{c}") for c in features.columns if c not in FEATURES_KEY and name(c, "features") != "holiday_name"]
+    nulls += [~in_stores | F.col(f"stores.null_{c}") for c in stores.columns if c not in STORES_KEY and c != "holiday_name"]
+    found = both.agg(
         F.count_if(in_sales & ~in_features).alias("sales_keys_without_features"),
         F.count_if(in_features & ~in_sales).alias("features_keys_without_sales"),
         F.count_if(F.col("flag_min") != F.col("flag_max")).alias("inconsistent_holiday_keys"),
         F.count_if(
             in_sales & in_features & differs(F.col("flag_min"), F.col("flag_features"))
         ).alias("holiday_mismatches"),
+        F.coalesce(F.sum(joined), F.lit(0)).alias("rows_after_merge"),
+        F.coalesce(F.sum("n_sales"), F.lit(0)).alias("rows_before"),
+        reduce(
+            lambda a, b: a + b,
+            [F.coalesce(F.bool_or(in_sales & n), F.lit(False)).cast("int") for n in nulls],
+        ).alias("columns_with_unexpected_nulls"),
+        F.coalesce(F.sum(F.when(times > 1, joined).otherwise(F.col("n_repeated"))), F.lit(0)).alias("rows_in_duplicate_keys"),
     )
+    sold = both.where(in_sales).select("store_id").distinct().withColumn("in_sales", F.lit(True))
     ids = (
-        sales.select("store_id").distinct().withColumn("in_sales", F.lit(True))
-        .join(stores.select("store_id").distinct().withColumn("in_stores", F.lit(True)), "store_id", "full")
+        sold.join(stores.select("store_id").distinct().withColumn("in_stores", F.lit(True)), "store_id", "full")
         .agg(
             F.count_if(F.col("in_stores").isNull()).alias("sales_stores_missing"),
             F.count_if(F.col("in_sales").isNull()).alias("stores_unused"),
         )
     )
-    merged = joined_raw(sales, features, stores)
-    tracked = [c for c in merged.columns if c != "holiday_name"]
-    rows = merged.agg(
-        F.count(F.lit(1)).alias("rows_after_merge"),
-        reduce(
-            lambda a, b: a + b,
-            [F.when(F.count(c) < F.count(F.lit(1)), 1).otherwise(0) for c in tracked],
-        ).alias("columns_with_unexpected_nulls"),
-    )
-    before = sales.agg(F.count(F.lit(1)).alias("n")).scalar()
-    keys = key_stats(merged, SALES_KEY).select(
-        F.col("n_rows_in_duplicates").alias("rows_in_duplicate_keys")
-    )
     tables = [
         _checks(
-            store_dates,
+            found,
             [
                 "sales_keys_without_features",
                 "features_keys_without_sales",
                 "inconsistent_holiday_keys",
                 "holiday_mismatches",
+                "rows_after_merge",
+                "columns_with_unexpected_nulls",
+                "rows_in_duplicate_keys",
             ],
-        ),
-        _checks(ids, ["sales_stores_missing", "stores_unused"]),
-        _checks(
-            rows.withColumn("rows_before", before),
-            ["rows_after_merge", "columns_with_unexpected_nulls"],
             {"rows_after_merge": F.col("rows_before")},
         ),
-        _checks(keys, ["rows_in_duplicate_keys"]),
+        _checks(ids, ["sales_stores_missing", "stores_unused"]),
     ]
     return reduce(DataFrame.unionByName, tables)
 
