@@ -15,20 +15,19 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
     GBTRegressionModel,
     GBTRegressor,
-    LinearRegression,
-    LinearRegressionModel,
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailcast.functions.quantiles import exact_quantiles
+from retailcast.functions.quantiles import exact_quantiles, prefix_quantiles
 from retailcast.operators import features as ft
 from retailcast.operators.backtest import Fold, fold_split
 from retailcast.operators.metrics import SERIES_LEVEL, evaluate, series_evaluation, summed_evaluation
+from retailcast.operators.moments import Case, Layout, Line, collect_moments, solve, store_table
 from retailcast.schema import SALES_KEY
-from retailcast.session import materialize
+from retailcast.session import checkpoint_here, materialize
 
 TARGET = "weekly_sales"
 # The category whose number of levels grows with the data.
@@ -39,6 +38,8 @@ LINEAR = "Linear Regression"
 FOREST = "Random Forest"
 BOOSTED = "Boosted Trees"
 SEED = 42
+# Trees, or levels of trees, after which a long fit cuts its lineage.
+CHECKPOINT_EVERY = 10
 
 
 @dataclass(frozen=True)
@@ -59,16 +60,6 @@ class Sizes:
     models: tuple[str, ...] = field(default=(LINEAR, FOREST, BOOSTED))
 
 
-def linear_regression() -> LinearRegression:
-    """Least squares over deviations from store means, by one pass and the normal equations.
-
-    The number of features does not depend on the number of stores, so there is one solver for all
-    sizes. The ridge keeps collinear columns (a total beside its parts, whole sets of levels) solvable;
-    the label has unit scale, and the ridge is far below the precision of any result.
-    """
-    return LinearRegression(featuresCol="within", labelCol="within_label", solver="normal", regParam=1e-12)
-
-
 def random_forest(sizes: Sizes = Sizes()) -> RandomForestRegressor:
     return RandomForestRegressor(
         featuresCol="features",
@@ -79,6 +70,8 @@ def random_forest(sizes: Sizes = Sizes()) -> RandomForestRegressor:
         featureSubsetStrategy="all",
         bootstrap=sizes.forest_bootstrap,
         maxMemoryInMB=1024,
+        cacheNodeIds=True,
+        checkpointInterval=CHECKPOINT_EVERY,
         seed=SEED,
     )
 
@@ -93,17 +86,17 @@ def boosted_trees(sizes: Sizes = Sizes()) -> GBTRegressor:
         stepSize=sizes.boosting_rate,
         subsamplingRate=sizes.row_sample,
         featureSubsetStrategy=str(sizes.column_sample),
+        maxMemoryInMB=1024,
+        cacheNodeIds=True,
+        checkpointInterval=CHECKPOINT_EVERY,
         seed=SEED,
     )
 
 
 def estimators(sizes: Sizes = Sizes()) -> dict:
-    every = {
-        LINEAR: linear_regression,
-        FOREST: lambda: random_forest(sizes),
-        BOOSTED: lambda: boosted_trees(sizes),
-    }
-    return {name: every[name]() for name in sizes.models}
+    """The tree models among the named ones; least squares is fitted from sums instead."""
+    every = {FOREST: lambda: random_forest(sizes), BOOSTED: lambda: boosted_trees(sizes)}
+    return {name: every[name]() for name in sizes.models if name in every}
 
 
 # --- preprocessing ------------------------------------------------------------------------------
@@ -138,23 +131,13 @@ def _category(name: str) -> str:
     return f"cat__{name}"
 
 
-def _filled(df, numeric, categorical, medians, modes) -> DataFrame:
-    # Prefixed names keep features that are also keys (store, department) apart from the keys,
-    # and name the model's inputs.
-    number = {
-        _number(c): F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c, 0.0))) for c in numeric
-    }
-    text = {_category(c): F.coalesce(F.col(c).cast("string"), F.lit(modes.get(c, ""))) for c in categorical}
-    return df.withColumns({**number, **text})
-
-
 @dataclass
 class Preprocessor:
-    """What training data taught: fill values, levels of short categories, and a mean of the target
-    and of every input for each store.
+    """What training data taught: fill values, levels of short categories, the mean of the target for each
+    store, and the least squares line.
 
     Short categories are one-hot. Stores are not, as their number grows with the data: the trees get
-    the mean target of a row's store in training, and the linear model works on deviations from store
+    the mean target of a row's store in training, and least squares works on deviations from store
     means, which gives the predictions that one column per store would give. A store not seen in
     training has the overall means, a level not seen an all-zero block.
     """
@@ -164,9 +147,10 @@ class Preprocessor:
     medians: dict[str, float]
     modes: dict[str, str]
     levels: dict[str, list[str]]
-    overall: dict[str, float]
-    scale: float
-    means: DataFrame | None
+    overall: float
+    line: Line
+    # store, base, mean; None without stores.
+    stores: DataFrame | None
 
     @property
     def inputs(self) -> dict[str, Column]:
@@ -178,81 +162,156 @@ class Preprocessor:
                 columns[name] = (F.col(_category(category)) == level).cast("double")
         return columns
 
+    def _filled(self, df: DataFrame) -> DataFrame:
+        # Prefixed names keep features that are also keys (store, department) apart from the keys,
+        # and name the model's inputs.
+        number = {_number(c): F.coalesce(F.col(c).cast("double"), F.lit(self.medians.get(c, 0.0))) for c in self.numeric}
+        text = {_category(c): F.coalesce(F.col(c).cast("string"), F.lit(self.modes.get(c, ""))) for c in self.categorical}
+        return df.withColumns({**number, **text})
+
     def transform(self, df: DataFrame) -> DataFrame:
-        """Key, target, and the assembled ``features`` (for trees) and ``within`` (for least squares),
-        with ``base`` and ``scale`` that turn the latter's predictions back."""
+        """Key, target, the assembled ``features`` for trees, and ``linear``, the least squares prediction.
+
+        Either of the last two costs nothing where it is not used.
+        """
         keep = [c for c in [*SALES_KEY, TARGET] if c in df.columns]
         label = {"label": F.col(TARGET).cast("double")} if TARGET in keep else {}
-        inputs = list(self.inputs)
-        rows = _filled(df, self.numeric, self.categorical, self.medians, self.modes)
-        rows = rows.select(*keep, *self._wide(), *[c.alias(n) for n, c in (self.inputs | label).items()])
-        if self.means is not None:
-            rows = rows.join(self.means, _category(WIDE), "left")
-        # Without stores there are no columns of means, only overall ones.
-        own = (lambda n: F.col(_mean(n))) if self.means is not None else (lambda n: F.lit(None).cast("double"))
-        mean = {n: F.coalesce(own(n), F.lit(self.overall[n])) for n in [*inputs, "label"]}
-        # What is constant within a store differs from its mean by rounding only.
-        off = lambda n: F.when(F.abs(F.col(n) - mean[n]) > 1e-9 * F.abs(mean[n]), F.col(n) - mean[n]).otherwise(0.0)
-        within = {_within(n): off(n) for n in inputs}
-        within |= {"base": mean["label"], "scale": F.lit(self.scale), f"stat__{WIDE}": mean["label"]}
-        if label:
-            within["within_label"] = (F.col("label") - mean["label"]) / self.scale
-        rows = rows.withColumns(within)
-        trees = inputs + ([f"stat__{WIDE}"] if self.means is not None else [])
-        for columns, output in ((trees, "features"), ([_within(n) for n in inputs], "within")):
-            rows = VectorAssembler(inputCols=columns, outputCol=output).transform(rows)
-        return rows.select(*keep, *label, *(["within_label"] if label else []), "features", "within", "base", "scale")
-
-    def _wide(self) -> list[str]:
-        return [_category(WIDE)] if WIDE in self.categorical else []
-
-
-def _mean(name: str) -> str:
-    return f"mean__{name}"
-
-
-def _within(name: str) -> str:
-    return f"within__{name}"
+        rows = self._filled(df)
+        parts = [F.col(_number(c)) * w for c, w in self.line.numbers.items()]
+        for category, weights in self.line.levels.items():
+            if weights:
+                table = F.create_map(*[F.lit(v) for pair in weights.items() for v in pair])
+                parts.append(F.coalesce(F.element_at(table, F.col(_category(category))), F.lit(0.0)))
+        base, mean = F.lit(self.line.base), F.lit(self.overall)
+        if self.stores is not None:
+            known = self.stores.withColumnsRenamed({"store": "__store", "base": "__base", "mean": "__mean"})
+            rows = rows.join(known, F.col(_category(WIDE)) == F.col("__store"), "left")
+            base, mean = F.coalesce("__base", base), F.coalesce("__mean", mean)
+        columns = self.inputs | label | {"linear": reduce(Column.__add__, parts, base), f"stat__{WIDE}": mean}
+        rows = rows.select(*keep, *[c.alias(n) for n, c in columns.items()])
+        trees = list(self.inputs) + ([f"stat__{WIDE}"] if self.stores is not None else [])
+        rows = VectorAssembler(inputCols=trees, outputCol="features").transform(rows)
+        return rows.select(*keep, *label, "features", "linear")
 
 
-def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str]) -> Preprocessor:
-    """Learn fill values, levels and means from the training rows alone.
+@dataclass(frozen=True)
+class Lesson:
+    """Features to learn from, and up to which block of rows."""
+
+    name: str
+    numeric: tuple[str, ...]
+    categorical: tuple[str, ...]
+    upto: int = 0
+
+
+def _category_counts(rows: DataFrame, categorical: list[str], block: Column) -> DataFrame:
+    """feature, value, block, n."""
+    texts = rows.select(block.cast("int").alias("__block"), *[F.col(c).cast("string").alias(c) for c in categorical])
+    long = texts.unpivot(["__block"], categorical, "feature", "value").where("value IS NOT NULL AND __block IS NOT NULL")
+    counts = long.groupBy("feature", "value", F.col("__block").alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    return materialize(counts, "category-counts")
 
-    Fill values, the levels of short categories and one mean per input reach the driver; the means per
-    store stay a table.
+
+def _store_modes(counts: DataFrame, uptos: list[int]) -> dict[int, str | None]:
+    """The store with most rows, per prefix; of equals, the smallest."""
+    upto = [F.sum(F.when(F.col("block") <= u, F.col("n")).otherwise(0)).alias(f"n{u}") for u in uptos]
+    each = counts.where(F.col("feature") == WIDE).groupBy("value").agg(*upto)
+    order = lambda u: F.struct(-F.col(f"n{u}"), F.col("value").try_cast("double"), F.col("value"))
+    row = each.agg(F.lit(0), *[F.min_by("value", order(u)).alias(f"m{u}") for u in uptos]).first()
+    return {u: row[f"m{u}"] for u in uptos}
+
+
+def _as_number(text: str) -> tuple[bool, float]:
+    try:
+        return True, float(text)
+    except ValueError:
+        return False, 0.0
+
+
+def learn(rows: DataFrame, lessons: list[Lesson], block: Column | None = None) -> dict[str, Preprocessor]:
+    """What every lesson learns from ``rows``, whose ``block`` is a whole number from 0 (by default all are 0).
+
+    The rows are read four times (sketches, quantiles, categories, sums), however many lessons there are:
+    each pass keeps its findings per block, and a lesson adds up those of its own blocks. Fill values,
+    levels of short categories and one matrix per block reach the driver; what grows with the stores stays
+    a table.
     """
-    known = lambda table: {r["feature"]: r["value"] for r in table.collect()}
-    medians = known(numeric_medians(train, numeric)) if numeric else {}
-    modes = known(category_modes(train, categorical)) if categorical else {}
-    filled = _filled(train, numeric, categorical, medians, modes)
+    block = F.lit(0) if block is None else block
+    numeric = list(dict.fromkeys(c for lesson in lessons for c in lesson.numeric))
+    categorical = list(dict.fromkeys(c for lesson in lessons for c in lesson.categorical))
+    uptos = sorted({lesson.upto for lesson in lessons})
+    found = prefix_quantiles(rows, numeric, [0.5], block, uptos) if numeric else {}
+    medians = {u: {c: found[u, c, 0.5] for c in numeric if (u, c, 0.5) in found} for u in uptos}
+    tallies: dict[str, list] = {c: [] for c in categorical}
+    wide_modes: dict[int, str | None] = {}
+    if categorical:
+        counts = _category_counts(rows, categorical, block)
+        for r in counts.where(F.col("feature") != WIDE).collect():  # short categories
+            tallies[r["feature"]].append((r["value"], r["block"], r["n"]))
+        wide_modes = _store_modes(counts, uptos) if WIDE in categorical else {}
     short = [c for c in categorical if c != WIDE]
-    sets = filled.agg(F.lit(0), *[F.sort_array(F.collect_set(_category(c))).alias(c) for c in short]).first()
-    made = Preprocessor(numeric, categorical, medians, modes, {c: sets[c] for c in short}, {}, 1.0, None)
-    columns = made.inputs | {"label": F.col(TARGET).cast("double")}
-    rows = filled.where(F.col(TARGET).isNotNull()).select(*made._wide(), *[c.alias(n) for n, c in columns.items()])
-    averages = [F.avg(n).alias(_mean(n)) for n in columns]
-    whole = rows.agg(*averages, F.stddev_pop("label").alias("scale")).first()
-    made.overall = {n: whole[_mean(n)] or 0.0 for n in columns}
-    made.scale = whole["scale"] or 1.0
-    if WIDE in categorical:
-        made.means = materialize(rows.groupBy(_category(WIDE)).agg(*averages), "store-means")
-    return made
+    levels, modes = {}, {}
+    for u in uptos:
+        modes[u] = {WIDE: wide_modes[u]} if wide_modes.get(u) is not None else {}
+        for c in short:
+            totals: dict[str, int] = {}
+            for value, b, n in tallies[c]:
+                if b <= u:
+                    totals[value] = totals.get(value, 0) + n
+            levels[u, c] = sorted(totals, key=str.encode)
+            if totals:
+                modes[u][c] = min(totals, key=lambda v: (-totals[v], *_as_number(v), v))
+    every = tuple((c, tuple(sorted({v for v, _, _ in tallies[c]}, key=str.encode))) for c in short)
+    layout = Layout(tuple(numeric), tuple(medians[uptos[-1]].get(c, 0.0) for c in numeric), every)
+    store = F.coalesce(F.col(WIDE).cast("string"), F.lit(wide_modes[uptos[-1]])) if wide_modes else F.lit("")
+    moments = collect_moments(rows, layout, block, F.coalesce(store, F.lit("")), F.col(TARGET), uptos)
+    cases = []
+    for lesson in lessons:
+        own = [c for c in lesson.categorical if c != WIDE]
+        u = lesson.upto
+        known = Case(lesson.name, u, lesson.numeric, {c: levels[u, c] for c in own}, medians[u], modes[u], WIDE in lesson.categorical)
+        cases.append((known, *solve(moments, known)))
+    by_store = [(c, w) for c, _, w in cases if c.by_store]
+    table = store_table(moments, by_store) if by_store else None
+    out = {}
+    for (case, line, _), lesson in zip(cases, lessons):
+        total = moments.total(case.upto)
+        stores = table.where(F.col("case") == case.name).drop("case") if case.by_store else None
+        kept = {c: modes[case.upto][c] for c in lesson.categorical if c in modes[case.upto]}
+        fills = {c: medians[case.upto][c] for c in lesson.numeric if c in medians[case.upto]}
+        mean = float(total[0, -1] / max(1.0, total[0, 0]))
+        out[lesson.name] = Preprocessor(list(lesson.numeric), list(lesson.categorical), fills, kept, case.levels, mean, line, stores)
+    return out
 
 
-# --- training and scoring -----------------------------------------------------------------------
+def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str]) -> Preprocessor:
+    """What the training rows alone teach."""
+    return learn(train, [Lesson("all", tuple(numeric), tuple(categorical))])["all"]
 
 
-def train_models(train: DataFrame, sizes: Sizes = Sizes()) -> dict[str, Model]:
-    """Fit each model on assembled rows; each fit is a distributed job."""
-    columns = ["label", "features", "within", "within_label"]
-    assembled = train.select(*columns).where(F.col("label").isNotNull()).persist()
-    try:
-        return {name: estimator.fit(assembled) for name, estimator in estimators(sizes).items()}
-    finally:
-        assembled.unpersist()
+# --- training and scoring -----------------------------------------------------------------------
 
 
-def score(models: dict[str, Model], test: DataFrame) -> DataFrame:
+def train_models(assembled: DataFrame, sizes: Sizes = Sizes(), prepared: Preprocessor | None = None) -> dict[str, Model | Line]:
+    """The named models: least squares as ``prepared`` has it, and each tree model fitted on the assembled rows.
+
+    The rows are written once for all tree fits. Node ids are kept with the rows and checkpointed on the shared
+    folder, so that long fits neither send their trees to every task nor grow without end.
+    """
+    models: dict[str, Model | Line] = {}
+    if LINEAR in sizes.models:
+        if prepared is None:
+            raise ValueError("least squares comes with the preprocessor")
+        models[LINEAR] = prepared.line
+    trees = estimators(sizes)
+    if trees:
+        checkpoint_here(assembled.sparkSession)
+        stored = materialize(assembled.select("label", "features").where(F.col("label").isNotNull()), "assembled-rows")
+        models |= {name: estimator.fit(stored) for name, estimator in trees.items()}
+    return models
+
+
+def score(models: dict[str, Model | Line], test: DataFrame) -> DataFrame:
     """Long forecasts (key, actual, model, predicted) of assembled rows.
 
     The models are applied one after the other in one pass over the test rows.
@@ -260,22 +319,27 @@ def score(models: dict[str, Model], test: DataFrame) -> DataFrame:
     out = test
     columns = {}
     for i, (name, model) in enumerate(models.items()):
-        columns[f"p{i}"] = name
-        out = model.setPredictionCol(f"p{i}").transform(out)
-    value = lambda c, n: F.col("base") + F.col(c) * F.col("scale") if n == LINEAR else F.col(c)
-    options = [F.struct(F.lit(n).alias("model"), value(c, n).alias("predicted")) for c, n in columns.items()]
+        if name == LINEAR:
+            columns["linear"] = name
+        else:
+            columns[f"p{i}"] = name
+            out = model.setPredictionCol(f"p{i}").transform(out)
+    options = [F.struct(F.lit(n).alias("model"), F.col(c).alias("predicted")) for c, n in columns.items()]
     keep = [c for c in [*SALES_KEY, TARGET] if c in test.columns]
     return out.select(*keep, F.explode(F.array(*options)).alias("s")).select(
         *keep, "s.model", "s.predicted"
     )
 
 
+def _fit_and_score(prepared: Preprocessor, train: DataFrame, test: DataFrame, sizes: Sizes) -> DataFrame:
+    models = train_models(prepared.transform(train), sizes, prepared)
+    return score(models, prepared.transform(test))
+
+
 def fit_and_score(
     train: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str], sizes: Sizes = Sizes()
 ) -> DataFrame:
-    prepared = fit_preprocessor(train, numeric, categorical)
-    models = train_models(prepared.transform(train), sizes)
-    return score(models, prepared.transform(test))
+    return _fit_and_score(fit_preprocessor(train, numeric, categorical), train, test, sizes)
 
 
 def forecast_rows(
@@ -289,24 +353,26 @@ def forecast_rows(
     return fit_and_score(rows, coming, *known, sizes).drop(TARGET)
 
 
-def save_forecaster(prepared: Preprocessor, models: dict[str, Model], path: str) -> None:
-    """Write what was learnt: one row of settings, the means per store, the fitted models."""
+def save_forecaster(prepared: Preprocessor, models: dict[str, Model | Line], path: str) -> None:
+    """Write what was learnt: one row of settings, the table of stores, the fitted trees."""
     spark = SparkSession.active()
-    kept = {k: getattr(prepared, k) for k in ("numeric", "categorical", "medians", "modes", "levels", "overall", "scale")}
-    row = [(json.dumps(kept | {"models": list(models)}),)]
+    kept = {k: getattr(prepared, k) for k in ("numeric", "categorical", "medians", "modes", "levels", "overall")}
+    row = [(json.dumps(kept | {"line": prepared.line.__dict__, "models": list(models)}),)]
     spark.createDataFrame(row, "settings string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
-    if prepared.means is not None:
-        prepared.means.write.mode("overwrite").parquet(f"{path}/means")
-    for i, model in enumerate(models.values()):
-        model.write().overwrite().save(f"{path}/model-{i}")
+    if prepared.stores is not None:
+        prepared.stores.write.mode("overwrite").parquet(f"{path}/stores")
+    for i, (name, model) in enumerate(models.items()):
+        if name != LINEAR:
+            model.write().overwrite().save(f"{path}/model-{i}")
 
 
-def load_forecaster(spark: SparkSession, path: str) -> tuple[Preprocessor, dict[str, Model]]:
+def load_forecaster(spark: SparkSession, path: str) -> tuple[Preprocessor, dict[str, Model | Line]]:
     kept = json.loads(spark.read.text(f"{path}/settings").first()[0])
-    names = kept.pop("models")
-    kinds = {LINEAR: LinearRegressionModel, FOREST: RandomForestRegressionModel, BOOSTED: GBTRegressionModel}
-    means = spark.read.parquet(f"{path}/means") if WIDE in kept["categorical"] else None
-    return Preprocessor(**kept, means=means), {n: kinds[n].load(f"{path}/model-{i}") for i, n in enumerate(names)}
+    names, line = kept.pop("models"), Line(**kept.pop("line"))
+    kinds = {FOREST: RandomForestRegressionModel, BOOSTED: GBTRegressionModel}
+    stores = spark.read.parquet(f"{path}/stores") if WIDE in kept["categorical"] else None
+    models = {n: line if n == LINEAR else kinds[n].load(f"{path}/model-{i}") for i, n in enumerate(names)}
+    return Preprocessor(**kept, line=line, stores=stores), models
 
 
 def feature_importance(model: Model, assembled: DataFrame, top: int | None = None) -> DataFrame:
@@ -349,13 +415,15 @@ def scenario_grid(
 ) -> DataFrame:
     """Long forecasts of every model in every scenario, with the scenario's feature count."""
 
-    def fit(scenario: str) -> DataFrame:
-        numeric, categorical = ft.scenario_features(scenario, train.columns)
-        scored = fit_and_score(train, test, numeric, categorical, sizes)
-        count = F.lit(len(numeric) + len(categorical)).cast("long")
-        return scored.withColumns({"scenario": F.lit(scenario), "feature_count": count})
+    lessons = [Lesson(s, *map(tuple, ft.scenario_features(s, train.columns))) for s in scenarios]
+    prepared = learn(train, lessons)
+
+    def fit(lesson: Lesson) -> DataFrame:
+        scored = _fit_and_score(prepared[lesson.name], train, test, sizes)
+        count = F.lit(len(lesson.numeric) + len(lesson.categorical)).cast("long")
+        return scored.withColumns({"scenario": F.lit(lesson.name), "feature_count": count})
 
-    return _fit_all(fit, list(scenarios), at_once)
+    return _fit_all(fit, lessons, at_once)
 
 
 def scenario_comparison(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -379,11 +447,20 @@ def backtest_scores(
     sizes: Sizes = Sizes(),
     at_once: int = 1,
 ) -> DataFrame:
-    """Test-row forecasts of every fold and model; each fold learns from the weeks before it."""
+    """Test-row forecasts of every fold and model; each fold learns from the weeks before it.
+
+    A row's block is the number of folds whose tests have begun, so the first n blocks are what fold n
+    learns from: one preparation serves all folds, and only tree models are fitted fold by fold.
+    """
+    ordered = sorted(folds, key=lambda f: f.test_start)
+    begun = [(F.col("date") >= F.lit(f.test_start)).cast("int") for f in ordered]
+    block = reduce(Column.__add__, begun)
+    lessons = {f.number: Lesson(str(f.number), tuple(numeric), tuple(categorical), i) for i, f in enumerate(ordered)}
+    prepared = learn(rows, list(lessons.values()), block)
 
     def fit(fold: Fold) -> DataFrame:
         train, test = fold_split(rows, fold)
-        scored = fit_and_score(train, test, numeric, categorical, sizes)
+        scored = _fit_and_score(prepared[str(fold.number)], train, test, sizes)
         return scored.withColumn("fold", F.lit(fold.number))
 
     return _fit_all(fit, folds, at_once)

@@ -21,7 +21,7 @@ from retailcast.queries.registry import (
     sales_panel,
 )
 from retailcast.queries.tables_sql import measures
-from retailcast.schema import SERIES_KEY
+from retailcast.schema import SALES_KEY, SERIES_KEY
 from retailcast.session import materialize
 
 SIZES = models.Sizes(forest_trees=10, forest_depth=6, boosting_rounds=5, boosting_depth=4, boosting_rate=0.3)
@@ -179,48 +179,210 @@ def l7_feature_importance(spark, folder):
     return models.feature_importance(fitted[models.BOOSTED], assembled, 15)
 
 
-def _company_arima_sql(name: str, grid: list[tuple[float, int]], season: int) -> str:
-    """The grid fit and the one-week-ahead forecasts as recursive SQL over the company series."""
+# --- all three models with closed forms ------------------------------------------------------------
+
+# A line, one split of all rows, and two boosting rounds of one split each, over the month alone.
+SOLVABLE = models.Sizes(
+    forest_trees=1, forest_depth=1, forest_bootstrap=False,
+    boosting_rounds=2, boosting_depth=1, boosting_rate=0.5, row_sample=1.0, column_sample=1.0,
+)
+_SOLVED = f"""{_TRAIN}, {_stump("one", "train", "y")},
+    rest AS (SELECT month, 2 * (y - {_SIDE.format(t="one")}) AS r FROM train, one), {_stump("two", "rest", "r")},
+    line AS (SELECT regr_slope(y, month) AS b, regr_intercept(y, month) AS a FROM train),
+    scored AS (
+      SELECT store_id, department, date, weekly_sales, 'Linear Regression' AS model, a + b * month AS predicted
+      {_TEST.format(tables="line")}
+      UNION ALL SELECT store_id, department, date, weekly_sales, 'Random Forest', {_SIDE.format(t="one")} {_TEST.format(tables="one")}
+      UNION ALL SELECT store_id, department, date, weekly_sales, 'Boosted Trees', {_SIDE.format(t="one")} + 0.5 * {_SIDE.format(t="two")}
+      {_TEST.format(tables="one, two")}),
+    by_week AS (SELECT model, date, CAST(sum(weekly_sales) AS DOUBLE) AS actual, sum(predicted) AS predicted FROM scored GROUP BY ALL)"""
+
+
+def _solved(spark, folder):
+    rows = models.model_rows(features.series_features(sales_panel(spark, folder)))
+    train, test = features.time_split(rows, TEST_START, TEST_END)
+    return models.fit_and_score(train, test, ["month"], [], SOLVABLE)
+
+
+@query(
+    "l5_solvable_comparison",
+    f"""WITH {_SOLVED} SELECT model, {measures("CAST(weekly_sales AS DOUBLE)", "predicted")}, count(*) AS n_test_rows,
+          'store_department_week' AS evaluation_level FROM scored GROUP BY model""",
+)
+def l5_solvable_comparison(spark, folder):
+    return round_measures(models.model_comparison(_solved(spark, folder)))
+
+
+@query(
+    "l6_solvable_table",
+    f"""WITH {_SOLVED} SELECT store_id, department, date, weekly_sales,
+          round(max(predicted) FILTER (WHERE model = 'Linear Regression'), 2) AS pred_linear_regression,
+          round(max(predicted) FILTER (WHERE model = 'Random Forest'), 2) AS pred_random_forest,
+          round(max(predicted) FILTER (WHERE model = 'Boosted Trees'), 2) AS pred_boosted_trees FROM scored GROUP BY ALL""",
+)
+def l6_solvable_table(spark, folder):
+    columns = {f"pred_{m.lower().replace(' ', '_')}": m for m in SOLVABLE.models}
+    return rounded(metrics.prediction_table(_solved(spark, folder), columns), *columns, digits=2)
+
+
+def _gain(feature: str) -> str:
+    """The best split of one feature: how much of the squares it explains."""
+    low, high = f"FILTER (WHERE {feature} <= m)", f"FILTER (WHERE {feature} > m)"
+    return f"""SELECT 'num__{feature}' AS feature, max(gain) AS gain FROM (
+        SELECT sum(y) {low} ^ 2 / sum(n) {low} + sum(y) {high} ^ 2 / sum(n) {high} AS gain
+        FROM (SELECT {feature}, sum(CAST(weekly_sales AS DOUBLE)) AS y, CAST(count(*) AS DOUBLE) AS n FROM complete WHERE date < DATE '2001-06-01' GROUP BY ALL) s,
+             (SELECT DISTINCT {feature} AS m FROM complete) t GROUP BY m)"""
+
+
+@query(
+    "l7_stump_importance",
+    f"""WITH gains AS ({_gain("month")} UNION ALL {_gain("year")})
+        SELECT feature, CAST(gain = (SELECT max(gain) FROM gains) AS DOUBLE) AS importance FROM gains""",
+)
+def l7_stump_importance(spark, folder):
+    # One split takes the feature that explains most, and all importance goes to it.
+    train, _ = features.time_split(models.model_rows(features.series_features(sales_panel(spark, folder))), TEST_START, TEST_END)
+    assembled = models.fit_preprocessor(train, ["month", "year"], []).transform(train)
+    sizes = models.Sizes(**{**SOLVABLE.__dict__, "models": (models.BOOSTED,), "boosting_rounds": 1})
+    return models.feature_importance(models.train_models(assembled, sizes)[models.BOOSTED], assembled, 15)
+
+
+# Least squares with a level per store and per department in a full panel: deviations from both means are what
+# one column per store and department leaves of a number.
+_PANEL_LINE = """fx AS (SELECT store_id, date, temperature AS f FROM clean_features),
+    c AS (SELECT r.store_id, r.department, r.date, CAST(weekly_sales AS DOUBLE) AS y, CAST(r.month AS DOUBLE) AS m, CAST(f AS DOUBLE) AS f
+          FROM complete r JOIN fx ON fx.store_id = r.store_id AND fx.date = r.date),
+    t AS (SELECT * FROM c WHERE date < DATE '2001-06-01'),
+    by_s AS (SELECT store_id, avg(y) AS sy, avg(m) AS sm, avg(f) AS sf FROM t GROUP BY store_id),
+    by_d AS (SELECT department, avg(y) AS dy, avg(m) AS dm, avg(f) AS df FROM t GROUP BY department),
+    whole AS (SELECT avg(y) AS wy, avg(m) AS wm, avg(f) AS wf FROM t),
+    dev AS (SELECT c.*, sy + dy - wy AS base, m - sm - dm + wm AS vm, f - sf - df + wf AS vf
+            FROM c JOIN by_s ON by_s.store_id = c.store_id JOIN by_d ON by_d.department = c.department, whole),
+    sums AS (SELECT sum(vm * vm) AS mm, sum(vf * vf) AS ff, sum(vm * vf) AS mf, sum(vm * (y - base)) AS my, sum(vf * (y - base)) AS fy
+             FROM dev WHERE date < DATE '2001-06-01'),
+    scored AS (
+      SELECT 'full_information' AS scenario, 4 AS feature_count, date, y, base + vm * (my * ff - fy * mf) / (mm * ff - mf * mf)
+             + vf * (fy * mm - my * mf) / (mm * ff - mf * mf) AS predicted
+      FROM dev, sums WHERE date BETWEEN DATE '2001-06-01' AND DATE '2001-08-31'
+      UNION ALL
+      SELECT 'operational_conservative', 3, date, y, base + vm * my / mm FROM dev, sums
+      WHERE date BETWEEN DATE '2001-06-01' AND DATE '2001-08-31'),
+    by_week AS (SELECT scenario, feature_count, date, sum(y) AS actual, sum(predicted) AS predicted FROM scored GROUP BY ALL)"""
+
+
+def _line_scenarios(spark, folder):
+    """Least squares in both scenarios over the month and, if it counts as known, the temperature, with levels per
+    store and department."""
+    kept = [*SALES_KEY, models.TARGET, "month", "temperature"]
+    rows = models.model_rows(features.series_features(panel(spark, folder, "temperature"))).select(*kept)
+    train, test = features.time_split(rows, TEST_START, TEST_END)
+    return materialize(models.scenario_grid(train, test, _only(models.LINEAR)), "scenario-forecasts")
+
+
+@query(
+    "k3_line_scenarios",
+    f"""WITH {_PANEL_LINE}
+        SELECT scenario, 'Linear Regression' AS model, CAST(feature_count AS BIGINT) AS feature_count, {measures("y", "predicted")},
+               count(*) AS n_test_rows, 'store_department_week' AS evaluation_level, CAST(NULL AS BIGINT) AS n_test_weeks
+        FROM scored GROUP BY scenario, feature_count
+        UNION ALL
+        SELECT scenario, 'Linear Regression', CAST(feature_count AS BIGINT), {measures("actual", "predicted")}, NULL, 'company_week', count(*)
+        FROM by_week GROUP BY scenario, feature_count""",
+)
+def k3_line_scenarios(spark, folder):
+    granular, company = models.scenario_comparison(_line_scenarios(spark, folder))
+    return round_measures(granular.unionByName(company, allowMissingColumns=True))
+
+
+@query(
+    "k4_line_sensitivity",
+    f"""WITH {_PANEL_LINE},
+        measured AS (SELECT scenario, avg(abs((predicted - actual) / nullif(actual, 0))) * 100 AS mape,
+            sum(abs(predicted - actual)) / sum(abs(actual)) * 100 AS wape, sum(predicted - actual) / sum(abs(actual)) * 100 AS bias
+            FROM by_week GROUP BY scenario)
+        SELECT 'Linear Regression' AS model, round(a.mape, 4) AS full_mape, round(b.mape, 4) AS operational_mape, round(b.mape - a.mape, 4) AS mape_change,
+               round(a.wape, 4) AS full_wape, round(b.wape, 4) AS operational_wape, round(b.wape - a.wape, 4) AS wape_change,
+               round((b.wape - a.wape) / nullif(a.wape, 0) * 100, 4) AS wape_relative_change_pct, round(a.bias, 4) AS full_forecast_bias,
+               round(b.bias, 4) AS operational_forecast_bias, CAST(4 AS BIGINT) AS full_feature_count, CAST(3 AS BIGINT) AS operational_feature_count,
+               'company_week' AS evaluation_level
+        FROM measured a, measured b WHERE a.scenario = 'full_information' AND b.scenario = 'operational_conservative'""",
+)
+def k4_line_sensitivity(spark, folder):
+    _, company = models.scenario_comparison(_line_scenarios(spark, folder))
+    table = backtest.sensitivity(company)
+    return rounded(table, *[c for c in table.columns if c.rsplit("_", 1)[-1] in ("mape", "wape", "change", "pct", "bias")])
+
+
+def _arima_parts(source: str, grid: list[tuple[float, int]], season: int, p: str = "") -> list[str]:
+    """The grid fit and the one-week-ahead forecasts of every series of ``source`` (k, date, v), as recursive SQL;
+    ``{p}final`` has k, t and predicted, ``{p}y`` the values by k and t."""
     forecast = "y.v1 + r.phi * (y.v1 - y.v2) + r.theta * r.err"
     if season:
         forecast = f"{forecast} + r.big * ((y.s0 - y.s1) - r.phi * (y.s1 - y.s2))"
 
     def run(table: str, points: str, last: str) -> str:
         return f"""{table} AS (
-            SELECT CAST({season + 2} AS BIGINT) AS t, phi, theta, big, CAST(0 AS DOUBLE) AS err,
+            SELECT k, CAST({season + 2} AS BIGINT) AS t, phi, theta, big, CAST(0 AS DOUBLE) AS err,
                    CAST(0 AS DOUBLE) AS sse, CAST(NULL AS DOUBLE) AS predicted FROM {points}
             UNION ALL
-            SELECT y.t, r.phi, r.theta, r.big, y.v - ({forecast}), r.sse + (y.v - ({forecast})) * (y.v - ({forecast})),
+            SELECT r.k, y.t, r.phi, r.theta, r.big, y.v - ({forecast}), r.sse + (y.v - ({forecast})) * (y.v - ({forecast})),
                    {forecast}
-            FROM {table} r JOIN y ON y.t = r.t + 1 WHERE y.t <= {last})"""
+            FROM {table} r JOIN {p}y y ON y.k = r.k AND y.t = r.t + 1 WHERE y.t <= {last})"""
 
-    n_train = "(SELECT count(*) FROM y WHERE date < DATE '2001-06-01')"
+    lags = {"v1": 1, "v2": 2, "s0": season, "s1": season + 1, "s2": season + 2}
+    n_train = f"(SELECT max(t) FROM {p}y WHERE date < DATE '2001-06-01')"
     parts = [
-        f"""y AS (SELECT date, CAST(total_weekly_sales AS DOUBLE) AS v, row_number() OVER o AS t,
-              lag(CAST(total_weekly_sales AS DOUBLE), 1) OVER o AS v1, lag(CAST(total_weekly_sales AS DOUBLE), 2) OVER o AS v2,
-              lag(CAST(total_weekly_sales AS DOUBLE), {season}) OVER o AS s0,
-              lag(CAST(total_weekly_sales AS DOUBLE), {season + 1}) OVER o AS s1,
-              lag(CAST(total_weekly_sales AS DOUBLE), {season + 2}) OVER o AS s2
-              FROM company WHERE date <= DATE '2001-08-31' WINDOW o AS (ORDER BY date))""",
-        "best0 AS (SELECT CAST(0 AS DOUBLE) AS phi, CAST(0 AS DOUBLE) AS theta, CAST(0 AS DOUBLE) AS big)",
+        f"""{p}y AS (SELECT k, date, v, row_number() OVER o AS t, {", ".join(f"lag(v, {n}) OVER o AS {c}" for c, n in lags.items())}
+              FROM ({source}) WHERE date <= DATE '2001-08-31' WINDOW o AS (PARTITION BY k ORDER BY date))""",
+        f"{p}best0 AS (SELECT DISTINCT k, CAST(0 AS DOUBLE) AS phi, CAST(0 AS DOUBLE) AS theta, CAST(0 AS DOUBLE) AS big FROM {p}y)",
     ]
     for level, (step, side) in enumerate(grid, start=1):
         point = lambda c, i: f"least(greatest(round({c} + {i} * CAST({step} AS DOUBLE), 6), -0.99), 0.99)"  # noqa: E731, B023
         ticks = lambda a: f"range({-side}, {side + 1}) {a}({a})"  # noqa: E731, B023
-        big = f", {ticks('k')}" if season else ""
+        big = f", {ticks('g')}" if season else ""
         parts.append(
-            f"""grid{level} AS (SELECT {point("phi", "i")} AS phi, {point("theta", "j")} AS theta,
-                {point("big", "k") if season else "big"} AS big FROM best{level - 1}, {ticks("i")}, {ticks("j")}{big})"""
+            f"""{p}grid{level} AS (SELECT k, {point("phi", "i")} AS phi, {point("theta", "j")} AS theta,
+                {point("big", "g") if season else "big"} AS big FROM {p}best{level - 1}, {ticks("i")}, {ticks("j")}{big})"""
         )
-        parts.append(run(f"run{level}", f"grid{level}", n_train))
+        parts.append(run(f"{p}run{level}", f"{p}grid{level}", n_train))
         parts.append(
-            f"""best{level} AS (SELECT phi, theta, big FROM run{level} WHERE t = {n_train}
-                ORDER BY sse, phi, theta, big LIMIT 1)"""
+            f"""{p}best{level} AS (SELECT k, phi, theta, big FROM {p}run{level} WHERE t = {n_train}
+                QUALIFY row_number() OVER (PARTITION BY k ORDER BY sse, phi, theta, big) = 1)"""
         )
-    parts.append(run("final", f"best{len(grid)}", "(SELECT count(*) FROM y)"))
-    return f"""WITH RECURSIVE {", ".join(parts)}
+    parts.append(run(f"{p}final", f"{p}best{len(grid)}", f"(SELECT max(t) FROM {p}y)"))
+    return parts
+
+
+_COMPANY = "SELECT 0 AS k, date, CAST(total_weekly_sales AS DOUBLE) AS v FROM company"
+_DEPARTMENTS = "SELECT department AS k, date, CAST(sum(weekly_sales) AS DOUBLE) AS v FROM clean_sales GROUP BY ALL"
+
+
+def _company_arima_sql(name: str, grid: list[tuple[float, int]], season: int) -> str:
+    return f"""WITH RECURSIVE {", ".join(_arima_parts(_COMPANY, grid, season))}
         SELECT y.date, y.v AS actual, '{name}' AS model, round(predicted, 2) AS predicted
-        FROM final JOIN y USING (t) WHERE y.date >= DATE '2001-06-01'"""
+        FROM final JOIN y USING (k, t) WHERE y.date >= DATE '2001-06-01'"""
+
+
+def _department_arima_sql(name: str, grid: list[tuple[float, int]], season: int) -> str:
+    return f"""WITH RECURSIVE {", ".join(_arima_parts(_DEPARTMENTS, grid, season))}
+        SELECT k AS department, y.date, y.v AS actual, '{name}' AS model, round(predicted, 2) AS predicted
+        FROM final JOIN y USING (k, t) WHERE y.date >= DATE '2001-06-01'"""
+
+
+def _department_forecast(spark, folder, seasonal: bool):
+    totals = sales_panel(spark, folder).groupBy("department", "date").agg(F.sum("weekly_sales").alias("total"))
+    made = arima.forecast(totals, "total", ["department"], TEST_START, TEST_END, seasonal, slices=4)
+    return rounded(made, "predicted", digits=2)
+
+
+@query("l8_arima_departments", _department_arima_sql(arima.ARIMA, arima.ARIMA_GRID, 0))
+def l8_arima_departments(spark, folder):
+    return _department_forecast(spark, folder, False)
+
+
+@query("l9_sarima_departments", _department_arima_sql(arima.SARIMA, arima.SARIMA_GRID, arima.SEASON))
+def l9_sarima_departments(spark, folder):
+    return _department_forecast(spark, folder, True)
 
 
 @query("l8_arima_series")
@@ -252,18 +414,41 @@ def _statistical_comparison(spark, folder):
     return naive.unionByName(arima.company_comparison(both[0].unionByName(both[1])))
 
 
-@query("k1_baseline_arima_comparison")
+_MEASURED = f"""{measures("actual", "predicted")}, count(*) AS n_test_weeks, 'company_week' AS evaluation_level"""
+_STATISTICAL = ", ".join([
+    *_arima_parts(_COMPANY, arima.ARIMA_GRID, 0, "a_"), *_arima_parts(_COMPANY, arima.SARIMA_GRID, arima.SEASON, "b_"),
+    *[f"{p}test AS (SELECT {p}y.date, v AS actual, predicted FROM {p}final JOIN {p}y USING (k, t) WHERE {p}y.date >= DATE '2001-06-01')" for p in ("a_", "b_")],
+    f"""compared AS (
+      SELECT model, {_MEASURED} FROM company_long WHERE predicted IS NOT NULL AND year = 2001 AND month IN (6, 7, 8) GROUP BY model
+      UNION ALL SELECT '{arima.ARIMA}', {_MEASURED} FROM a_test UNION ALL SELECT '{arima.SARIMA}', {_MEASURED} FROM b_test)""",
+])
+
+
+@query("k1_baseline_arima_comparison", f"WITH RECURSIVE {_STATISTICAL} SELECT * FROM compared")
 def k1_baseline_arima_comparison(spark, folder):
     return round_measures(metrics.by_mape(_statistical_comparison(spark, folder)))
 
 
-@query("k2_final_comparison")
-def k2_final_comparison(spark, folder):
-    company = metrics.summed_evaluation(_forecast(spark, folder), models.TARGET)
+def _final_comparison(spark, folder, forecasts):
+    company = metrics.summed_evaluation(forecasts, models.TARGET)
     company = company.withColumn("model", F.concat("model", F.lit(" Aggregate")))
     return round_measures(metrics.by_mape(_statistical_comparison(spark, folder).unionByName(company)))
 
 
+@query("k2_final_comparison")
+def k2_final_comparison(spark, folder):
+    return _final_comparison(spark, folder, _forecast(spark, folder))
+
+
+@query(
+    "k2_solvable_comparison",
+    f"""WITH RECURSIVE {_STATISTICAL}, {_SOLVED}
+        SELECT * FROM compared UNION ALL SELECT model || ' Aggregate', {_MEASURED} FROM by_week GROUP BY model""",
+)
+def k2_solvable_comparison(spark, folder):
+    return _final_comparison(spark, folder, _solved(spark, folder))
+
+
 @query("k3_scenario_grid")
 def k3_scenario_grid(spark, folder):
     granular, company = models.scenario_comparison(scenario_forecasts(spark, folder))

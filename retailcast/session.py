@@ -62,6 +62,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{_application_dir(spark)}/{uuid.uuid4().hex}/{label}"
 
 
+def checkpoint_here(spark: SparkSession) -> None:
+    """Let long iterations checkpoint in the shared folder; a folder that is already set stays."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{_application_dir(spark)}/checkpoints")
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote to the shared folder; frames read from it end here."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))

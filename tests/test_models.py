@@ -88,8 +88,86 @@ def test_width_does_not_follow_the_stores(spark):
     raw = [(s, 1, START, float(s), 1.0 * (s % 7), 0.5, "red") for s in range(300)]
     schema = "store_id long, department int, date date, weekly_sales double, a double, b double, color string"
     train = spark.createDataFrame(raw, schema)
-    out = models.fit_preprocessor(train, NUMERIC, CATEGORICAL).transform(train).first()
-    assert (out["features"].size, out["within"].size) == (4, 3)
+    prepared = models.fit_preprocessor(train, NUMERIC, CATEGORICAL)
+    assert prepared.transform(train).first()["features"].size == 4
+    assert (len(prepared.line.numbers), prepared.line.levels["color"].keys()) == (2, {"red"})
+
+
+def linear_only(train, test, numeric, categorical):
+    scored = models.fit_and_score(train, test, numeric, categorical, models.Sizes(models=(models.LINEAR,)))
+    return {(r["store_id"], r["date"]): r["predicted"] for r in scored.collect()}
+
+
+def test_least_squares_with_gaps_collinear_and_constant_columns(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(600):
+        store, color = int(rng.integers(1, 6)), [None, "red", "blue", "green"][int(rng.integers(0, 4))]
+        a, b = float(rng.normal(1000, 3)), float(rng.normal(-40, 2))
+        y = 1e5 + 7 * a - 2 * b + 50 * store + (9 if color == "red" else 0) + float(rng.normal())
+        rows.append((store, 1, START + dt.timedelta(weeks=i), y, None if i % 11 == 0 else a, b, a + b, 10.0 * store, color))
+    schema = "store_id long, department int, date date, weekly_sales double, a double, b double, c double, size double, color string"
+    df = spark.createDataFrame(rows, schema)
+    numeric, cut = ["a", "b", "c", "size"], START + dt.timedelta(weeks=500)
+    train, test = df.where(F.col("date") < F.lit(cut)), df.where(F.col("date") >= F.lit(cut))
+    got = linear_only(train, test, numeric, ["store_id", "color"])
+    left, right = train.toPandas(), test.toPandas()
+    median = left["a"].median()
+    counts = left["color"].value_counts()
+    mode = sorted(counts.index, key=lambda v: (-counts[v], v))[0]
+
+    def design(frame):
+        colors = frame["color"].fillna(mode)
+        parts = [frame["a"].fillna(median), frame["b"], frame["c"], frame["size"]]
+        return np.column_stack(parts + [(frame["store_id"] == s).astype(float) for s in range(1, 6)] + [(colors == c).astype(float) for c in ("red", "blue", "green")])
+
+    # Centred columns, so that the check itself is well conditioned.
+    centre = design(left).mean(axis=0)
+    wide = lambda frame: np.column_stack([design(frame) - centre, np.ones(len(frame))])
+    weights = np.linalg.lstsq(wide(left), left["weekly_sales"].to_numpy(), rcond=1e-10)[0]
+    want = wide(right) @ weights
+    assert [got[s, d] for s, d in zip(right["store_id"], right["date"])] == pytest.approx(list(want), abs=1e-4)
+
+
+def test_one_preparation_serves_all_folds(spark, data):
+    train, test = data
+    rows = train.unionByName(test)
+    from retailcast.operators.backtest import Fold
+
+    week = lambda n: START + dt.timedelta(weeks=n)
+    folds = [Fold(i + 1, week(100 + 60 * i), week(159 + 60 * i)) for i in range(5)]
+    sizes = models.Sizes(models=(models.LINEAR,))
+    together = models.backtest_scores(rows, folds, NUMERIC, CATEGORICAL, sizes)
+    got = {(r["fold"], r["date"]): r["predicted"] for r in together.collect()}
+    for fold in folds:
+        left, right = rows.where(F.col("date") < F.lit(fold.test_start)), rows.where(F.col("date").between(F.lit(fold.test_start), F.lit(fold.test_end)))
+        alone = models.fit_and_score(left, right, NUMERIC, CATEGORICAL, sizes)
+        for r in alone.collect():
+            assert got[fold.number, r["date"]] == pytest.approx(r["predicted"], abs=1e-6)
+    assert len(got) == 300
+
+
+def test_reads_do_not_grow_with_the_folds(spark, monkeypatch):
+    """Passes over the rows of one preparation: the same for one lesson and for twenty."""
+    rows = spark.createDataFrame(rows_with_weeks(), "store_id long, department int, date date, weekly_sales double, a double, b double, color string")
+    passes = []
+    for count in (1, 20):
+        reads = spark.sparkContext.accumulator(0)
+
+        def seen(batches, reads=reads):
+            reads.add(1)
+            yield from batches
+
+        counted = rows.coalesce(1).mapInArrow(seen, rows.schema)
+        lessons = [models.Lesson(str(i), tuple(NUMERIC), tuple(CATEGORICAL), i) for i in range(count)]
+        block = F.floor(F.datediff("date", F.lit(START)) / 70).cast("int")
+        models.learn(counted, lessons, block)
+        passes.append(reads.value)
+    assert passes[0] == passes[1] <= 4
+
+
+def rows_with_weeks():
+    return [(s, d, START + dt.timedelta(weeks=w), float(s * w % 17), float(w % 5), float(s), "red" if w % 2 else "blue") for s in range(4) for d in range(2) for w in range(200)]
 
 
 def test_importance_names(data):
