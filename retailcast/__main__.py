@@ -9,7 +9,7 @@ from retailcast.operators import backtest, models
 from retailcast.plans.stages import STAGES, Job
 from retailcast.session import build_session, clear_scratch
 
-_SIZES = ("forest_trees", "forest_depth", "forest_min_leaf", "boosting_rounds", "boosting_depth", "boosting_rate")
+_SIZES = ("forest_trees", "forest_depth", "forest_min_leaf", "boosting_rounds", "boosting_depth", "boosting_rate", "row_sample", "column_sample")
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -26,6 +26,8 @@ def main(arguments: list[str] | None = None) -> None:
     for name in _SIZES:
         default = getattr(models.Sizes(), name)
         parser.add_argument(f"--{name.replace('_', '-')}", type=type(default), default=default)
+    every = models.Sizes().models
+    parser.add_argument("--models", nargs="+", choices=every, default=every, help="models of the regression, sensitivity and coming-week stages")
     parser.add_argument("--master")
     given = parser.parse_args(arguments)
     job = Job(
@@ -38,7 +40,7 @@ def main(arguments: list[str] | None = None) -> None:
         fits_at_once=given.fits_at_once,
         initial_train_weeks=given.initial_train_weeks,
         test_weeks=given.test_weeks,
-        sizes=models.Sizes(**{name: getattr(given, name) for name in _SIZES}),
+        sizes=models.Sizes(**{name: getattr(given, name) for name in _SIZES}, models=tuple(given.models)),
     )
     try:
         for name in STAGES if "all" in given.stages else given.stages:

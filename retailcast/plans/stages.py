@@ -37,6 +37,7 @@ from retailcast.sources.files import (
     stack_tables,
     write_table,
 )
+from retailcast.sources.versions import Published
 
 
 YEAR_FILES = 32
@@ -57,6 +58,8 @@ class Job:
     initial_train_weeks: int = backtest.INITIAL_TRAIN_WEEKS
     test_weeks: int = backtest.TEST_WEEKS
     fits_at_once: int = 1
+    # What the running stage has written so far, by folder; None between stages.
+    pending: dict[str, dict[str, str]] | None = field(default=None, repr=False)
 
     def raw_paths(self) -> dict[str, str]:
         return {name: f"{self.raw}/{name}.{self.raw_format}" for name in schema.RAW_SCHEMAS}
@@ -69,18 +72,27 @@ class Job:
         )
         return sales, features_, stores
 
-    @property
-    def panel_path(self) -> str:
-        return f"{self.processed}/panel.parquet"
-
     def panel(self) -> DataFrame:
-        require_inputs(self.spark, {"panel": self.panel_path})
-        df = read_table(self.spark, self.panel_path)
+        path = self.at("panel.parquet", self.processed)
+        require_inputs(self.spark, {"panel": path})
+        df = read_table(self.spark, path)
         require_columns(df, [*schema.SALES_KEY, "weekly_sales"])
         return df
 
-    def out(self, name: str) -> str:
-        return f"{self.outputs}/{name}"
+    def out(self, name: str, folder: str | None = None) -> str:
+        """Where a stage writes a table; between stages, where the table is."""
+        folder = folder or self.outputs
+        if self.pending is None:
+            return self.at(name, folder)
+        published = Published(self.spark, folder)
+        place = self.pending.setdefault(folder, {}).setdefault(name, f"{published.fresh()}/{name}")
+        return f"{published.folder}/{place}"
+
+    def at(self, name: str, folder: str | None = None) -> str:
+        """Where a table is read: as the running stage wrote it, or as it was handed over last."""
+        published = Published(self.spark, folder or self.outputs)
+        written = (self.pending or {}).get(folder or self.outputs, {}).get(name)
+        return f"{published.folder}/{written}" if written else published.path(name)
 
     def write(self, name: str, df: DataFrame) -> None:
         # Results are short tables. The shuffle to one file comes after their last stage, which keeps
@@ -89,22 +101,25 @@ class Job:
         write_table(ordered.sortWithinPartitions("__place").drop("__place"), self.out(name))
 
     def read(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.out(name))
+        return read_table(self.spark, self.at(name))
 
 
 def inspect(job: Job) -> None:
     """Profile the raw files."""
     require_inputs(job.spark, job.raw_paths())
-    shapes, nulls, keys, copies = [], [], [], []
+    shapes, types, nulls, keys, copies = [], [], [], [], []
     for name, path in job.raw_paths().items():
         df = read_table(job.spark, path)
         shapes.append(profile.shape(df, name))
+        types += [(name, *t) for t in profile.column_types(df)]
+        job.write(f"profile_first_rows_{name}", profile.first_rows(df, schema.RAW_KEYS[name]))
         nulls.append(_named(profile.null_profile(df), name))
         keys.append(_named(profile.key_stats(df, schema.RAW_KEYS[name]), name))
         copies.append(_named(profile.duplicate_rows(df), name))
         if "date" in df.columns:
             job.write(f"profile_dates_{name}", profile.date_range(df))
     job.write("profile_shapes", _all(shapes))
+    job.write("profile_column_types", job.spark.createDataFrame(types, "table_name string, position int, column_name string, type string"))
     job.write("profile_nulls", _all(nulls))
     job.write("profile_keys", _all(keys))
     job.write("profile_duplicates", _all(copies))
@@ -134,7 +149,7 @@ def prepare(job: Job) -> None:
     panel = clean.checked_panel(sales, features_, stores)
     # Rows of a year go to one directory, in a bounded number of files.
     panel = panel.repartition("year", F.pmod(F.hash("store_id"), F.lit(YEAR_FILES)))
-    write_table(panel, job.panel_path, "parquet", partition_by=["year"])
+    write_table(panel, job.out("panel.parquet", job.processed), "parquet", partition_by=["year"])
 
 
 def audit(job: Job) -> None:
@@ -158,8 +173,7 @@ def audit(job: Job) -> None:
 def describe(job: Job) -> None:
     """The summer rollups."""
     summer = rollups.summer(rollups.with_markdown_total(job.panel()))
-    write_table(summer, f"{job.processed}/summer_sales.parquet", "parquet")
-    summer = read_table(job.spark, f"{job.processed}/summer_sales.parquet")
+    summer = read_table(job.spark, write_table(summer, job.out("summer_sales.parquet", job.processed), "parquet"))
     job.write("yearly_summer_sales", rollups.sales_by_year(summer))
     job.write("monthly_summer_sales", rollups.sales_by_month(summer))
     job.write("weekly_summer_sales_trend", rollups.sales_by_week(summer))
@@ -169,7 +183,7 @@ def describe(job: Job) -> None:
         job.write(f"{key}_sales_summary", rollups.ranked_totals(summer, key))
     job.write("top_departments", rollups.ranked_totals(summer, "department", 10))
     job.write("sales_by_temperature", rollups.sales_by_temperature(summer))
-    write_table(rollups.subset_profile(summer), f"{job.processed}/summer_profile.parquet", "parquet")
+    write_table(rollups.subset_profile(summer), job.out("summer_profile.parquet", job.processed), "parquet")
 
 
 def baseline(job: Job) -> None:
@@ -190,7 +204,7 @@ def statistical(job: Job) -> None:
     job.write("arima_sarima_forecast", long.orderBy("model", "date"))
     comparison = arima.company_comparison(long)
     job.write("arima_sarima_model_comparison", comparison)
-    earlier = optional_table(job.spark, job.out("baseline_model_comparison"))
+    earlier = optional_table(job.spark, job.at("baseline_model_comparison"))
     if earlier is not None:
         job.write("model_comparison_baseline_arima", metrics.by_mape(stack_tables(earlier, comparison)))
     long.unpersist()
@@ -210,7 +224,7 @@ def regression(job: Job) -> None:
     numeric, categorical = features.scenario_features(features.FULL, rows.columns)
     prepared = models.fit_preprocessor(train, numeric, categorical)
     assembled = prepared.transform(train)
-    fitted = models.train_models(assembled, job.sizes)
+    fitted = models.train_models(assembled, job.sizes, prepared)
     scored = models.score(fitted, prepared.transform(test)).persist()
     job.write("ml_model_comparison", models.model_comparison(scored))
     for key in schema.SERIES_KEY:
@@ -221,7 +235,7 @@ def regression(job: Job) -> None:
     write_table(metrics.prediction_table(scored, columns), job.out("ml_forecast"))
     company = metrics.by_mape(metrics.summed_evaluation(scored, models.TARGET))
     job.write("ml_aggregate_model_comparison", company)
-    earlier = optional_table(job.spark, job.out("model_comparison_baseline_arima"))
+    earlier = optional_table(job.spark, job.at("model_comparison_baseline_arima"))
     if earlier is not None:
         final = metrics.by_mape(stack_tables(earlier, company))
         job.write("final_comparable_model_comparison", final)
@@ -269,9 +283,9 @@ def rolling_origin(job: Job) -> None:
 
 def business(job: Job) -> None:
     """The table of business figures, from the written outputs and the stored summer rows."""
-    summer_path = f"{job.processed}/summer_sales.parquet"
+    summer_path = job.at("summer_sales.parquet", job.processed)
     names = ["rolling_origin_summary", "rolling_origin_fold_winners"]
-    require_inputs(job.spark, {"summer sales": summer_path, **{n: job.out(n) for n in names}})
+    require_inputs(job.spark, {"summer sales": summer_path, **{n: job.at(n) for n in names}})
     summer, summary = read_table(job.spark, summer_path), job.read("rolling_origin_summary")
     figures = [
         kpi.growth(summer),
@@ -299,15 +313,32 @@ def coming_week(job: Job) -> None:
     ahead = raw_features.where(F.col("date") > panel.agg(F.max("date")).scalar())
     planned = rollups.with_markdown_total(clean.fill_texts(clean.fill_markdowns(ahead))).drop("season", *schema.ECONOMY)
     rows = features.next_week_rows(panel, planned)
-    write_table(rows, f"{job.processed}/coming_week.parquet", "parquet")
-    coming = read_table(job.spark, f"{job.processed}/coming_week.parquet")
+    coming = read_table(job.spark, write_table(rows, job.out("coming_week.parquet", job.processed), "parquet"))
     past = _model_rows(job)
     numeric, categorical = features.scenario_features(features.OPERATIONAL, past.columns)
     scored = models.forecast_rows(past, coming, numeric, categorical, job.sizes)
     job.write("coming_week_forecast", scored.orderBy("model", *schema.SALES_KEY))
 
 
-STAGES: dict[str, Callable[[Job], None]] = {
+def handed_over(stage: Callable[[Job], None]) -> Callable[[Job], None]:
+    """Run a stage whose tables become current together, after the last of them is written; one that fails
+    on the way leaves the earlier results readable."""
+
+    def run(job: Job) -> None:
+        job.pending = {}
+        try:
+            stage(job)
+            written = job.pending
+        finally:
+            job.pending = None
+        # Intermediate tables first, so that results never point beyond them.
+        for folder in sorted(written, key=lambda f: f == job.outputs):
+            Published(job.spark, folder).hand_over(written[folder])
+
+    return run
+
+
+_STAGES: dict[str, Callable[[Job], None]] = {
     "inspect": inspect,
     "validate": validate,
     "prepare": prepare,
@@ -321,6 +352,7 @@ STAGES: dict[str, Callable[[Job], None]] = {
     "business": business,
     "coming-week": coming_week,
 }
+STAGES = {name: handed_over(stage) for name, stage in _STAGES.items()}
 
 
 def _named(df: DataFrame, name: str) -> DataFrame:

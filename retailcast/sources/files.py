@@ -57,15 +57,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(system.exists(target))
 
 
+def missing_inputs(spark: SparkSession, paths: Mapping[str, str]) -> list[str]:
+    return [name for name, path in paths.items() if not path_exists(spark, path)]
+
+
 def require_inputs(spark: SparkSession, paths: Mapping[str, str]) -> None:
     """Fail once, naming every missing input."""
-    missing = [f"{name}: {path}" for name, path in paths.items() if not path_exists(spark, path)]
+    missing = [f"{name}: {paths[name]}" for name in missing_inputs(spark, paths)]
     if missing:
         raise FileNotFoundError("required inputs are missing:\n" + "\n".join(missing))
 
 
+def missing_columns(df: DataFrame, required: Iterable[str]) -> list[str]:
+    return sorted(set(required) - set(df.columns))
+
+
 def require_columns(df: DataFrame, required: Iterable[str]) -> None:
-    missing = sorted(set(required) - set(df.columns))
+    missing = missing_columns(df, required)
     if missing:
         raise ValueError(f"required columns are missing: {missing}")
 
