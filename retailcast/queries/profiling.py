@@ -8,12 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailcast import schema
+from retailcast.functions import columns
 from retailcast.operators import features, metrics, profile
 from retailcast.queries.registry import panel, query, raw, rounded, sales_panel
 from retailcast.queries.tables_sql import measures
 from retailcast.session import scratch_path
 from retailcast.sources import orders_panel
-from retailcast.sources.files import optional_table, read_table, stack_tables, write_table
+from retailcast.sources.files import (
+    missing_columns,
+    missing_inputs,
+    optional_table,
+    read_table,
+    require_columns,
+    require_inputs,
+    stack_tables,
+    write_table,
+)
 
 
 @query(
@@ -34,6 +44,79 @@ def a2_read_csv_dates(spark, folder):
     return read_table(spark, path, schema.SALES)
 
 
+_INPUTS = ["customer", "lineitem", "never_written", "orders"]
+
+
+@query(
+    "a3_required_inputs",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS input, {'false' if n == 'never_written' else 'true'} AS present, "
+        + ("CAST(NULL AS BIGINT)" if n == "never_written" else f"(SELECT count(*) FROM {n})")
+        + " AS n_rows"
+        for n in _INPUTS
+    ),
+)
+def a3_required_inputs(spark, folder):
+    paths = {n: f"{folder}/{n}.parquet" for n in _INPUTS}
+    absent = missing_inputs(spark, paths)
+    require_inputs(spark, {n: p for n, p in paths.items() if n not in absent})
+    rows = F.count(F.lit(1)).alias("n_rows")
+    found = [spark.read.parquet(paths[n]).agg(rows).select(F.lit(n).alias("input"), F.lit(True).alias("present"), "n_rows") for n in _INPUTS if n not in absent]
+    lacking = spark.createDataFrame([(n, False, None) for n in absent], "input string, present boolean, n_rows long")
+    return reduce(DataFrame.unionByName, found).unionByName(lacking)
+
+
+@query(
+    "a4_required_columns",
+    """SELECT 'date' AS column_name, true AS present, count(date) AS n_known FROM bad_sales
+       UNION ALL SELECT 'shelf', false, NULL
+       UNION ALL SELECT 'store_id', true, count(store_id) FROM bad_sales
+       UNION ALL SELECT 'weekly_sales', true, count(weekly_sales) FROM bad_sales""",
+)
+def a4_required_columns(spark, folder):
+    sales = orders_panel.faulty_sales(spark, folder)
+    wanted = ["date", "shelf", "store_id", "weekly_sales"]
+    absent = missing_columns(sales, wanted)
+    known = [c for c in wanted if c not in absent]
+    require_columns(sales, known)
+    counted = sales.agg(*[F.count(c).alias(c) for c in known]).unpivot([], known, "column_name", "n_known")
+    counted = counted.select("column_name", F.lit(True).alias("present"), "n_known")
+    return counted.unionByName(spark.createDataFrame([(c, False, None) for c in absent], "column_name string, present boolean, n_known long"))
+
+
+@query(
+    "a5_write_csv",
+    """SELECT department, date, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(weekly_sales) AS VARCHAR) AS written_sum
+       FROM sales GROUP BY ALL""",
+)
+def a5_write_csv(spark, folder):
+    totals = orders_panel.sales(spark, folder).groupBy("department", "date").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("weekly_sales").alias("written_sum"))
+    path = write_table(totals, scratch_path(spark, "totals"))
+    # The sum is read back as it stands in the file.
+    return spark.read.option("header", True).csv(path, schema="department int, date date, n_rows long, written_sum string").select("department", "date", "n_rows", "written_sum")
+
+
+@query(
+    "b1_normalised_names",
+    "SELECT store_id, department, sum(weekly_sales) AS weekly_sales, CAST(sum(is_holiday) AS BIGINT) AS is_holiday FROM sales GROUP BY store_id, department",
+)
+def b1_normalised_names(spark, folder):
+    odd = {"store_id": " Store ID", "department": "Department ", "weekly_sales": "Weekly-Sales", "is_holiday": "IS_Holiday"}
+    renamed = columns.normalise_columns(orders_panel.sales(spark, folder).withColumnsRenamed(odd))
+    return renamed.groupBy("store_id", "department").agg(F.sum("weekly_sales").alias("weekly_sales"), F.sum("is_holiday").alias("is_holiday"))
+
+
+@query(
+    "b2_found_column",
+    """SELECT 'Weekly_Sales ' AS found, sum(weekly_sales) AS total, count(*) AS n_rows, true AS other_is_absent FROM sales""",
+)
+def b2_found_column(spark, folder):
+    sales = orders_panel.sales(spark, folder).withColumnRenamed("weekly_sales", "Weekly_Sales ")
+    name = columns.find_column(sales, " weekly_sales")
+    absent = columns.find_column(sales, "weekly") is None
+    return sales.agg(F.lit(name).alias("found"), F.sum(F.col(f"`{name}`")).alias("total"), F.count(F.lit(1)).alias("n_rows"), F.lit(absent).alias("other_is_absent"))
+
+
 @query(
     "a6_optional_input",
     f"""SELECT model, {measures("actual", "predicted")}, count(*) AS n_test_weeks

@@ -158,6 +158,24 @@ def t11_scenario_features(spark, folder):
     return features.scenario_table(spark, df.columns).join(filled, "feature")
 
 
+@query(
+    "t12_feature_count",
+    f"""WITH {_feature_counts_sql()} SELECT CAST(count(*) AS BIGINT) AS n_features, count(*) = 23 AS as_expected,
+        CAST(sum(n_rows) AS BIGINT) AS n_values FROM counts WHERE feature NOT IN ({", ".join(f"'{c}'" for c in _HIDDEN)})""",
+)
+def t12_feature_count(spark, folder):
+    rows = _raw_features(spark, folder)
+    names = [c for part in features.scenario_features(features.OPERATIONAL, rows.columns) for c in part]
+    features.require_feature_count(names)
+    try:
+        features.require_feature_count(names[1:])
+        guarded = False
+    except ValueError:
+        guarded = True
+    values = rows.agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "feature", "n")
+    return values.agg(F.count(F.lit(1)).alias("n_features"), ((F.count(F.lit(1)) == 23) & F.lit(guarded)).alias("as_expected"), F.sum("n").alias("n_values"))
+
+
 @query(
     "t13_feature_availability",
     f"""WITH {_feature_counts_sql()} SELECT CASE
