@@ -82,17 +82,23 @@ def _key(text: bytes) -> bytes:
     return hashlib.blake2b(b" ".join(_WORDS.findall(text.lower())), digest_size=16).digest()
 
 
-def _number(key: bytes) -> int:
-    """The number of a distinct text: the first 64 bits of its key."""
-    return int.from_bytes(key[:8], "big", signed=True)
+def _name(doc_id: int, key: bytes) -> bytes:
+    """The name of a distinct text under an id: both, so that names are ordered by id first."""
+    return (doc_id + (1 << 63)).to_bytes(8, "big") + key
+
+
+def id_of(name: Column) -> Column:
+    """The id in a name."""
+    high = F.conv(F.hex(F.substring(name, 1, 4)), 16, 10).cast("long") - (1 << 31)
+    return high * (1 << 32) + F.conv(F.hex(F.substring(name, 5, 4)), 16, 10).cast("long")
 
 
 def _signed(settings: Settings):
-    """doc_id, key of the word sequence (null without words), its number, sampled tokens."""
+    """doc_id, key of the word sequence (null without words), its name, digest of the text, sampled tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _bytes(batch.column(1))
+            ids, texts = batch.column(0).to_pylist(), _bytes(batch.column(1))
             keys, tokens = [], []
             for text, shingles in zip(texts, shingle_sets(texts, settings.words)):
                 if len(shingles):
@@ -101,8 +107,9 @@ def _signed(settings: Settings):
                 else:
                     keys.append(None)
                     tokens.append(None)
-            numbers = pa.array([None if k is None else _number(k) for k in keys], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), numbers, pa.array(tokens, pa.binary())], ["doc_id", "key", "rid", "tokens"])
+            names = pa.array([None if k is None else _name(i, k) for i, k in zip(ids, keys)], pa.binary())
+            columns = [batch.column(0), pa.array(keys, pa.binary()), names, batch.column(2), pa.array(tokens, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "rid", "digest", "tokens"])
 
     return run
 
@@ -152,7 +159,7 @@ class _Group:
     def __init__(self, rows: list[tuple], settings: Settings, runs: int) -> None:
         rows.sort(key=lambda r: (r[1], r[2]))
         self.side = np.array([r[1] for r in rows])
-        self.rid = np.array([r[2] for r in rows], dtype=np.int64)
+        self.rid = [r[2] for r in rows]
         self.run = rows[0][0]
         self.tokens = np.frombuffer(b"".join(r[3] for r in rows), dtype="<u4").reshape(len(rows), -1)
         self.paths = np.frombuffer(b"".join(r[4] for r in rows), dtype="<i8").reshape(len(rows), runs)
@@ -211,12 +218,12 @@ def _active(settings: Settings):
             a, b = group.candidates()
             if len(a):
                 # path and size are not needed again: bucket and side are kept by rid and run
-                out += [(int(group.rid[i]), group.run, int(group.side[i])) for i in np.unique(np.r_[a, b])]
+                out += [(group.rid[i], group.run, int(group.side[i])) for i in np.unique(np.r_[a, b])]
             if len(out) >= 50_000:
-                yield _batch(out, ("rid", "run", "side"), (pa.int64(), pa.int32(), pa.int32()))
+                yield _batch(out, ("rid", "run", "side"), (pa.binary(), pa.int32(), pa.int32()))
                 out = []
         if out:
-            yield _batch(out, ("rid", "run", "side"), (pa.int64(), pa.int32(), pa.int32()))
+            yield _batch(out, ("rid", "run", "side"), (pa.binary(), pa.int32(), pa.int32()))
 
     return run
 
@@ -263,12 +270,12 @@ def local_roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _verified(settings: Settings):
-    """rid and id of a text, links found here, least id of its component here."""
+    """rid of a text, links found here, least rid of its component here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ("rid", "id", "links", "root"), (pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        out: list[tuple[int, int, int, int]] = []
-        for rows in _grouped((b.select(["bucket", "run", "side", "rid", "tokens", "paths", "shingles", "id"]) for b in batches)):
+        names, kinds = ("rid", "links", "root"), (pa.binary(), pa.int64(), pa.binary())
+        out: list[tuple[bytes, int, bytes]] = []
+        for rows in _grouped((b.select(["bucket", "run", "side", "rid", "tokens", "paths", "shingles"]) for b in batches)):
             group = _Group(rows, settings, settings.runs)
             sets = [np.frombuffer(r[5], dtype="<u8") for r in rows]  # _Group has put the rows in order
             a, b = group.candidates()
@@ -278,12 +285,11 @@ def _verified(settings: Settings):
             shared = common_counts(sets, a, b)
             linked = shared >= settings.similarity * (sizes[a] + sizes[b] - shared) - 1e-9
             a, b = a[linked], b[linked]
-            ids = np.array([r[6] for r in rows], dtype=np.int64)
-            order = np.argsort(ids, kind="stable")
+            order = np.array(sorted(range(len(rows)), key=group.rid.__getitem__))
             place = np.argsort(order, kind="stable")
-            root = ids[order[local_roots(len(rows), place[a], place[b])]][place]
+            root = order[local_roots(len(rows), place[a], place[b])][place]
             links = np.bincount(np.r_[a, b], minlength=len(rows))
-            out += [(int(group.rid[i]), int(ids[i]), int(links[i]), int(root[i])) for i in np.flatnonzero(links)]
+            out += [(group.rid[i], int(links[i]), group.rid[root[i]]) for i in np.flatnonzero(links)]
             if len(out) >= 50_000:
                 yield _batch(out, names, kinds)
                 out = []
@@ -296,9 +302,10 @@ def _verified(settings: Settings):
 def _shingled(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _bytes(batch.column(0))
+            ids, texts = batch.column(0).to_pylist(), _bytes(batch.column(1))
             sets = [s.astype("<u8").tobytes() for s in shingle_sets(texts, settings.words)]
-            yield pa.RecordBatch.from_arrays([pa.array([_number(_key(t)) for t in texts], pa.int64()), pa.array(sets, pa.binary())], ["rid", "shingles"])
+            names = pa.array([_name(i, _key(t)) for i, t in zip(ids, texts)], pa.binary())
+            yield pa.RecordBatch.from_arrays([names, pa.array(sets, pa.binary())], ["rid", "shingles"])
 
     return run
 
@@ -332,8 +339,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _links(texts: DataFrame, bodies: DataFrame, settings: Settings) -> DataFrame:
-    """rid, id, links, root, possibly several rows per rid. ``texts`` has rid, id and tokens of every
-    distinct text, ``bodies`` doc_id and text; several texts may have one id."""
+    """rid, links, root, possibly several rows per rid. ``texts`` has rid, id and tokens of every distinct
+    text, ``bodies`` doc_id and text; several texts may have one id."""
     ends = _paths(texts, settings)
     own = ends.groupBy("rid").agg(F.collect_list(F.struct("run", "path", "size")).alias("ends"))
     members = materialize(own.join(texts, "rid"), "path-ends")
@@ -341,17 +348,43 @@ def _links(texts: DataFrame, bodies: DataFrame, settings: Settings) -> DataFrame
     as_bytes = lambda run: F.unhex(F.lpad(F.hex(F.coalesce(F.element_at("by_run", run), F.lit(0).cast("long"))), 16, "0"))
     paths = F.concat(*[as_bytes(F.lit(r)) for r in range(settings.runs)])
     members = members.withColumn("by_run", in_run).withColumn("paths", paths).drop("by_run")
-    rows = members.select("rid", "id", "tokens", "paths", F.explode("ends").alias("e")).select("rid", "id", "tokens", "paths", "e.run", "e.path", "e.size")
+    rows = members.select("rid", "tokens", "paths", F.explode("ends").alias("e")).select("rid", "tokens", "paths", "e.run", "e.path", "e.size")
     sized = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
     blocks = _blocks(rows, settings, "tokens", "paths")
-    active = sized(blocks).mapInArrow(_active(settings), "rid long, run int, side int").select("rid", "run").distinct()
+    active = sized(blocks).mapInArrow(_active(settings), "rid binary, run int, side int").select("rid", "run").distinct()
     active = materialize(active, "candidates")
     ids = texts.join(active.select("rid").distinct(), "rid", "left_semi").select("id").distinct()
     chosen = bodies.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    # Rows of one id and text give one set.
-    sets = chosen.select("text").mapInArrow(_shingled(settings), "rid long, shingles binary").dropDuplicates(["rid"])
+    # Rows of one id and text give one set; other texts of a chosen id join with nothing.
+    sets = chosen.select("doc_id", "text").mapInArrow(_shingled(settings), "rid binary, shingles binary").dropDuplicates(["rid"])
     again = rows.join(active, ["rid", "run"]).join(sets, "rid")
-    return sized(_blocks(again, settings, "tokens", "paths", "shingles", "id")).mapInArrow(_verified(settings), "rid long, id long, links long, root long")
+    return sized(_blocks(again, settings, "tokens", "paths", "shingles")).mapInArrow(_verified(settings), "rid binary, links long, root binary")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
+    """doc_id, digest, copy_of, class_id, n_links for every row with an id; ``digest`` tells its text."""
+    digest = F.unhex(F.sha2(text_or_empty(text_col), 256))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), digest.alias("digest"))
+    narrow = narrow.where("doc_id IS NOT NULL")
+    signed = materialize(narrow.mapInArrow(_signed(settings), "doc_id long, key binary, rid binary, digest binary, tokens binary"), "signed")
+    groups = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"))
+    groups = materialize(groups, "texts")
+    total = signed.count()
+    texts = signed.join(groups.select("rid"), "rid", "left_semi").dropDuplicates(["rid"]).select("rid", F.col("doc_id").alias("id"), "tokens")
+    texts = materialize(texts, "tokens")
+    found = materialize(_links(texts, narrow.select("doc_id", "text"), settings), "link-counts")
+    roots = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")))
+    counts = found.groupBy("rid").agg(F.sum("links").alias("n_links")).withColumnRenamed("rid", "r")
+    met = groups.join(counts, F.col("rid") == F.col("r"), "left").join(roots, F.col("rid") == F.col("node"), "left")
+    reps = met.select(
+        "key", "copies", id_of(F.col("rid")).alias("copy_of"), id_of(F.coalesce("root", "rid")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
+    reps = materialize(reps, "classes")
+    columns = ["doc_id", "digest", "copy_of", "class_id", "n_links"]
+    worded = join_by_group(signed.where("key IS NOT NULL").select("doc_id", "digest", "key"), reps, "key", "copies", total).select(*columns)
+    none = F.lit(0).cast("long").alias("n_links")
+    empty = signed.where("key IS NULL").select("doc_id", "digest", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), none)
+    return worded.unionByName(empty)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -363,37 +396,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that links connect. Words are runs of ASCII digits and letters (in lower case) and non-ASCII
     characters; a text with fewer words than a shingle is one shingle. Texts without words, null ones
     among them, link to nothing and are a class each, even if they are equal. A row without an id takes
-    no part and has null classes and no links. An id on several rows stands for all their texts:
-    each row has its own text's links, and the texts of which it is the smallest id are one class. An
-    empty table gives an empty result. Other columns, whatever their names, are not read. Ids are whole
-    numbers. Different texts are told apart inside by 64 bits of a digest of their words.
+    no part and has null classes and no links. An id on several rows stands for all their texts, and each
+    row has its own text's links and class; classes that begin at texts of one id share its number.
+    Texts of any length are read whole. An empty table gives an empty result. Other columns, whatever
+    their names, are not read. Ids are whole numbers. Texts are told apart inside by 128 bits of a
+    digest of their words.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    signed = materialize(narrow.where("doc_id IS NOT NULL").mapInArrow(_signed(settings), "doc_id long, key binary, rid long, tokens binary"), "signed")
-    groups = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("rid").alias("rid"), F.count(F.lit(1)).alias("copies"))
-    groups = materialize(groups, "texts")
-    total = signed.count()
-    firsts = groups.select("id", F.col("key").alias("k"))
-    texts = signed.join(firsts, (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("k"))).dropDuplicates(["rid"]).select("rid", "id", "tokens")
-    texts = materialize(texts, "tokens")
-    found = materialize(_links(texts, narrow, settings), "link-counts")
-    roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("rid").agg(F.sum("links").alias("n_links")).withColumnRenamed("rid", "r")
-    reps = groups.join(counts, F.col("rid") == F.col("r"), "left").join(roots, F.col("id") == F.col("node"), "left").select(
-        "key", "copies", F.col("id").alias("copy_of"), F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
-    reps = materialize(reps, "classes")
     columns = ["doc_id", "copy_of", "class_id", "n_links"]
-    worded = join_by_group(signed.where("key IS NOT NULL").select("doc_id", "key"), reps, "key", "copies", total).select(*columns)
-    none = F.lit(0).cast("long").alias("n_links")
-    empty = signed.where("key IS NULL").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), none)
-    nameless = narrow.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), none)
-    return worded.unionByName(empty).unionByName(nameless)
+    number = F.col(id_col).cast("long")
+    nameless = docs.where(number.isNull()).select(number.alias("doc_id"), number.alias("copy_of"), number.alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return _classes(docs, id_col, text_col, settings).select(*columns).unionByName(nameless)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, all their columns as they were; rows
-    without an id stay."""
-    classes = near_duplicates(docs, id_col, text_col, settings)
-    gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` whose id is the smallest of their text's class, all their columns as they were.
+
+    Each row is judged by its own text, also where an id stands on several: a row goes if its text is a
+    copy, or a near copy, of one with a smaller id, and no other row of its id goes with it. Rows without
+    an id, and texts without words, stay; so do repeated rows, and near copies that share the class's
+    smallest id. Texts of any length are whole, an empty table stays empty, and columns of any
+    name stay as they are.
+    """
+    classes = _classes(docs, id_col, text_col, settings)
+    gone = classes.where("class_id <> doc_id").select("doc_id", "digest").distinct()
+    # The names of the other side are free of the columns of docs.
+    own = docs.alias("own")
+    names = [f"own.`{c}`" for c in docs.columns]
+    same = (F.col(f"own.`{id_col}`").cast("long") == F.col("gone.doc_id")) & (F.unhex(F.sha2(F.coalesce(F.col(f"own.`{text_col}`"), F.lit("")), 256)) == F.col("gone.digest"))
+    return own.join(gone.alias("gone"), same, "left_anti").select(*names)
