@@ -25,6 +25,11 @@ def word_count(column: str = "text") -> Column:
     return F.when(F.col(column).isNull(), F.lit(0)).otherwise(F.regexp_count(F.col(column), F.lit(WORD))).cast("long")
 
 
+def free_prefix(docs: DataFrame) -> str:
+    """A prefix that no column of ``docs`` has, for columns that stand beside them for a while."""
+    return "_" * (2 + max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0))
+
+
 def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; else the planner chooses."""
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df

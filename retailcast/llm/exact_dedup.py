@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailcast.llm.common import HOT_KEYS, SPACE, text_or_empty
+from retailcast.llm.common import HOT_KEYS, SPACE, free_prefix, text_or_empty
 from retailcast.session import materialize
 
 HASHES = 2
@@ -183,17 +183,17 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = _fingerprint_table(docs, id_col, text_col)
     rows = table.count()
     ranges, bits = _ranges(rows, sizes)
-    mark, print_col = "__may_repeat", "__fingerprint"
+    mark, print_col, stays_col, keep_col = (f"{free_prefix(docs)}{n}" for n in ("may_repeat", "fingerprint", "stays", "keep_id"))
     parts = []
     for low, high in ranges:
         part = table.where((F.col("slot") >= low) & (F.col("slot") < high))
         test, sent = _may_repeat(spark, part.select("fingerprint"), bits)
         groups, _ = _groups(part.where(test("fingerprint")), rows)
-        stays = groups.select(F.col("fingerprint").alias("__stays"), F.col("keep_id").alias("__keep_id"))
+        stays = groups.select(F.col("fingerprint").alias(stays_col), F.col("keep_id").alias(keep_col))
         own = docs.withColumn(print_col, fingerprint(text_col))
         own = own.where((_slot(F.col(print_col)) >= low) & (_slot(F.col(print_col)) < high)).withColumn(mark, test(print_col))
         straight = own.where(~F.col(mark)).drop(mark, print_col)
-        kept = own.where(mark).join(stays, (F.col(print_col) == F.col("__stays")) & F.col(id_col).eqNullSafe(F.col("__keep_id")), "left_semi")
+        kept = own.where(mark).join(stays, (F.col(print_col) == F.col(stays_col)) & F.col(id_col).eqNullSafe(F.col(keep_col)), "left_semi")
         kept = kept.dropDuplicates([print_col, id_col]).drop(mark, print_col)
         both = straight.unionByName(kept)
         if len(ranges) > 1:  # one filter at a time

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retailcast.llm.common import sent_if_small, text_or_empty, word_count
+from retailcast.llm.common import free_prefix, sent_if_small, text_or_empty, word_count
 from retailcast.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -139,16 +139,18 @@ def mixed_documents(
     keyed = materialize(_keys(docs, id_col, source_col, text_col, weight, seed), "mixing-keys")
     plan = sent_if_small(_plan(keyed, weights, max_epochs))
     draw = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 53)) + 0.5) / F.lit(float(1 << 53))
-    own = docs.withColumns({"__bucket": _bucket(draw, weight), "__size": word_count(text_col)})
-    steps = plan.select("__source", F.col("epochs").alias("__epochs"), F.col("end_bucket").alias("__end"))
-    own = own.join(steps, F.col(source_col).eqNullSafe(F.col("__source")))
-    at_end = F.coalesce(F.col("__bucket") == F.col("__end"), F.lit(False)) & (F.col("__size") > 0)
-    times = F.when(F.col("__size") == 0, 1).otherwise(F.col("__epochs") + F.when(F.col("__bucket") < F.col("__end"), 1).otherwise(0))
-    whole = own.where(~at_end).withColumn("__times", times.cast("int"))
-    edge = _edge(keyed, plan).where("size > 0").groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__words"))
-    edge = edge.agg(F.max((F.col("part") * 2 >= F.col("size")).cast("int")).alias("__more"))
-    cut = own.where(at_end).join(edge, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__words")))
-    cut = cut.withColumn("__times", (F.col("__epochs") + F.col("__more")).cast("int"))
-    kept = [*docs.columns, "__times"]
-    rows = whole.select(*kept).unionByName(cut.select(*kept)).where("__times > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    pre = free_prefix(docs)
+    at = lambda name: F.col(f"{pre}{name}")
+    own = docs.withColumns({f"{pre}bucket": _bucket(draw, weight), f"{pre}size": word_count(text_col)})
+    steps = plan.select(F.col("__source").alias(f"{pre}source"), F.col("epochs").alias(f"{pre}epochs"), F.col("end_bucket").alias(f"{pre}end"))
+    own = own.join(steps, F.col(source_col).eqNullSafe(at("source")))
+    at_end = F.coalesce(at("bucket") == at("end"), F.lit(False)) & (at("size") > 0)
+    times = F.when(at("size") == 0, 1).otherwise(at("epochs") + F.when(at("bucket") < at("end"), 1).otherwise(0))
+    whole = own.where(~at_end).withColumn(f"{pre}times", times.cast("int"))
+    edge = _edge(keyed, plan).where("size > 0").groupBy(F.col("doc_id").alias(f"{pre}id"), F.col("size").alias(f"{pre}words"))
+    edge = edge.agg(F.max((F.col("part") * 2 >= F.col("size")).cast("int")).alias(f"{pre}more"))
+    cut = own.where(at_end).join(edge, F.col(id_col).eqNullSafe(at("id")) & (at("size") == at("words")))
+    cut = cut.withColumn(f"{pre}times", (at("epochs") + at("more")).cast("int"))
+    kept = [*docs.columns, f"{pre}times"]
+    rows = whole.select(*kept).unionByName(cut.select(*kept)).where(at("times") > 0)
+    return rows.withColumn(f"{pre}copy", F.explode(F.sequence(F.lit(1), at("times")))).select(*docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retailcast.llm.common import text_or_empty
+from retailcast.llm.common import free_prefix, text_or_empty
 from retailcast.session import materialize
 
 #: Statistics of a text, in the order of the vectors.
@@ -181,9 +181,24 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, settings: Fit) -> DataFrame:
+    """The rows of ``docs`` that a fit may read, told by ids alone: as few as its sample holds."""
+    marks = labels.select(F.col("doc_id").alias("marked")).where(F.col("quality").isin(0, 1) & ~held_out("marked"))
+    ids = docs.select(F.col(id_col).alias("doc_id")).join(marks, F.col("doc_id") == F.col("marked"))
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample).select("marked").distinct()
+    return docs.join(F.broadcast(ids), F.col(id_col) == F.col("marked"), "left_semi")
+
+
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Fit = Fit()) -> DataFrame:
-    """The rows of ``docs`` that are predicted to be good, all their columns as they were."""
-    model = _fit_on(_statistics_table(docs, id_col, text_col), labels, settings)
-    own = docs.withColumn("__statistics", _with_statistics(docs, text_col))
-    nested = Model(model.intercept, tuple((tuple((f"__statistics.{a}", s, t) for a, s, t in rule), w) for rule, w in model.rules))
-    return own.where(score(nested) >= THRESHOLD).drop("__statistics")
+    """The rows of ``docs`` that are predicted to be good, all their columns as they were.
+
+    The fit reads the texts of its sample only; all others are read once, when they are judged. Null texts
+    count as empty, and texts of any length are read whole; equal texts are judged alike, so repeated
+    rows stay or go together. Without labelled rows all stay. An empty table stays empty.
+    """
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    model = _fit_on(_statistics_table(_sampled(chosen, labels, "doc_id", settings), "doc_id", "text"), labels, settings)
+    name = f"{free_prefix(docs)}statistics"
+    own = docs.withColumn(name, _with_statistics(docs, text_col))
+    nested = Model(model.intercept, tuple((tuple((f"{name}.{a}", s, t) for a, s, t in rule), w) for rule, w in model.rules))
+    return own.where(score(nested) >= THRESHOLD).drop(name)
