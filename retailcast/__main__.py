@@ -28,6 +28,7 @@ def main(arguments: list[str] | None = None) -> None:
         parser.add_argument(f"--{name.replace('_', '-')}", type=type(default), default=default)
     every = models.Sizes().models
     parser.add_argument("--models", nargs="+", choices=every, default=every, help="models of the regression, sensitivity and coming-week stages")
+    parser.add_argument("--reuse-models", action="store_true", help="forecast the coming week with the models of an earlier one")
     parser.add_argument("--master")
     given = parser.parse_args(arguments)
     job = Job(
@@ -38,6 +39,7 @@ def main(arguments: list[str] | None = None) -> None:
         *given.test,
         raw_format=given.raw_format,
         fits_at_once=given.fits_at_once,
+        reuse_models=given.reuse_models,
         initial_train_weeks=given.initial_train_weeks,
         test_weeks=given.test_weeks,
         sizes=models.Sizes(**{name: getattr(given, name) for name in _SIZES}, models=tuple(given.models)),

@@ -44,11 +44,11 @@ def fold_plan(
     # One number per call comes to the driver.
     remaining = weeks.count() - initial_train_weeks
     if remaining <= 0:
-        raise ValueError("the initial training period leaves no week to test")
+        raise ValueError(f"no week is left to test: the first training period takes {initial_train_weeks} weeks")
     if strict and remaining % test_weeks:
-        raise ValueError(f"{remaining} remaining weeks do not divide into folds of {test_weeks}")
+        raise ValueError(f"folds of {test_weeks} weeks do not fill the {remaining} weeks after the first training period")
     if remaining < test_weeks:
-        raise ValueError(f"{remaining} remaining weeks do not make a fold of {test_weeks}")
+        raise ValueError(f"a fold takes {test_weeks} weeks, and only {remaining} come after the first training period")
     initial_train_weeks += remaining % test_weeks
     # The window runs over distinct weeks, a few hundred rows at any scale.
     numbered = weeks.withColumn("n", F.row_number().over(Window.orderBy("date")))

@@ -173,7 +173,7 @@ def scenario_features(name: str, columns: list[str] | None = None) -> tuple[list
 
 def require_feature_count(features: list[str], expected: int = OPERATIONAL_COUNT) -> None:
     if len(features) != expected:
-        raise ValueError(f"expected {expected} features, found {len(features)}")
+        raise ValueError(f"the models take {expected} features, but the list names {len(features)}")
 
 
 def scenario_table(spark: SparkSession, columns: list[str] | None = None) -> DataFrame:

@@ -342,15 +342,22 @@ def fit_and_score(
     return _fit_and_score(fit_preprocessor(train, numeric, categorical), train, test, sizes)
 
 
-def forecast_rows(
-    rows: DataFrame, coming: DataFrame, numeric: list[str], categorical: list[str], sizes: Sizes = Sizes()
-) -> DataFrame:
-    """(key, model, predicted) for rows whose sales are still ahead, learnt from all ``rows``.
+def fit_forecaster(rows: DataFrame, coming: DataFrame, numeric: list[str], categorical: list[str], sizes: Sizes = Sizes()) -> tuple[Preprocessor, dict[str, Model | Line]]:
+    """Models for rows whose sales are still ahead, learnt from all ``rows``.
 
     Features that ``coming`` lacks are left out of the fit as well.
     """
     known = [[c for c in names if c in coming.columns] for names in (numeric, categorical)]
-    return fit_and_score(rows, coming, *known, sizes).drop(TARGET)
+    prepared = fit_preprocessor(rows, *known)
+    return prepared, train_models(prepared.transform(rows), sizes, prepared)
+
+
+def forecast_rows(
+    rows: DataFrame, coming: DataFrame, numeric: list[str], categorical: list[str], sizes: Sizes = Sizes()
+) -> DataFrame:
+    """(key, model, predicted) for rows whose sales are still ahead."""
+    prepared, models = fit_forecaster(rows, coming, numeric, categorical, sizes)
+    return score(models, prepared.transform(coming)).drop(TARGET)
 
 
 def save_forecaster(prepared: Preprocessor, models: dict[str, Model | Line], path: str) -> None:

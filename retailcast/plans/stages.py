@@ -31,6 +31,7 @@ from retailcast.operators import (
 from retailcast.session import materialize
 from retailcast.sources.files import (
     optional_table,
+    path_exists,
     read_table,
     require_columns,
     require_inputs,
@@ -58,6 +59,8 @@ class Job:
     initial_train_weeks: int = backtest.INITIAL_TRAIN_WEEKS
     test_weeks: int = backtest.TEST_WEEKS
     fits_at_once: int = 1
+    # Whether the coming week may be forecast with the models of an earlier one.
+    reuse_models: bool = False
     # What the running stage has written so far, by folder; None between stages.
     pending: dict[str, dict[str, str]] | None = field(default=None, repr=False)
 
@@ -306,7 +309,8 @@ def coming_week(job: Job) -> None:
     """Rows of the week after the last one, as far as they are known, and their forecasts.
 
     Holidays and promotions come from the raw features, if they reach that far; the models learn from
-    all complete rows, on the features that are known ahead.
+    all complete rows, on the features that are known ahead, or are those of an earlier week if they may be
+    used again.
     """
     _, raw_features, _ = job.raw_tables()
     panel = job.panel()
@@ -314,9 +318,15 @@ def coming_week(job: Job) -> None:
     planned = rollups.with_markdown_total(clean.fill_texts(clean.fill_markdowns(ahead))).drop("season", *schema.ECONOMY)
     rows = features.next_week_rows(panel, planned)
     coming = read_table(job.spark, write_table(rows, job.out("coming_week.parquet", job.processed), "parquet"))
-    past = _model_rows(job)
-    numeric, categorical = features.scenario_features(features.OPERATIONAL, past.columns)
-    scored = models.forecast_rows(past, coming, numeric, categorical, job.sizes)
+    kept = job.at("coming_week_models")
+    if job.reuse_models and path_exists(job.spark, f"{kept}/settings"):
+        prepared, fitted = models.load_forecaster(job.spark, kept)
+    else:
+        past = _model_rows(job)
+        numeric, categorical = features.scenario_features(features.OPERATIONAL, past.columns)
+        prepared, fitted = models.fit_forecaster(past, coming, numeric, categorical, job.sizes)
+        models.save_forecaster(prepared, fitted, job.out("coming_week_models"))
+    scored = models.score(fitted, prepared.transform(coming)).drop(models.TARGET)
     job.write("coming_week_forecast", scored.orderBy("model", *schema.SALES_KEY))
 
 

@@ -479,6 +479,29 @@ def k7_lag_backtest(spark, folder):
     return round_measures(metrics.metrics(scored, models.TARGET, "predicted", ["fold", "model"], "n_test_rows"))
 
 
+@query(
+    "k7_stump_backtest",
+    f"""WITH by_month AS (SELECT p.fold, c.month, sum(CAST(weekly_sales AS DOUBLE)) AS y, CAST(count(*) AS DOUBLE) AS n
+          FROM plan p JOIN complete c ON c.date < p.test_start GROUP BY ALL),
+        cuts AS (SELECT fold, m, sum(y) FILTER (WHERE month <= m) / sum(n) FILTER (WHERE month <= m) AS lo,
+                 sum(y) FILTER (WHERE month > m) / sum(n) FILTER (WHERE month > m) AS hi,
+                 sum(y) FILTER (WHERE month <= m) ^ 2 / sum(n) FILTER (WHERE month <= m)
+                   + sum(y) FILTER (WHERE month > m) ^ 2 / sum(n) FILTER (WHERE month > m) AS gain
+                 FROM by_month, range(1, 12) t(m) GROUP BY fold, m),
+        one AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY fold ORDER BY gain DESC, m) = 1),
+        scored AS (SELECT p.fold, CAST(weekly_sales AS DOUBLE) AS actual, CASE WHEN month <= m THEN lo ELSE hi END AS predicted
+          FROM one JOIN plan p ON p.fold = one.fold JOIN complete ON date BETWEEN test_start AND test_end)
+        SELECT fold, 'Random Forest' AS model, {measures("actual", "predicted")}, count(*) AS n_test_rows FROM scored GROUP BY fold""",
+)
+def k7_stump_backtest(spark, folder):
+    # One split of all rows in each of the 20 folds.
+    rows = models.model_rows(features.series_features(sales_panel(spark, folder)))
+    folds = backtest.folds(backtest_plan(backtest.week_counts(rows)))
+    sizes = models.Sizes(**{**SOLVABLE.__dict__, "models": (models.FOREST,)})
+    scored = models.backtest_scores(rows, folds, ["month"], [], sizes, at_once=4)
+    return round_measures(metrics.metrics(scored, models.TARGET, "predicted", ["fold", "model"], "n_test_rows"))
+
+
 @query(
     "t14_next_week_forecast",
     """WITH fit AS (SELECT regr_slope(weekly_sales, lag_1) AS b, regr_intercept(weekly_sales, lag_1) AS a FROM complete),

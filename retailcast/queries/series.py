@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailcast.operators import checks, features, rollups
+from retailcast.operators import checks, features, rollups, state
 from retailcast.queries.registry import (
     TEST_END,
     TEST_START,
@@ -19,6 +19,7 @@ from retailcast.queries.registry import (
     sales_panel,
 )
 from retailcast.schema import SALES_KEY
+from retailcast.session import materialize, scratch_path
 from retailcast.sources import orders_panel
 
 _KEYS = "store_id, department, date"
@@ -197,28 +198,42 @@ def t13_feature_availability(spark, folder):
     )
 
 
-@query(
-    "t14_next_week",
-    """WITH past AS (SELECT *, row_number() OVER (PARTITION BY store_id, department ORDER BY date DESC) AS age FROM sales),
-         coming AS (SELECT max(date) + 7 AS date FROM sales)
-       SELECT p.store_id, p.department, any_value(c.date) AS date, CAST(any_value(year(c.date)) AS INTEGER) AS year,
-              CAST(any_value(month(c.date)) AS INTEGER) AS month,
-              CAST(any_value(weekofyear(c.date)) AS INTEGER) AS week_of_year, any_value(t.region) AS region,
-              any_value(t.store_type) AS store_type, any_value(t.store_size) AS store_size,
-              CASE WHEN any_value(month(c.date)) IN (12, 1, 2) THEN 'Winter' WHEN any_value(month(c.date)) IN (3, 4, 5) THEN 'Spring'
-                   WHEN any_value(month(c.date)) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END AS season,
-              max(CASE WHEN age = 1 THEN weekly_sales END) AS lag_1, max(CASE WHEN age = 4 THEN weekly_sales END) AS lag_4,
-              max(CASE WHEN age = 8 THEN weekly_sales END) AS lag_8,
-              round(avg(CASE WHEN age <= 4 THEN weekly_sales END), 4) AS rolling_mean_4,
-              round(avg(CASE WHEN age <= 8 THEN weekly_sales END), 4) AS rolling_mean_8,
-              round(stddev_samp(CASE WHEN age <= 4 THEN weekly_sales END), 2) AS rolling_std_4
-       FROM past p CROSS JOIN coming c LEFT JOIN clean_stores t ON t.store_id = p.store_id
-       GROUP BY p.store_id, p.department""",
-)
+_NEXT_WEEK = """WITH past AS (SELECT *, row_number() OVER (PARTITION BY store_id, department ORDER BY date DESC) AS age FROM sales),
+    coming AS (SELECT max(date) + 7 AS date FROM sales)
+  SELECT p.store_id, p.department, any_value(c.date) AS date, CAST(any_value(year(c.date)) AS INTEGER) AS year,
+    CAST(any_value(month(c.date)) AS INTEGER) AS month,
+    CAST(any_value(weekofyear(c.date)) AS INTEGER) AS week_of_year, any_value(t.region) AS region,
+    any_value(t.store_type) AS store_type, any_value(t.store_size) AS store_size,
+    CASE WHEN any_value(month(c.date)) IN (12, 1, 2) THEN 'Winter' WHEN any_value(month(c.date)) IN (3, 4, 5) THEN 'Spring'
+         WHEN any_value(month(c.date)) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END AS season,
+    max(CASE WHEN age = 1 THEN weekly_sales END) AS lag_1, max(CASE WHEN age = 4 THEN weekly_sales END) AS lag_4,
+    max(CASE WHEN age = 8 THEN weekly_sales END) AS lag_8,
+    round(avg(CASE WHEN age <= 4 THEN weekly_sales END), 4) AS rolling_mean_4,
+    round(avg(CASE WHEN age <= 8 THEN weekly_sales END), 4) AS rolling_mean_8,
+    round(stddev_samp(CASE WHEN age <= 4 THEN weekly_sales END), 2) AS rolling_std_4
+  FROM past p CROSS JOIN coming c LEFT JOIN clean_stores t ON t.store_id = p.store_id
+  GROUP BY p.store_id, p.department"""
+
+
+def _next_week_columns(rows: DataFrame) -> DataFrame:
+    rows = rows.select(*SALES_KEY, "year", "month", "week_of_year", "region", "store_type", "store_size", "season", *features.ENGINEERED)
+    return rounded(rounded(rows, "rolling_mean_4", "rolling_mean_8"), "rolling_std_4", digits=2)
+
+
+@query("t14_next_week", _NEXT_WEEK)
 def t14_next_week(spark, folder):
     # Of the other tables, only the stores give columns to the coming week.
-    known = panel(spark, folder, "store_type", "store_size", "region")
-    rows = features.next_week_rows(known).select(
-        *SALES_KEY, "year", "month", "week_of_year", "region", "store_type", "store_size", "season", *features.ENGINEERED
-    )
-    return rounded(rounded(rows, "rolling_mean_4", "rolling_mean_8"), "rolling_std_4", digits=2)
+    return _next_week_columns(features.next_week_rows(panel(spark, folder, "store_type", "store_size", "region")))
+
+
+@query("t14_weekly_state", _NEXT_WEEK)
+def t14_weekly_state(spark, folder):
+    # The history up to three weeks ago, then those weeks in turn; one of them is corrected afterwards.
+    known = materialize(panel(spark, folder, "store_type", "store_size", "region"), "panel")
+    last = known.agg(F.max("date")).first()[0]
+    kept = scratch_path(spark, "weekly-state")
+    week = lambda back: known.where(F.col("date") == F.date_sub(F.lit(last), 7 * back))
+    state.take_week(spark, kept, known.where(F.col("date") < F.date_sub(F.lit(last), 14)))
+    for given in (week(2), week(1).withColumn("weekly_sales", F.col("weekly_sales") + 1), week(0), week(1)):
+        held = state.take_week(spark, kept, given)
+    return _next_week_columns(features.next_week_rows(held))

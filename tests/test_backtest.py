@@ -31,11 +31,11 @@ def test_plan_of_148_weeks(spark):
 
 
 def test_plan_must_divide(spark):
-    with pytest.raises(ValueError, match="divide"):
+    with pytest.raises(ValueError, match="do not fill"):
         backtest.fold_plan(weeks(spark, 149))
     with pytest.raises(ValueError, match="no week"):
         backtest.fold_plan(weeks(spark, 64))
-    with pytest.raises(ValueError, match="do not make a fold"):
+    with pytest.raises(ValueError, match="a fold takes"):
         backtest.fold_plan(weeks(spark, 70), strict=False)
     plan = backtest.fold_plan(weeks(spark, 149), strict=False).collect()
     assert len(plan) == 6 and plan[0]["n_train_weeks"] == 65

@@ -121,7 +121,7 @@ def test_scenarios():
     full, operational = features.scenario_features(features.FULL), features.scenario_features(features.OPERATIONAL)
     assert (len(full[0]), len(full[1])) == (21, 6)
     features.require_feature_count(operational[0] + operational[1])
-    with pytest.raises(ValueError, match="expected 23"):
+    with pytest.raises(ValueError, match="take 23"):
         features.require_feature_count(full[0] + full[1])
     every = [f for group in features.AVAILABILITY.values() for f in group]
     assert sorted(every) == sorted(full[0] + full[1])

@@ -76,6 +76,21 @@ def test_all_stages(job):
     assert len(read("audit_holiday_names")) > 1 and len(read("sales_by_temperature")) > 1
 
 
+def test_inspect_writes_first_rows_and_types(job):
+    types = {(r["table_name"], r["column_name"]): r["type"] for r in job.read("profile_column_types").collect()}
+    assert types["sales", "date"] == "date" and ("stores", "region") in types
+    assert all(job.read(f"profile_first_rows_{n}").count() == 3 for n in ("sales", "features", "stores"))
+
+
+def test_the_next_week_may_use_the_models_again(job, monkeypatch):
+    before = sorted(map(str, job.read("coming_week_forecast").collect()))
+    monkeypatch.setattr(models, "fit_forecaster", None)  # no fit may be made
+    job.reuse_models = True
+    STAGES["coming-week"](job)
+    job.reuse_models = False
+    assert sorted(map(str, job.read("coming_week_forecast").collect())) == before
+
+
 def test_saved_models_predict_the_same(job):
     rows = stages._model_rows(job)
     prepared, fitted = models.load_forecaster(job.spark, job.out("regression_models"))
