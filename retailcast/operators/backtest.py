@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from retailcast.functions.accuracy import METRIC_NAMES, error, metric_columns
 from retailcast.operators import features as ft
 from retailcast.operators.metrics import COMPANY_LEVEL
+from retailcast.session import materialize
 
 # The default plan of folds and the labels of its results.
 INITIAL_TRAIN_WEEKS = 64
@@ -23,9 +24,9 @@ HORIZON = "one_week_ahead"
 
 
 def week_counts(rows: DataFrame) -> DataFrame:
-    """Rows per week, kept in memory: a few hundred rows that stand in for ``rows`` when folds are
+    """Rows per week, written once: a few hundred rows that stand in for ``rows`` when folds are
     planned and sized."""
-    return rows.where(F.col("date").isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("n")).persist()
+    return materialize(rows.where(F.col("date").isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("n")), "week-counts")
 
 
 def fold_plan(

@@ -11,6 +11,7 @@ from retailcast.operators import backtest, features, metrics
 from retailcast.queries.accuracy import company_tests, round_measures, series_forecasts
 from retailcast.queries.registry import query, rounded, sales_panel, stored_sales
 from retailcast.queries.tables_sql import measures
+from retailcast.session import materialize
 
 
 # The four-week mean is the baseline; summed over the series it would tie with itself.
@@ -40,7 +41,7 @@ def results(sales: DataFrame) -> DataFrame:
     baseline = backtest.baseline_predictions(sales, folds)
     table = backtest.fold_results(weeks, fold_scores(sales, folds), baseline, folds, feature_count=1)
     # One row per fold and model, read by winners, summary and ranking.
-    return table.persist()
+    return materialize(table, "fold-results")
 
 
 _COMPANY = ["company_mape", "company_wape", "company_forecast_bias"]
