@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from retailcast.functions.columns import find_column
 from retailcast.functions.quantiles import exact_quantiles
+from retailcast.session import materialize
 
 
 def shape(df: DataFrame, name: str) -> DataFrame:
@@ -84,7 +85,9 @@ def key_stats(df: DataFrame, key: list[str]) -> DataFrame:
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum; one row per statistic."""
-    value = F.col(column).cast("double")
+    # Moments and quartiles are several passes over one column; what it comes from is read once.
+    df = materialize(df.select(F.col(column).cast("double").alias("value")), "distribution")
+    value, column = F.col("value"), "value"
     names = ["count", "mean", "std", "min", "max"]
     moments = df.agg(
         F.count(value).cast("double").alias("count"),
