@@ -51,7 +51,7 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def archive_records(pages: DataFrame) -> DataFrame:
     """A full response for every page, and two revisits: one after it, whose validators agree, differ
     or are absent in turn, and one at an earlier time, for which another capture of the same page may
-    stand, or none."""
+    stand, or none. Half of the agreeing tags are weak, and every third URL names its port."""
     time = (F.col("page_id") * 7919) % 1_000_003
     tag, digest = F.md5("html"), F.sha2("html", 256)
     none = F.lit(None).cast("string")
@@ -60,16 +60,19 @@ def archive_records(pages: DataFrame) -> DataFrame:
     def fresh(at):
         return F.create_map(F.lit("Cache-Control"), F.concat(F.lit("max-age="), F.col("page_id") % 100), F.lit("Date"), at.cast("string"), F.lit("Server"), F.lit("cache"))
 
-    def record(number, kind, at, etag, body, headers):
+    ported = F.regexp_replace(F.regexp_replace("url", "^(https://[^/?#:]+)", "$1:443"), "^(http://[^/?#:]+)", "$1:80")
+
+    def record(number, kind, at, etag, body, headers, url=F.col("url")):
         return pages.select(
-            (F.col("page_id") * 4 + number).alias("record_id"), F.lit(kind).alias("kind"), "url", at.alias("time"), etag.alias("etag"),
+            (F.col("page_id") * 4 + number).alias("record_id"), F.lit(kind).alias("kind"), url.alias("url"), at.alias("time"), etag.alias("etag"),
             none.alias("last_modified"), body.alias("digest"), headers.alias("headers"),
         )
 
     later, sooner, turn = time + 1 + F.col("page_id") % 1000, time - 500, F.col("page_id") % 4
-    etag = F.when(turn == 0, tag).when(turn == 1, F.lit("stale"))
+    weak = F.when(F.col("page_id") % 8 == 0, F.concat(F.lit("W/"), tag)).otherwise(tag)
+    etag = F.when(turn == 0, weak).when(turn == 1, F.lit("stale"))
     responses = record(0, "response", time, tag, digest, stored)
-    revisits = record(1, "revisit", later, etag, F.when(turn == 2, digest), fresh(later))
+    revisits = record(1, "revisit", later, etag, F.when(turn == 2, digest), fresh(later), F.when(F.col("page_id") % 3 == 0, ported).otherwise(F.col("url")))
     return responses.unionByName(revisits).unionByName(record(2, "revisit", sooner, tag, none, fresh(sooner)))
 
 
@@ -125,12 +128,14 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 # Response and revisits as in archive_records; the canonical form of a URL as in revisits.canonical_url.
 OP6_SQL = r"""
 WITH bare AS (
-  SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', '', 'g'), '^(?i:https?)://', '', 'g') AS b FROM pages
+  SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', '', 'g'), '^(?i:https?)://', '', 'g') AS b,
+         CASE WHEN trim(url) ILIKE 'https://%' THEN ':443$' ELSE ':80$' END AS port FROM pages
 ), parts AS (
   SELECT page_id, html,
-         regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^(www|m)\.', '', 'g') AS host,
+         regexp_replace(regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^(www|m)\.', '', 'g'), port, '') AS host,
          regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '(\.html)?/*$', '', 'g') AS path,
-         regexp_replace(regexp_replace(regexp_extract(b, '\?(.*)$', 1), '(^|&)(utm_[^=&]*|ref|fbclid|gclid)(=[^&]*)?', '', 'g'), '^&', '', 'g') AS query
+         array_to_string(list_sort(string_split(regexp_replace(regexp_replace(
+           regexp_extract(b, '\?(.*)$', 1), '(^|&)(utm_[^=&]*|ref|fbclid|gclid)(=[^&]*)?', '', 'g'), '^&', '', 'g'), '&')), '&') AS query
   FROM bare
 ), captured AS (
   SELECT page_id, (page_id * 7919) % 1000003 AS time, md5(html) AS tag, sha256(html) AS digest,
@@ -138,7 +143,7 @@ WITH bare AS (
   FROM parts
 ), revisit AS (
   SELECT page_id * 4 + 1 AS revisit_id, canonical, time + 1 + page_id % 1000 AS time, page_id % 100 AS age,
-         CASE page_id % 4 WHEN 0 THEN tag WHEN 1 THEN 'stale' END AS etag, CASE page_id % 4 WHEN 2 THEN digest END AS digest
+         CASE page_id % 4 WHEN 0 THEN CASE WHEN page_id % 8 = 0 THEN 'W/' ELSE '' END || tag WHEN 1 THEN 'stale' END AS etag, CASE page_id % 4 WHEN 2 THEN digest END AS digest
   FROM captured
   UNION ALL
   SELECT page_id * 4 + 2, canonical, time - 500, page_id % 100, tag, NULL FROM captured
@@ -149,14 +154,14 @@ WITH bare AS (
   SELECT v.*, r.response_id, r.time AS response_time, r.tag AS r_tag,
          CASE WHEN v.digest IS NOT NULL AND r.response_id IS NOT NULL THEN 'digest'
               WHEN v.etag IS NOT NULL AND r.response_id IS NOT NULL THEN 'etag' END AS validator,
-         CASE WHEN v.digest IS NOT NULL THEN v.digest = r.digest ELSE v.etag = r.tag END AS agrees
+         CASE WHEN v.digest IS NOT NULL THEN v.digest = r.digest ELSE regexp_replace(v.etag, '^W/', '') = r.tag END AS agrees
   FROM revisit v ASOF LEFT JOIN response r ON v.canonical = r.canonical AND v.time > r.time
 ), judged AS (
   SELECT *, CASE WHEN response_id IS NULL THEN 'missing' WHEN validator IS NULL THEN 'unchecked' WHEN agrees THEN 'resolved' ELSE 'mismatch' END AS status FROM met
 )
 SELECT revisit_id, canonical, response_id, response_time, status, validator,
        'Cache-Control=max-age=' || age || ';Date=' || time ||
-       CASE WHEN status IN ('resolved', 'unchecked') THEN ';content-type=text/html;etag=' || r_tag || ';server=origin' ELSE ';Server=cache' END AS headers
+       CASE WHEN status = 'resolved' THEN ';content-type=text/html;etag=' || r_tag || ';server=origin' ELSE ';Server=cache' END AS headers
 FROM judged
 """
 
