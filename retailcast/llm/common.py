@@ -14,6 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_KEYS = 1000
 # Tables of at most so many rows are sent to every task; larger ones are joined through a shuffle.
 BROADCAST_ROWS = 10_000
+# A filter is made of bitmaps of 4 KB, at most so many of them (32 MB).
+BITMAP_BITS = 32_768
+FILTER_BITMAPS = 8_192
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -50,6 +53,26 @@ def join_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     return rows.join(hot, key).unionByName(rest)
 
 
+def maybe_among(rows: DataFrame, key: str, wanted: DataFrame, bitmaps: int = FILTER_BITMAPS) -> DataFrame:
+    """The rows whose ``key`` may be among the values of the only column of ``wanted``: all that are, and
+    some that are not, so that a join with ``wanted`` has little to shuffle.
+
+    The filter has one bit per value, about 32 of them for each value as long as ``bitmaps`` allow it, and
+    is sent to every task. Beyond that it lets more rows pass and stays as large.
+    """
+    count = min(bitmaps, max(1, -(-wanted.count() * 32 // BITMAP_BITS)))
+    place = lambda column: F.pmod(F.xxhash64(column), F.lit(count * BITMAP_BITS))
+    bitmap = lambda column: F.floor(place(column) / BITMAP_BITS)
+    name = free_prefix(rows)
+    at, bits = f"{name}bitmap", f"{name}bits"
+    value = F.col(wanted.columns[0])
+    own = wanted.groupBy(bitmap(value).alias(at)).agg(F.bitmap_construct_agg(place(value) % BITMAP_BITS).alias(bits))
+    met = rows.join(F.broadcast(own), bitmap(F.col(key)) == F.col(at))
+    bit = (place(F.col(key)) % BITMAP_BITS).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, bit % 8) == 1).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """As ``materialize``, and the shuffle files of the job go as soon as the table is written, so that
     the steps of an operator do not need their disk at the same time."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailcast.llm.common import join_by_group, text_or_empty
+from retailcast.llm.common import join_by_group, maybe_among, text_or_empty
 from retailcast.llm.words import SHINGLE, mixed, shingle_sets
 from retailcast.session import materialize
 
@@ -122,6 +122,7 @@ def _token(tokens: Column, at: Column) -> Column:
 def _paths(texts: DataFrame, settings: Settings) -> DataFrame:
     """rid, run, path, size: the buckets of at least two texts in which the paths end."""
     run = F.explode(F.sequence(F.lit(0), F.lit(settings.runs - 1))).alias("run")
+    total = texts.count() * settings.runs
     rows = texts.select("rid", run, "tokens")
     first = F.col("run") * settings.steps
     rest = F.substring(F.col("tokens"), (first + 1) * 4 + 1, F.lit((settings.steps - 1) * 4))
@@ -129,7 +130,8 @@ def _paths(texts: DataFrame, settings: Settings) -> DataFrame:
     ended = []
     for step in range(1, settings.steps + 1):
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        met = materialize(rows.join(sizes, "path"), "paths")
+        # The path of a large group of near copies is not gathered into one task to learn its size.
+        met = materialize(join_by_group(rows, materialize(sizes, "path-sizes"), "path", "size", total), "paths")
         large = F.col("size") > settings.limit
         ended.append((met if step == settings.steps else met.where(~large)).select("rid", "run", "path", "size"))
         if step == settings.steps or met.where(large).isEmpty():
@@ -354,7 +356,9 @@ def _links(texts: DataFrame, bodies: DataFrame, settings: Settings) -> DataFrame
     active = sized(blocks).mapInArrow(_active(settings), "rid binary, run int, side int").select("rid", "run").distinct()
     active = materialize(active, "candidates")
     ids = texts.join(active.select("rid").distinct(), "rid", "left_semi").select("id").distinct()
-    chosen = bodies.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+    ids = materialize(ids, "candidate-ids")
+    # Most texts have no candidate and stay where they are read.
+    chosen = maybe_among(bodies, "doc_id", ids).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
     # Rows of one id and text give one set; other texts of a chosen id join with nothing.
     sets = chosen.select("doc_id", "text").mapInArrow(_shingled(settings), "rid binary, shingles binary").dropDuplicates(["rid"])
     again = rows.join(active, ["rid", "run"]).join(sets, "rid")
