@@ -197,3 +197,57 @@ def test_prediction_table(data):
     wide = metrics.prediction_table(scored, {"pred_linear": models.LINEAR})
     assert wide.columns == ["store_id", "department", "date", "weekly_sales", "pred_linear"]
     assert wide.count() == 100 and wide.where("pred_linear is null").count() == 0
+
+
+def test_merged_rows_give_the_trees_of_the_rows(spark, monkeypatch):
+    """Unweighted fits on all rows, and fits on merged rows: the same trees, least leaf included."""
+    raw = [(s, d, START + dt.timedelta(weeks=w), float((w * 7 + s * 5) % 23), float(w % 6), float(s % 2), "red" if w % 3 else None) for s in range(3) for d in range(2) for w in range(31)]
+    raw.append((1, 1, START, 500.0, 99.0, 1.0, "red"))  # alone, and so never a leaf of a forest
+    df = spark.createDataFrame([*raw, *raw[:40]], "store_id long, department int, date date, weekly_sales double, a double, b double, color string")
+    sizes = models.Sizes(forest_trees=1, forest_depth=3, forest_bootstrap=False, boosting_rounds=3, boosting_depth=2, row_sample=1.0, column_sample=1.0, models=(models.FOREST, models.BOOSTED))
+    assembled = models.fit_preprocessor(df, NUMERIC, ["color"]).transform(df)
+    sizes_seen = []
+    write = models.materialize
+
+    def counted(table, label, rows_per_file=0):
+        out = write(table, label, rows_per_file)
+        sizes_seen.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(models, "materialize", counted)
+    merged = models.train_models(assembled, sizes)
+    assert sizes_seen == [("merged-rows", df.select("a", "b", F.coalesce("color", F.lit("red"))).distinct().count())]
+    for name, estimator in models.estimators(sizes).items():
+        alone = estimator.fit(assembled)
+        got = [[r["prediction"] for r in m.transform(assembled).orderBy("date", "store_id", "department").collect()] for m in (alone, merged[name])]
+        assert got[0] == pytest.approx(got[1])
+        assert merged[name].featureImportances.toArray() == pytest.approx(alone.featureImportances.toArray())
+
+
+def test_backtest_of_merged_rows_reads_the_training_rows_once(spark, data):
+    train, test = data
+    from retailcast.operators.backtest import Fold
+
+    week = lambda n: START + dt.timedelta(weeks=n)
+    rows = train.unionByName(test)
+    folds = [Fold(i + 1, week(100 + 60 * i), week(159 + 60 * i)) for i in range(3)]
+    sizes = models.Sizes(forest_trees=1, forest_depth=2, forest_bootstrap=False, models=(models.FOREST,))
+    together = models.backtest_scores(rows, folds, ["a"], ["color"], sizes)
+    got = {(r["fold"], r["date"]): r["predicted"] for r in together.collect()}
+    for fold in folds:
+        left, right = rows.where(F.col("date") < F.lit(fold.test_start)), rows.where(F.col("date").between(F.lit(fold.test_start), F.lit(fold.test_end)))
+        for r in models.fit_and_score(left, right, ["a"], ["color"], sizes).collect():
+            assert got[fold.number, r["date"]] == pytest.approx(r["predicted"])
+    assert len(got) == 180
+
+
+def test_files_of_assembled_rows_are_bounded(spark, monkeypatch, data):
+    """Drawn rows are not merged; no file holds more of them than a task may read."""
+    train, _ = data
+    monkeypatch.setattr(models, "ROWS_PER_FILE", 50)
+    files = []
+    write = models.materialize
+    monkeypatch.setattr(models, "materialize", lambda *a: files.append(write(*a)) or files[-1])
+    models.train_models(models.fit_preprocessor(train, ["a"], []).transform(train), models.Sizes(**{**SMALL.__dict__, "models": (models.BOOSTED,)}))
+    counts = [r["count"] for r in files[0].groupBy(F.input_file_name()).count().collect()]
+    assert sum(counts) == 300 and max(counts) <= 50
