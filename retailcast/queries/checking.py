@@ -317,7 +317,7 @@ def _audit_sql(raw_table: str, cleaned: str, summer: str = "0") -> str:
 @query("v18_audit_checks", _audit_sql("sales", "panel"))
 def v18_audit_checks(spark, folder):
     sales, features, stores = stored(raw(spark, folder))
-    return checks.audit_checks(sales, clean.panel(sales, features, stores))
+    return checks.audit_checks(sales, clean.panel(sales, features, stores, parts=orders_panel.partitions(spark, folder)))
 
 
 @query(
@@ -328,7 +328,7 @@ def v18_audit_checks_shifted(spark, folder):
     # The stored summer flags are those of the following week.
     sales, features, stores = stored(raw(spark, folder))
     later = F.month(F.date_add("date", 7)).isin(6, 7, 8).cast("int")
-    return checks.audit_checks(sales, clean.panel(sales, features, stores).withColumn("is_summer", later))
+    return checks.audit_checks(sales, clean.panel(sales, features, stores, parts=orders_panel.partitions(spark, folder)).withColumn("is_summer", later))
 
 
 @query(
@@ -339,4 +339,4 @@ def v18_audit_checks_shifted(spark, folder):
 )
 def v18_audit_verdict(spark, folder):
     sales, features, stores = stored(faulty(spark, folder))
-    return checks.verdict(checks.audit_checks(sales, clean.panel(sales, features, stores)))
+    return checks.verdict(checks.audit_checks(sales, clean.panel(sales, features, stores, parts=orders_panel.partitions(spark, folder))))

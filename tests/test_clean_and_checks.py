@@ -151,3 +151,31 @@ def test_value_counts_keep_null(spark):
     df = spark.createDataFrame([("a",), (None,), ("a",), ("b",)], "x string")
     assert [tuple(r) for r in profile.value_counts(df, "x", top=2).collect()] == [("a", 2), ("b", 1)]
     assert [r[0] for r in profile.value_counts(df, "x", "value").collect()] == ["a", "b", None]
+
+
+def test_parts_of_the_panel_follow_the_order_lines(spark, tmp_path, monkeypatch):
+    """The filled panel and its join lie in as many more parts as there are more lines, in whichever size shuffles are read."""
+    import datetime as dt
+
+    from retailcast.operators import clean
+    from retailcast.sources import orders_panel
+
+    day = dt.date(1999, 1, 4)
+    for name, rows, schema in [
+        ("lineitem", [(k, k % 50, k % 40, day + dt.timedelta(days=k), 10.0, 0.1) for k in range(400)], "l_orderkey long, l_partkey long, l_suppkey long, l_shipdate date, l_extendedprice double, l_discount double"),
+        ("part", [(k, ["ECONOMY", "LARGE"][k % 2]) for k in range(50)], "p_partkey long, p_type string"),
+        ("orders", [(k, f"{k % 5 + 1}-X") for k in range(400)], "o_orderkey long, o_orderpriority string"),
+    ]:
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    folder = str(tmp_path)
+    stores = spark.range(40).selectExpr("id AS store_id", "'A' AS store_type", "1.0 AS store_size", "'R' AS region")
+    seen = []
+    for lines in (10, 5):
+        monkeypatch.setattr(orders_panel, "LINES_PER_PART", lines)
+        parts = orders_panel.partitions(spark, folder)
+        assert parts == max(spark.sparkContext.defaultParallelism, 400 // lines)
+        sales, features = orders_panel.sales(spark, folder), orders_panel.features(spark, folder)
+        panel = clean.panel(sales, features, stores, parts=parts)
+        assert [df.rdd.getNumPartitions() for df in (sales, features, panel)] == [parts] * 3
+        seen.append(sorted(map(str, panel.collect())))
+    assert seen[0] == seen[1] and len(seen[0]) > 400
