@@ -251,3 +251,15 @@ def test_files_of_assembled_rows_are_bounded(spark, monkeypatch, data):
     models.train_models(models.fit_preprocessor(train, ["a"], []).transform(train), models.Sizes(**{**SMALL.__dict__, "models": (models.BOOSTED,)}))
     counts = [r["count"] for r in files[0].groupBy(F.input_file_name()).count().collect()]
     assert sum(counts) == 300 and max(counts) <= 50
+
+
+def test_shallow_trees_keep_no_node_ids(data):
+    """Node ids are kept for deep trees only, and the trees are the same either way."""
+    assert models.estimators()[models.FOREST].getCacheNodeIds()
+    train, _ = data
+    assembled = models.fit_preprocessor(train, NUMERIC, CATEGORICAL).transform(train).persist()
+    for name, estimator in models.estimators(SMALL).items():
+        assert not estimator.getCacheNodeIds(), name
+        models.checkpoint_here(train.sparkSession)
+        trees = [estimator.copy().setCacheNodeIds(ids).fit(assembled).toDebugString.split("\n", 1)[1] for ids in (False, True)]
+        assert trees[0] == trees[1], name
