@@ -1,6 +1,7 @@
 """Regression models against independent computations."""
 
 import datetime as dt
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -263,3 +264,24 @@ def test_shallow_trees_keep_no_node_ids(data):
         models.checkpoint_here(train.sparkSession)
         trees = [estimator.copy().setCacheNodeIds(ids).fit(assembled).toDebugString.split("\n", 1)[1] for ids in (False, True)]
         assert trees[0] == trees[1], name
+
+
+def test_fits_leave_no_copy_of_their_rows(spark, data, monkeypatch):
+    """Scenarios and folds one after the other hold one copy of the training rows at a time."""
+    train, test = data
+    written = []
+    write = models.materialize
+
+    def seen(table, label, rows_per_file=0):
+        out = write(table, label, rows_per_file)
+        if label in ("assembled-rows", "merged-rows"):
+            written.append((label, Path(out.inputFiles()[0].removeprefix("file://")).parent))
+        return out
+
+    monkeypatch.setattr(models, "materialize", seen)
+    drawn = models.Sizes(**{**SMALL.__dict__, "models": (models.FOREST, models.BOOSTED)})
+    alike = models.Sizes(forest_trees=1, forest_depth=2, forest_bootstrap=False, models=(models.FOREST,))
+    counts = [models.fit_and_score(train, test, NUMERIC, CATEGORICAL, sizes).count() for sizes in (drawn, alike)]
+    assert counts == [200, 100]
+    assert [label for label, _ in written] == ["assembled-rows", "merged-rows"]
+    assert not any(folder.exists() for _, folder in written)

@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from retailcast.session import clear_scratch, materialize, scratch_path, shared_dir
+from retailcast.session import clear_scratch, discard, materialize, scratch_path, shared_dir
 
 
 class Context:
@@ -46,3 +46,14 @@ def test_scratch_is_cleared(spark):
     assert path.exists()
     clear_scratch(spark)
     assert not path.exists()
+
+
+def test_discard_takes_one_frame_of_this_application(spark, tmp_path):
+    gone, kept = materialize(spark.range(3), "gone"), materialize(spark.range(4), "kept")
+    spark.range(5).write.parquet(f"{tmp_path}/other rows")
+    other = spark.read.parquet(f"{tmp_path}/other rows")
+    path = Path(gone.inputFiles()[0].removeprefix("file://"))
+    discard(gone)
+    discard(other)
+    assert not path.exists()
+    assert (kept.count(), other.count()) == (4, 5)
