@@ -285,3 +285,17 @@ def test_fits_leave_no_copy_of_their_rows(spark, data, monkeypatch):
     assert counts == [200, 100]
     assert [label for label, _ in written] == ["assembled-rows", "merged-rows"]
     assert not any(folder.exists() for _, folder in written)
+
+
+def test_backtest_writes_the_forecasts_of_each_fold(spark, data, monkeypatch):
+    """The trees of a fold are not kept for a scoring at the end."""
+    from retailcast.operators.backtest import Fold
+
+    rows = data[0].unionByName(data[1])
+    folds = [Fold(i + 1, START + dt.timedelta(weeks=100 + 60 * i), START + dt.timedelta(weeks=159 + 60 * i)) for i in range(2)]
+    labels = []
+    write = models.materialize
+    monkeypatch.setattr(models, "materialize", lambda table, label, *a: labels.append(label) or write(table, label, *a))
+    scored = models.backtest_scores(rows, folds, ["a"], ["color"], models.Sizes(**{**SMALL.__dict__, "models": (models.FOREST,)}))
+    assert labels.count("fold-forecasts") == 2
+    assert [(r["fold"], r["count"]) for r in scored.groupBy("fold").count().orderBy("fold").collect()] == [(1, 60), (2, 60)]
