@@ -1,6 +1,7 @@
 """Cleaning rules, guards and checks on small frames."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,3 +180,36 @@ def test_parts_of_the_panel_follow_the_order_lines(spark, tmp_path, monkeypatch)
         assert [df.rdd.getNumPartitions() for df in (sales, features, panel)] == [parts] * 3
         seen.append(sorted(map(str, panel.collect())))
     assert seen[0] == seen[1] and len(seen[0]) > 400
+
+
+def shuffled_columns(df):
+    """The columns that each dealing out by number moves."""
+    found, nodes = [], [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().startswith("Repartition"):
+            found.append(re.findall(r"(\w+)#\d+", node.output().mkString(" ")))
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_derived_columns_do_not_pass_the_join(spark, tables):
+    """What follows from a row's date and sales is made behind the shuffle, with the same rows and order of columns."""
+    sales, features, stores = tables
+    sales = sales.unionByName(spark.createDataFrame([(1, 1, D[0], -3.0, 1), (1, 1, None, 4.0, 0), (9, 1, D[0], None, 0)], SALES))
+    features = features.unionByName(features.limit(1))  # a repeated key
+    panel = clean.panel(sales, features, stores, parts=3)
+    moved = shuffled_columns(panel)
+    assert len(moved) == 2 and any("weekly_sales" in names for names in moved)
+    assert not any(set(clean.DERIVED) & set(names) for names in moved)
+    plain = clean.unify_holiday(checks.join_on_store_week(clean.clean_sales(sales), clean.clean_features(features), 3))
+    plain = checks.join_on_store(plain, clean.clean_stores(stores)).withColumn("is_summer", fx.is_summer(F.col("month")))
+    assert panel.columns == plain.columns
+    assert sorted(map(str, panel.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_derived_names_on_both_sides_keep_their_suffixes(tables):
+    sales, features, stores = tables
+    panel = clean.panel(sales, features.withColumn("year", F.lit(7)), stores, parts=2)
+    rows = panel.select("year_sales", "year_features", "month").distinct().collect()
+    assert {tuple(r) for r in rows} == {(2022, 7, 6)}

@@ -3,8 +3,9 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from retailcast.session import clear_scratch, discard, materialize, scratch_path, shared_dir
+from retailcast.session import clear_scratch, discard, materialize, materialize_alone, scratch_path, shared_dir
 
 
 class Context:
@@ -57,3 +58,18 @@ def test_discard_takes_one_frame_of_this_application(spark, tmp_path):
     discard(other)
     assert not path.exists()
     assert (kept.count(), other.count()) == (4, 5)
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """A table that is written alone leaves its rows and no shuffle files; the session's setting stays."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk, setting = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark.conf.get(name)
+    files = lambda: {f for f in disk.getAllFiles().mkString(" ").split(" ") if "/shuffle_" in f}
+    left = []
+    for write in (materialize, materialize_alone):
+        before = files()
+        rows = write(spark.range(100).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+        left.append(len(files() - before))
+        assert rows.count() == 7
+    assert left[0] > 0 and left[1] == 0
+    assert spark.conf.get(name) == setting
