@@ -299,3 +299,29 @@ def test_backtest_writes_the_forecasts_of_each_fold(spark, data, monkeypatch):
     scored = models.backtest_scores(rows, folds, ["a"], ["color"], models.Sizes(**{**SMALL.__dict__, "models": (models.FOREST,)}))
     assert labels.count("fold-forecasts") == 2
     assert [(r["fold"], r["count"]) for r in scored.groupBy("fold").count().orderBy("fold").collect()] == [(1, 60), (2, 60)]
+
+
+def test_series_shuffle_moves_what_the_scenario_needs(spark, monkeypatch):
+    """The rows of one scenario are dealt out by series without its unknown features, and without what follows from the date."""
+    from retailcast.operators import features
+    from retailcast.queries import modelling
+
+    numbers = [*features.AVAILABILITY["possibly_unavailable"], *[f"markdown_{i}" for i in range(1, 6)], "store_size"]
+    rows = spark.createDataFrame([(1, 1, START + dt.timedelta(weeks=w), float(w), 0, *[1.0] * len(numbers)) for w in range(12)], "store_id long, department int, date date, weekly_sales double, is_holiday int, " + ", ".join(f"{n} double" for n in numbers))
+    monkeypatch.setattr(modelling, "panel", lambda *_: modelling.clean.clean_sales(rows))
+    monkeypatch.setattr(modelling.orders_panel, "partitions", lambda *_: 3)
+    plans = []
+    monkeypatch.setattr(models, "materialize_alone", lambda table, label: plans.append(table) or table)
+    for scenario in (features.FULL, features.OPERATIONAL):
+        train, _ = modelling.split(spark, "no folder", scenario)
+        assert {"rolling_std_4", "markdown_5", "year"} <= set(train.columns)
+        assert ("cpi" in train.columns) == (scenario == features.FULL)
+    for table in plans:
+        nodes, moved = [table._jdf.queryExecution().optimizedPlan()], []
+        while nodes:
+            node = nodes.pop()
+            if node.nodeName().startswith("Repartition"):
+                moved += [c.split("#")[0] for c in node.output().mkString(" ").split(" ")]
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        assert "weekly_sales" in moved and not {"year", "month", "week_of_year", "is_negative_sales"} & set(moved)
+        assert ("cpi" in moved) == (table is plans[0])
